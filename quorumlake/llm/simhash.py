@@ -89,9 +89,10 @@ def near_classes(prints: DataFrame, *, radius: int, segments: int, bits: int) ->
                     masks[at // 64] |= 1 << (at % 64)
             kept = [F.col(n).bitwiseAND(F.lit(m if m < 1 << 63 else m - (1 << 64))) for n, m in zip(names, masks, strict=True) if m]
             keys.append(F.xxhash64(F.lit(s * width + p), *kept))
-    index = nodes.where(F.col("rep").isNotNull()).select("rep", *names, F.explode(F.array(*keys)).alias("key"))
-    index = index.select("key", "rep", *names)
-    heads = index.groupBy("key").agg(F.min(F.struct("rep", *names)).alias("head"), F.count("*").alias("n")).where("n > 1")
+    spread = nodes.where(F.col("rep").isNotNull()).repartition(int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions")), "rep")
+    index = spread.select("rep", *names, F.explode(F.array(*keys)).alias("key"))
+    heads = index.groupBy("key").agg(F.min("rep").alias("head_rep"), F.count("*").alias("n")).where("n > 1")
+    heads = heads.join(nodes.select(F.col("rep").alias("head_rep"), F.struct("rep", *names).alias("head")), "head_rep")
     pairs = index.join(heads, "key").where(F.col("rep") != F.col("head.rep"))
     near = distance([F.col(n) for n in names], [F.col(f"head.{n}") for n in names]) <= radius
     met = cut(

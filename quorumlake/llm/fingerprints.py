@@ -70,13 +70,10 @@ def successors(ids: DataFrame, key: str) -> DataFrame:
     ranged = cut(n.repartitionByRange(F.col("key")).select("key", F.spark_partition_id().alias("part")))
     ends = ranged.groupBy("part").agg(F.min("key").alias("first"), F.max("key").alias("last"))
     row = W.orderBy("first")
-    least = ends.agg(F.min("first").alias("least"))
-    seams = ends.select(F.col("last").alias("key"), F.lead("first").over(row).alias("over"))
+    first = F.coalesce(F.lead("first").over(row), F.min("first").over(W.partitionBy()))
+    seams = ends.select(F.col("last").alias("key"), first.alias("next"))
     walk = ranged.withColumn("next", F.lead("key").over(W.partitionBy("part").orderBy("key")))
-    return (
-        walk.where("next is not null").select("key", "next")
-        .unionAll(seams.crossJoin(F.broadcast(least)).select("key", F.coalesce("over", "least")))
-    )
+    return walk.where("next is not null").select("key", "next").unionAll(seams)
 
 
 def compare_with_edits(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 3, radius: int = 3, blocks: int = 6) -> DataFrame:

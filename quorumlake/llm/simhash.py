@@ -82,28 +82,33 @@ def near_classes(prints: DataFrame, *, radius: int, segments: int, bits: int) ->
     width = bits // segments
     keys = []
     for s in range(segments):
+        word, off = divmod(s * width, 64)
+        own = F.shiftrightunsigned(F.col(names[word]), off)
+        if off + width > 64:
+            own = own.bitwiseOR(F.shiftleft(F.col(names[word + 1]), 64 - off))
+        own = own.bitwiseAND(F.lit((1 << width) - 1))
         for p in range(width):
-            masks = [0] * len(names)
-            for at in range(s * width, (s + 1) * width):
-                if at != s * width + p:
-                    masks[at // 64] |= 1 << (at % 64)
-            kept = [F.col(n).bitwiseAND(F.lit(m if m < 1 << 63 else m - (1 << 64))) for n, m in zip(names, masks, strict=True) if m]
-            keys.append(F.xxhash64(F.lit(s * width + p), *kept))
+            less = own.bitwiseAND(F.lit((1 << p) - 1)).bitwiseOR(F.shiftleft(F.shiftrightunsigned(own, p + 1), p))
+            keys.append(less.bitwiseOR(F.lit((s * width + p) << (width - 1))))
+    # the place and the bits left of a short segment fit 31 bits, which halves what is shuffled
+    kind = "int" if width - 1 + (segments * width - 1).bit_length() <= 31 else "long"
     spread = nodes.where(F.col("rep").isNotNull()).repartition(int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions")), "rep")
-    index = spread.select("rep", *names, F.explode(F.array(*keys)).alias("key"))
-    heads = index.groupBy("key").agg(F.min("rep").alias("head_rep"), F.count("*").alias("n")).where("n > 1")
-    heads = heads.join(nodes.select(F.col("rep").alias("head_rep"), F.struct("rep", *names).alias("head")), "head_rep")
-    pairs = index.join(heads, "key").where(F.col("rep") != F.col("head.rep"))
-    near = distance([F.col(n) for n in names], [F.col(f"head.{n}") for n in names]) <= radius
-    met = cut(
-        pairs.select("key", "rep", *names, F.col("head.rep").alias("head"), F.col("n"), near.alias("near"))
-        .where("near or n > 2")
-    )
-    far = met.where("not near").select("key", F.col("rep").alias("other"), *[F.col(n).alias(f"o{n}") for n in names])
-    again = met.select("key", "rep", *names).join(far, "key").where(F.col("rep") != F.col("other"))
-    again = again.where(distance([F.col(n) for n in names], [F.col(f"o{n}") for n in names]) <= radius)
-    edges = met.where("near").select(F.col("rep").alias("a"), F.col("head").alias("b")).unionAll(again.select(F.col("rep").alias("a"), F.col("other").alias("b")))
-    found = components(edges.distinct())
+    index = spread.select("rep", F.explode(F.array(*[k.cast(kind) for k in keys])).alias("key"))
+    heads = index.groupBy("key").agg(F.min("rep").alias("head"), F.count("*").alias("n")).where("n > 1")
+    hits = cut(index.join(heads, "key").where(F.col("rep") != F.col("head")))
+
+    def judged(pairs: DataFrame) -> DataFrame:
+        """pairs (a, b), once each, with whether they are within the radius."""
+        print_of = lambda end, to: nodes.select(F.col("rep").alias(end), *[F.col(n).alias(f"{to}{n}") for n in names])
+        both = pairs.distinct().join(print_of("a", "x"), "a").join(print_of("b", "y"), "b")
+        return both.select("a", "b", (distance([F.col(f"x{n}") for n in names], [F.col(f"y{n}") for n in names]) <= radius).alias("near"))
+
+    first = cut(judged(hits.select(F.col("rep").alias("a"), F.col("head").alias("b"))))
+    crowded = hits.where("n > 2")
+    far = crowded.join(first.where("not near").select(F.col("a").alias("rep"), F.col("b").alias("head")), ["rep", "head"]).select("key", F.col("rep").alias("b"))
+    again = judged(crowded.select("key", F.col("rep").alias("a")).join(far, "key").where("a <> b").select("a", "b"))
+    edges = first.where("near").select("a", "b").unionAll(again.where("near").select("a", "b"))
+    found = components(edges)
     return nodes.join(found, nodes["rep"] == found["node"], "left").select(*names, "rep", "size", F.coalesce("component", "rep").alias("component"))
 
 
@@ -119,11 +124,12 @@ def dedup_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     return prints.select("row", "doc", *names).join(classes.select(*names, "component", "size"), names, "left")
 
 
-def drop_near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 5, n_words: int = 4, radius: int = 40, segments: int = 10) -> DataFrame:
+def drop_near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 5, n_words: int = 4, radius: int = 46, segments: int = 11) -> DataFrame:
     """docs without all but the row of smallest id of each near-duplicate class, with the columns of docs.
 
-    By default 256-bit fingerprints of five-word shingles; 40 differing bits stand for a Jaccard similarity of about
-    0.8. Of rows with the same id and class one stays. Rows with a null id stay.
+    By default 256-bit fingerprints of five-word shingles. Texts of a Jaccard similarity of 0.8 differ in 39 bits on
+    average, with a standard deviation of 6, hence the radius. Eleven segments find every pair of up to 21 differing
+    bits (about 0.93) and, in expectation, 98 % of pairs at 0.9, 89 % at 0.85 and 76 % at 0.8. Of rows with the same id and class one stays. Rows with a null id stay.
     """
     found = dedup_classes(docs, id_col=id_col, text_col=text_col, width=width, n_words=n_words, radius=radius, segments=segments)
     stay = cut(found.where("doc is not null and doc = component").select(F.col("doc").alias("stay_doc")).distinct())

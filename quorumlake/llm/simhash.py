@@ -80,20 +80,19 @@ def near_classes(prints: DataFrame, *, radius: int, segments: int, bits: int) ->
     names = [c for c in prints.columns if c.startswith("f") and c[1:].isdigit()]
     nodes = cut(prints.groupBy(*names).agg(F.min("doc").alias("rep"), F.count("*").alias("size")))
     width = bits // segments
-    keys = []
+    cuts = []
     for s in range(segments):
         word, off = divmod(s * width, 64)
         own = F.shiftrightunsigned(F.col(names[word]), off)
         if off + width > 64:
             own = own.bitwiseOR(F.shiftleft(F.col(names[word + 1]), 64 - off))
-        own = own.bitwiseAND(F.lit((1 << width) - 1))
-        for p in range(width):
-            less = own.bitwiseAND(F.lit((1 << p) - 1)).bitwiseOR(F.shiftleft(F.shiftrightunsigned(own, p + 1), p))
-            keys.append(less.bitwiseOR(F.lit((s * width + p) << (width - 1))))
-    # the place and the bits left of a short segment fit 31 bits, which halves what is shuffled
-    kind = "int" if width - 1 + (segments * width - 1).bit_length() <= 31 else "long"
+        cuts.append(F.struct(F.lit(s).alias("s"), own.bitwiseAND(F.lit((1 << width) - 1)).alias("own")))
     spread = nodes.where(F.col("rep").isNotNull()).repartition(int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions")), "rep")
-    index = spread.select("rep", F.explode(F.array(*[k.cast(kind) for k in keys])).alias("key"))
+    places = spread.select("rep", F.explode(F.array(*cuts)).alias("c")).select("rep", "c.s", "c.own", F.explode(F.sequence(F.lit(0), F.lit(width - 1))).alias("p"))
+    # the segment without bit p, and the place of that bit; for short segments both fit 31 bits, which halves what is shuffled
+    kind = "int" if width - 1 + (segments * width - 1).bit_length() <= 31 else "bigint"
+    less = f"(own & (shiftleft(1L, p) - 1)) | shiftleft(shiftrightunsigned(own, p + 1), p) | shiftleft(cast(s * {width} + p as bigint), {width - 1})"
+    index = places.select("rep", F.expr(less).cast(kind).alias("key"))
     heads = index.groupBy("key").agg(F.min("rep").alias("head"), F.count("*").alias("n")).where("n > 1")
     hits = cut(index.join(heads, "key").where(F.col("rep") != F.col("head")))
 

@@ -9,7 +9,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import with_fields
+from .common import fresh, with_fields
 from .pieces import PieceCache, pieces
 
 
@@ -141,9 +141,9 @@ def encode_texts(docs: DataFrame, *, path: str, pattern: str, text_col: str = "t
     import pyarrow as pa
 
     new = ["n_tokens", "ids_sha256", "decoded_sha256", *(["ids"] if with_ids else [])]
-    others = [c for c in docs.columns if c != text_col and c not in new]
-    base = docs.select(*others, F.coalesce(F.col(text_col), F.lit("")).alias("bpe_text"))
-    schema = with_fields(base.drop("bpe_text"), "n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids)
+    others = [c for c in docs.columns if c != text_col and c.lower() not in new]
+    base = docs.select(*others, F.coalesce(F.col(text_col), F.lit("")).alias(fresh(docs, "bpe_text")))
+    schema = with_fields(docs.select(*others), "n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids)
 
     def run(batches: Iterator) -> Iterator:
         import numpy as np
@@ -155,8 +155,7 @@ def encode_texts(docs: DataFrame, *, path: str, pattern: str, text_col: str = "t
                 n = min(256, batch.num_rows - at)
                 cut = [pieces(t) for t in texts.slice(at, n).to_pylist()]
                 cache.fill(cut)
-                encoded = [b"".join([cache[p] for p in c]) for c in cut]
-                cache.tidy()
+                encoded = [cache.joined(c) for c in cut]
                 ids = [np.frombuffer(e, dtype="<i4") for e in encoded]
                 columns = [batch.column(i).slice(at, n) for i in range(batch.num_columns - 1)]
                 columns += [

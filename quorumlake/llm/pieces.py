@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterable
+from itertools import chain
 
 #: Characters that count as visible here: printable ASCII and Latin letters, all known not to be white space.
 _SEEN = "[!-~À-ÿ]"
@@ -24,22 +25,37 @@ def pieces(text: str) -> list[str]:
 
 
 class PieceCache(dict):
-    """What `make` gives for lists of pieces, kept for at most `most` pieces, less than `longest` characters each."""
+    """What `make` gives for pieces, kept for the last `most` to 2 * most pieces of at most `longest` characters.
+
+    When it is full, its pieces become the old generation; those that come again return from there, the rest goes with
+    the next change of generation. So frequent pieces stay, and memory has a bound.
+    """
 
     def __init__(self, make: Callable[[list[str]], Iterable], most: int = 400_000, longest: int = 64):
         super().__init__()
         self.make, self.most, self.longest = make, most, longest
+        self.old: dict = {}
+        self.long: list[str] = []
 
     def fill(self, texts: list[list[str]]) -> None:
         """Makes what the pieces of these texts lack."""
+        for p in self.long:
+            del self[p]
         if len(self) > self.most:
+            self.old = dict(self)
             self.clear()
-        lack = list({p for t in texts for p in t if p not in self})
-        for at in range(0, len(lack), 20_000):
-            some = lack[at : at + 20_000]
+        lack = set(chain.from_iterable(texts)).difference(self)
+        if self.old:
+            back = lack.intersection(self.old)
+            self.update({p: self.old[p] for p in back})
+            lack -= back
+        new = list(lack)
+        for at in range(0, len(new), 20_000):
+            some = new[at : at + 20_000]
             self.update(zip(some, self.make(some), strict=True))
+        # long pieces seldom come again
+        self.long = [p for p in new if len(p) > self.longest]
 
-    def tidy(self) -> None:
-        """Forgets long pieces, which seldom come again."""
-        for p in [p for p in self if len(p) > self.longest]:
-            del self[p]
+    def joined(self, pieces_of: list[str]) -> bytes:
+        """The values of these pieces, one after the other; fill them first."""
+        return b"".join(map(self.__getitem__, pieces_of))

@@ -96,8 +96,7 @@ def _whole(path: str, base: DataFrame):
                 else:
                     cuts = [pieces(t) for t in listed]
                     cache.fill(cuts)
-                    counts = [sum([cache[p] for p in c]) for c in cuts]
-                    cache.tidy()
+                    counts = [sum(map(cache.__getitem__, c)) for c in cuts]
                 sizes = pc.cast(pc.binary_length(texts), pa.int64())
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], sizes, pa.array(counts, pa.int64())], names=names)
 

@@ -30,13 +30,19 @@ def tokenizer(path: str) -> PieceCache:
     return _loaded[path]
 
 
-def write_tokens(docs: DataFrame, to: str, *, path: str, end_id: int | None = 2, id_col: str = "doc_id", text_col: str = "text", row_group_mb: int = 16, page_rows: int = 512) -> None:
+def ascii_lowered(text: str) -> str:
+    """The text with A-Z in lower case, unless it may hold a special token, which is matched before lower-casing."""
+    return text if "<|" in text else text.encode().lower().decode()
+
+
+def write_tokens(docs: DataFrame, to: str, *, path: str, end_id: int | None = 2, id_col: str = "doc_id", text_col: str = "text", row_group_mb: int = 16, page_rows: int = 512, lower_case: bool = False) -> None:
     """Writes (doc, n_tokens, ids) for every row of docs in ascending order of the id, one file for each range of ids.
 
     The ids of whole texts (null: empty) as the tokenizers library gives them without added special tokens, then
     end_id. Lists are dictionary-encoded while the dictionary pays, delta-encoded beyond; row groups are of
     row_group_mb MB and pages of page_rows rows at most, with page indexes, so a reader of some documents reads their
-    pages and a reader of counts does not touch the ids. Null ids come first; rows that share an id lie together.
+    pages and a reader of counts does not touch the ids. lower_case: the tokenizer lower-cases all text, so that texts
+    may be lower-cased before they are looked up. Null ids come first; rows that share an id lie together.
     """
     base = docs.select(F.col(id_col).alias("doc"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     schema = with_fields(base.drop("text"), "n_tokens int, ids array<int>")
@@ -47,13 +53,13 @@ def write_tokens(docs: DataFrame, to: str, *, path: str, end_id: int | None = 2,
 
         cache = tokenizer(path)
         last = b"" if end_id is None else end_id.to_bytes(4, "little")
+        lowered = ascii_lowered if lower_case else str
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                cuts = [pieces(t) for t in part.column(1).to_pylist()]
+                cuts = [pieces(lowered(t)) for t in part.column(1).to_pylist()]
                 cache.fill(cuts)
-                ids = [b"".join([cache[p] for p in c]) + last for c in cuts]
-                cache.tidy()
+                ids = [cache.joined(c) + last for c in cuts]
                 sizes = np.array([len(x) // 4 for x in ids], "int32")
                 lists = pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(sizes)]).astype("int32"), np.frombuffer(b"".join(ids), "<i4"))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes), lists], names=[f.name for f in schema.fields])

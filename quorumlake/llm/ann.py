@@ -49,9 +49,11 @@ class CentroidGraph:
         near = np.concatenate(near) if near else np.zeros((0, 0), int)
         jumps = (np.arange(n)[:, None] * 7919 + np.arange(1, far + 1) * (n // (far + 1) + 1)) % max(n, 1)
         self.links = [np.unique(np.concatenate([a, b])) for a, b in zip(near, jumps, strict=True)]
+        back = [[] for _ in range(n)]
         for a, to in enumerate(near):
             for b in to:  # links go both ways, so every centroid can be reached
-                self.links[b] = np.append(self.links[b], a)
+                back[b].append(a)
+        self.links = [np.union1d(a, np.array(b, int)).astype(int) for a, b in zip(self.links, back, strict=True)]
 
     def search(self, vector, width: int):
         """(lists, distances) of up to `width` centroids found nearest, nearest first."""
@@ -123,7 +125,7 @@ def search(
     unit = np.array([r["v"] for r in picked], float)
     if len(unit):
         unit /= np.linalg.norm(unit, axis=1)[:, None]
-    graph = spark.sparkContext.broadcast(CentroidGraph(balanced_centroids(unit, leaf) if len(unit) else unit))
+    graph = spark.sparkContext.broadcast(CentroidGraph(balanced_centroids(unit, leaf) if len(unit) else np.zeros((0, 1))))
 
     def assign(batches: Iterator) -> Iterator:
         import numpy as np

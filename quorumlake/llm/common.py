@@ -44,6 +44,14 @@ def kept(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that df does not have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def with_fields(df: DataFrame, ddl: str) -> T.StructType:
     """The schema of df with further fields behind."""
     return T.StructType([*df.schema.fields, *T.StructType.fromDDL(ddl).fields])

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import WORD, cut
+from .common import WORD, cut, fresh
 
 #: Rows that a bucket of the sampling order holds on average at most.
 BUCKET_ROWS = 4096
@@ -96,8 +96,9 @@ def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sour
 def take_mix(docs: DataFrame, *, id_col: str = "doc_id", **how) -> DataFrame:
     """docs with each row repeated as often as the mix takes it; rows taken no time go. Rows of one id share its copies."""
     copies = mix(docs, id_col=id_col, **how).groupBy("doc").agg(F.max("copies").cast("int").alias("n_copies")).where("n_copies > 0")
-    out = docs.join(copies.withColumnRenamed("doc", "mix_doc"), F.col(id_col).eqNullSafe(F.col("mix_doc")))
-    return out.withColumn("mix_turn", F.explode(F.sequence(F.lit(1), F.col("n_copies")))).select(*docs.columns)
+    doc, n, turn = (fresh(docs, c) for c in ("mix_doc", "mix_copies", "mix_turn"))
+    out = docs.join(copies.select(F.col("doc").alias(doc), F.col("n_copies").alias(n)), F.col(id_col).eqNullSafe(F.col(doc)))
+    return out.select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col(n))).alias(turn)).drop(turn)
 
 
 def oracle(weights: tuple[int, ...] = (1, 2, 3), max_epochs: int = 3, seed: int = 7) -> str:

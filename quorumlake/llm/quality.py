@@ -7,7 +7,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, kth_largest, with_fields
+from .common import cut, fresh, kth_largest, with_fields
 
 BYTE_BUCKETS, SHAPE_BUCKETS = 1 << 16, 1 << 14
 BUCKETS = BYTE_BUCKETS + SHAPE_BUCKETS
@@ -90,16 +90,15 @@ def log_ratios(target: list[int], raw: list[int], smoothing: float = 0.5):
     return out
 
 
-def weighed(docs: DataFrame, ratios, text_col: str = "text", evidence: int = 200) -> DataFrame:
+def weighed(docs: DataFrame, ratios, text_col: str = "text", evidence: int = 200, names: tuple[str, str] = ("log_weight", "n_grams")) -> DataFrame:
     """docs with log_weight, the log ratios of the text's n-grams, and n_grams; null texts have none.
 
     The n-grams of a text are far from independent, so a text of more than `evidence` n-grams weighs as that many of its
     average; the log weight of a shorter one is the plain sum.
     """
     shared = docs.sparkSession.sparkContext.broadcast(ratios)  # of fixed size: one number for each bucket
-    others = [c for c in docs.columns if c not in ("log_weight", "n_grams")]
-    schema = with_fields(docs.select(*others), "log_weight double, n_grams long")
-    place = others.index(text_col)
+    schema = with_fields(docs, f"`{names[0]}` double, `{names[1]}` long")
+    place = docs.columns.index(text_col)
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -116,7 +115,7 @@ def weighed(docs: DataFrame, ratios, text_col: str = "text", evidence: int = 200
                     sizes.append(n)
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(weights, pa.float64()), pa.array(sizes, pa.int64())], names=[f.name for f in schema.fields])
 
-    return docs.select(*others).mapInArrow(run, schema)
+    return docs.mapInArrow(run, schema)
 
 
 def best_cut(good: list[float], bad: list[float]) -> float:
@@ -143,10 +142,10 @@ class Resampler:
     def __init__(self, ratios, cut_at: float, seed: int):
         self.ratios, self.cut_at, self.seed = ratios, cut_at, seed
 
-    def keyed(self, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    def keyed(self, docs: DataFrame, id_col: str, text_col: str, names: tuple[str, str, str] = ("log_weight", "n_grams", "sample_key")) -> DataFrame:
         """docs with log_weight, n_grams and sample_key: the log weight plus Gumbel noise seeded by the id."""
         uniform = (F.xxhash64(F.lit(self.seed), F.col(id_col)).bitwiseAND(F.lit((1 << 52) - 1)) + F.lit(0.5)) / F.lit(float(1 << 52))
-        return weighed(docs, self.ratios, text_col).withColumn("sample_key", F.col("log_weight") - F.log(-F.log(uniform)))
+        return weighed(docs, self.ratios, text_col, names=names[:2]).withColumn(names[2], F.col(names[0]) - F.log(-F.log(uniform)))
 
 
 def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", most_labels: int = 20_000, seed: int = 11) -> Resampler:
@@ -199,4 +198,5 @@ def keep_quality(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id",
     """docs without the rows that importance resampling leaves out, with the columns of docs; texts are not moved."""
     model = fit(docs, labels, id_col=id_col, text_col=text_col, **how)
     least = threshold(cut(model.keyed(docs.select(id_col, text_col), id_col, text_col).select("log_weight", "sample_key")), model, k)
-    return model.keyed(docs, id_col, text_col).where(F.col("sample_key") >= F.lit(least)).select(*docs.columns)
+    names = tuple(fresh(docs, c) for c in ("log_weight", "n_grams", "sample_key"))
+    return model.keyed(docs, id_col, text_col, names).where(F.col(names[2]) >= F.lit(least)).select(*docs.columns)

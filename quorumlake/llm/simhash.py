@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, components, cut, runs, words
+from .common import ascii_lower, components, cut, fresh, runs, words
 
 #: A lane of 32 bits for bit i and one for bit i + 32, summed at once.
 LANES = 0x0000000100000001
@@ -131,7 +131,8 @@ def drop_near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: s
     bits (about 0.93) and, in expectation, 98 % of pairs at 0.9, 89 % at 0.85 and 76 % at 0.8. Of rows with the same id and class one stays. Rows with a null id stay.
     """
     found = dedup_classes(docs, id_col=id_col, text_col=text_col, width=width, n_words=n_words, radius=radius, segments=segments)
-    stay = cut(found.where("doc is not null and doc = component").select(F.col("doc").alias("stay_doc")).distinct())
-    named = docs.where(F.col(id_col).isNotNull()).join(stay, F.col(id_col) == F.col("stay_doc"), "left_semi")
+    name = fresh(docs, "near_doc")
+    stay = cut(found.where("doc is not null and doc = component").select(F.col("doc").alias(name)).distinct())
+    named = docs.where(F.col(id_col).isNotNull()).join(stay, F.col(id_col) == F.col(name), "left_semi")
     one = named.dropDuplicates([id_col])
     return one.select(*docs.columns).unionAll(docs.where(F.col(id_col).isNull()))

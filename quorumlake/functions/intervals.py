@@ -25,21 +25,17 @@ def incomplete_beta(x: float, a: float, b: float) -> float:
     if x > (a + 1.0) / (a + b + 2.0):
         return 1.0 - incomplete_beta(1.0 - x, b, a)
     front = math.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log1p(-x)) / a
-    tiny, c, d = 1e-300, 1.0, 0.0
-    out = 1.0
-    for i in range(0, 1000):
-        m = i // 2
-        if i == 0:
-            step = 1.0
-        elif i % 2 == 0:
-            step = m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m))
-        else:
-            step = -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))
-        d = 1.0 + step * d
-        d = 1.0 / (d if abs(d) > tiny else tiny)
-        c = 1.0 + step / (c if abs(c) > tiny else tiny)
-        out *= c * d if i else d
-        if i and abs(1.0 - c * d) < 1e-15:
+    # the continued fraction 1 / (1 + s1 / (1 + s2 / ...)), evaluated by its convergents' ratios
+    fix = lambda v: v if abs(v) > 1e-300 else 1e-300
+    c, d = 1.0, 1.0 / fix(1.0 - (a + b) * x / (a + 1.0))
+    out = d
+    for m in range(1, 2000):
+        even = m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m))
+        odd = -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))
+        for s in (even, odd):
+            d, c = 1.0 / fix(1.0 + s * d), fix(1.0 + s / c)
+            out *= c * d
+        if abs(c * d - 1.0) < 1e-15:
             break
     return front * out
 

@@ -1,0 +1,100 @@
+"""Generated cohorts, and replicated runs of the certification over them."""
+
+from __future__ import annotations
+
+from dataclasses import dataclass
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quorumlake.functions import heads
+from quorumlake.operators import sites, splits
+
+from .certify import certify, score
+
+
+@dataclass(frozen=True)
+class Population:
+    """A population of sites whose records have Gaussian features with class-conditional means."""
+
+    mean_log_size: float = 6.0
+    sd_log_size: float = 1.1
+    least: int = 20
+    most: int = 5000
+    site_sd: float = 0.5
+    base_rate: float = 0.095
+    separation: float = 1.1
+    n_features: int = 8
+    n_signal: int = 4
+
+
+def draw_cohort(spark: SparkSession, n_sites: int, seed: int, population: Population = Population(), *, label_base_rate: float | None = None, concept_intercept: float = 0.0, prefix: str = "s-") -> DataFrame:
+    """(site_label, y, x): generated site by site, each site by its own stream, so a draw does not depend on partitions.
+
+    label_base_rate shifts the share of positives, concept_intercept the label given the features; not both.
+    """
+    if label_base_rate is not None and concept_intercept:
+        raise ValueError("label shift and concept shift exclude each other (reason=two-shifts)")
+    p, rate = population, label_base_rate
+
+    def one_site(batches):
+        import numpy as np
+        import pandas as pd
+
+        for frame in batches:
+            for site in frame["id"]:
+                rng = np.random.default_rng(np.random.SeedSequence([seed, int(site)]))
+                n = int(np.clip(np.exp(rng.normal(p.mean_log_size, p.sd_log_size)), p.least, p.most))
+                base = p.base_rate if rate is None else rate
+                share = 1.0 / (1.0 + np.exp(-(np.log(base / (1 - base)) + rng.normal(0.0, p.site_sd))))
+                y = rng.random(n) < share
+                direction = np.zeros(p.n_features)
+                direction[: p.n_signal] = 1.0 / np.sqrt(p.n_signal)
+                x = rng.normal(size=(n, p.n_features)) + np.where(y, p.separation, -p.separation)[:, None] * direction
+                if concept_intercept:
+                    logit = np.log(share / (1 - share)) + 2 * p.separation * (x @ direction) + concept_intercept
+                    y = rng.random(n) < 1.0 / (1.0 + np.exp(-logit))
+                yield pd.DataFrame({"site_label": f"{prefix}{site:04d}", "y": y, "x": list(x)})
+
+    return spark.range(0, n_sites, 1, min(n_sites, spark.sparkContext.defaultParallelism)).mapInPandas(one_site, "site_label string, y boolean, x array<double>")
+
+
+def replicate(spark: SparkSession, draw: int, *, n_sites: int = 208, n_target: int = 24, alphas=(0.05, 0.10), modes=("baseline",), population: Population = Population(), **target_shift) -> list[dict]:
+    """One row for each rung: whether and how it certifies, and what the target pool's true risk then is."""
+    cohort = draw_cohort(spark, n_sites, 1000 + draw, population)
+    split = splits.split_sites(cohort.select("site_label").distinct(), draw)
+    target = draw_cohort(spark, n_target, 500_000 + draw, population, prefix="t-", **target_shift)
+    got = certify(splits.with_split(cohort, split), target, alphas=alphas, modes=modes)
+    rows = []
+    for alpha in alphas:
+        rung = got.report["certified"].get(alpha)
+        row = {"draw": draw, "alpha": alpha, "certified": rung is not None, "tau": rung and rung["tau"], "risk": None, "coverage": None, "exceed_share": None}
+        if rung:
+            pool = score(target, got.head).withColumn("site_id", F.col("site_label"))
+            counts = sites.threshold_counts(pool)
+            at = F.col("tau_idx") == rung["tau_idx"]
+            risk, exceed = sites.pool_risk(counts).where(at).first(), sites.exceedance(counts, alpha).where(at).first()
+            row.update(risk=risk["risk"], coverage=risk["coverage"], exceed_share=exceed["exceed_share"])
+        rows.append(row)
+    return rows
+
+
+def rollup(rows: DataFrame) -> DataFrame:
+    """(alpha, draws, certify_rate, mean_tau, mean_coverage, mean_risk, risk_exceed_rate): replicates by rung."""
+    return rows.groupBy("alpha").agg(
+        F.count("*").alias("draws"), F.avg(F.col("certified").cast("double")).alias("certify_rate"), F.avg("tau").alias("mean_tau"), F.avg("coverage").alias("mean_coverage"),
+        F.avg("risk").alias("mean_risk"), F.avg(F.when(F.col("certified"), (F.col("risk") > F.col("alpha")).cast("double"))).alias("risk_exceed_rate"),
+    )
+
+
+def leak_probe(features: DataFrame, columns: list[str], hidden: list[str], y: str = "y") -> dict:
+    """Out-of-sample AUC of a head with all columns and without the hidden ones, and the drop between them."""
+    from quorumlake.operators.ranks import rank_auc
+
+    out = {}
+    for name, used in (("full", columns), ("ablated", [c for c in columns if c not in hidden])):
+        rows = features.select("split", F.col(y).alias("y"), F.array(*[F.col(f"`{c}`") for c in used]).alias("x"))
+        head = heads.fit_head(rows.where("split = 'train'"))
+        out[name] = rank_auc(score(rows.where("split <> 'train'"), head), "p", "y").first()["auc"]
+    out["drop"] = None if None in (out["full"], out["ablated"]) else out["full"] - out["ablated"]
+    return out

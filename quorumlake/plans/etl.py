@@ -117,7 +117,10 @@ def comparator(result: DataFrame, cohort: DataFrame) -> DataFrame:
 
 
 def build(spark: SparkSession, folder: str, *, arm: str = "primary", strict_levels: bool = True) -> Extract:
-    """The feature table of an arm. Raises ExtractError, by the first gate that fails, in a fixed order."""
+    """The feature table of an arm. Raises ExtractError, by the first gate that fails, in a fixed order.
+
+    Feature names are case-sensitive: set spark.sql.caseSensitive before features are written or picked by name.
+    """
     if arm not in C.ARMS:
         raise ExtractError(f"arm {arm!r} is not one of {C.ARMS}", "unknown-arm")
     tables = {t: read_table(spark, folder, t) for t in C.TABLES}
@@ -134,7 +137,9 @@ def build(spark: SparkSession, folder: str, *, arm: str = "primary", strict_leve
         "admissionweight": cells.windowed_cell(F.col("admissionweight"), *C.WINDOW_WEIGHT_KG), "pre_icu_hours": cells.windowed_cell(F.col("hospitaladmitoffset"), *C.WINDOW_PRE_ICU_HOURS, -1.0 / 60.0),
     }
     hot = {k: v for col, levels in C.CATEGORICALS for k, v in cells.one_hot(F.col(col), col, levels).items()}
-    base = cohort.select("stay", "site_label", "y", "uniquepid", (cells.stripped(F.col("age")) == C.AGE_MASK_TOKEN).cast("double").alias("age_masked"), *[v.alias(f"{k}_cell") for k, v in patient_cells.items()], *[v.alias(k) for k, v in hot.items()])
+    # some names differ in case alone (gender=Other, gender=OTHER), which a written table cannot hold: numbers until the end
+    held = {k: f"hot_{i}" for i, k in enumerate(hot)}
+    base = cohort.select("stay", "site_label", "y", "uniquepid", (cells.stripped(F.col("age")) == C.AGE_MASK_TOKEN).cast("double").alias("age_masked"), *[v.alias(f"{k}_cell") for k, v in patient_cells.items()], *[v.alias(held[k]) for k, v in hot.items()])
     base = base.select("*", *[F.col(f"{k}_cell.value").alias(k) for k in patient_cells], *[F.col(f"{k}_cell.status").alias(f"{k}_status") for k in patient_cells])
     for table in ("apacheApsVar", "apachePredVar", "apachePatientResult"):
         key = F.trim(F.col(KEY))
@@ -168,7 +173,7 @@ def build(spark: SparkSession, folder: str, *, arm: str = "primary", strict_leve
         raise ExtractError(f"{len(final)} features", "feature-width-mismatch")
     complete = (F.col("aps_present") == 1.0) & (F.col("apv_present") == 1.0)
     arms = {"primary": F.lit(True), "apache-linked": complete, "apache-complete": complete & F.col("comparator").isNotNull()}
-    out = features.where(arms[arm]).select("stay", "site_label", "y", "uniquepid", "comparator", *[F.col(f"`{c}`") for c in final])
+    out = features.where(arms[arm]).select("stay", "site_label", "y", "uniquepid", "comparator", *[F.col(f"`{held.get(c, c)}`").alias(c) for c in final])
     if out.isEmpty():
         raise ExtractError(f"no stay is left in arm {arm}", "empty-cohort")
 

@@ -161,6 +161,19 @@ def test_dedup_of_odd_tables(spark, odd, void):
     assert kept.where("doc_id is null").count() == 1 and simhash.drop_near_duplicates(void).count() == 0
 
 
+def test_crowded_buckets_lose_no_link(spark):
+    rng = random.Random(4)
+    # 200 fingerprints that share 32 bits; the others differ from one another in few bits, many too far from the smallest
+    prints = list({(rng.getrandbits(9) | rng.getrandbits(3) << 24) << 32 | 0x0F0F1234 for _ in range(200)} | {rng.getrandbits(64) for _ in range(50)})
+    signed = [p - (1 << 64) if p >> 63 else p for p in prints]
+    df = spark.createDataFrame(list(enumerate(signed)), "doc long, f0 long")
+    by = {r["f0"]: r["component"] for r in simhash.near_classes(df, radius=2, segments=2, bits=64).collect()}
+    assert [by[s] for s in signed] == brute_classes(prints, list(range(len(prints))), 2)
+    sparse = [0, 0b11, 0b1111, 0b111 << 20, 1 << 63, 7 << 61]
+    found = simhash.common_points(spark.createDataFrame([(i, p - (1 << 64) if p >> 63 else p) for i, p in enumerate(sparse)], "rep long, f0 long"), "f0")
+    assert sorted(map(tuple, found.collect())) == [(1, 0), (2, 1), (4, 0), (5, 4)]
+
+
 def test_near_copies_by_jaccard(spark):
     rows, r = [], random.Random(3)
     for i in range(80):

@@ -186,6 +186,58 @@ def test_near_copies_by_jaccard(spark):
     assert {2 * i for i in range(80)} <= kept and sum(2 * i + 1 in kept for i in range(80)) <= 4
 
 
+def shingles(text: str) -> set[tuple[str, ...]]:
+    words = WORD.findall(text.translate(LOW))
+    return {tuple(words[i : i + 5]) for i in range(max(len(words) - 4, 1))} if words else set()
+
+
+def jaccard(a: str, b: str) -> float:
+    x, y = shingles(a), shingles(b)
+    return len(x & y) / len(x | y)
+
+
+def edited(seed: int, n: int, edits: int) -> tuple[str, str]:
+    """A text and one where so many words, 7 apart or more, are others."""
+    words = prose(seed, n).split()
+    other = list(words)
+    for at in random.Random(seed).sample(range(0, n, 7), edits):
+        other[at] = f"other{at}"
+    return " ".join(words), " ".join(other)
+
+
+def test_every_pair_at_the_likeness_is_found(spark):
+    pairs = [edited(5000 + i, 300, 5 + i % 3) for i in range(240)]
+    likes = [jaccard(a, b) for a, b in pairs]
+    assert min(likes) < 0.81 and sum(0.8 <= x < 0.86 for x in likes) > 150
+    docs = spark.createDataFrame([(2 * i + j, t) for i, p in enumerate(pairs) for j, t in enumerate(p)], "doc_id bigint, text string")
+    kept = {x["doc_id"] for x in simhash.drop_near_duplicates(docs).collect()}
+    assert kept == {2 * i for i in range(240)} | {2 * i + 1 for i, x in enumerate(likes) if x < 0.8}
+
+
+def test_likeness_classes_of_a_crowd(spark):
+    base, r = prose(77, 200).split(), random.Random(6)
+    texts = [prose(78, 40), ""]
+    for _ in range(120):
+        words = list(base)
+        for at in r.sample(range(200), r.randint(1, 6)):
+            words[at] = f"w{r.random()}"
+        texts.append(" ".join(words[: r.choice([200, 200, 170])]))
+    least = list(range(len(texts)))
+
+    def root(i: int) -> int:
+        while least[i] != i:
+            i = least[i]
+        return i
+
+    for i in range(len(texts)):
+        for j in range(i):
+            if texts[i] and texts[j] and jaccard(texts[i], texts[j]) >= 0.8:
+                x, y = root(i), root(j)
+                least[max(x, y)] = min(x, y)
+    kept = {x["doc_id"] for x in simhash.drop_near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")).collect()}
+    assert kept == {root(i) for i in range(len(texts))}
+
+
 def test_radius_search_is_exact(spark):
     r, prints = random.Random(5), []
     for _ in range(40):

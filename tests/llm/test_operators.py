@@ -214,6 +214,15 @@ def test_every_pair_at_the_likeness_is_found(spark):
     assert kept == {2 * i for i in range(240)} | {2 * i + 1 for i, x in enumerate(likes) if x < 0.8}
 
 
+def test_texts_below_the_likeness_stay(spark):
+    pairs = [edited(7000 + i, 300, 8 + i % 4) for i in range(120)]
+    assert all(0.6 < jaccard(a, b) < 0.8 for a, b in pairs)
+    line = prose(1, 12).replace("\n", "") + "\n"
+    pairs += [(line * 40 + prose(8000 + i, 60), line * 40 + prose(9000 + i, 60)) for i in range(10)]
+    docs = spark.createDataFrame([(2 * i + j, t) for i, p in enumerate(pairs) for j, t in enumerate(p)], "doc_id bigint, text string")
+    assert simhash.drop_near_duplicates(docs).count() == 260
+
+
 def test_likeness_classes_of_a_crowd(spark):
     base, r = prose(77, 200).split(), random.Random(6)
     texts = [prose(78, 40), ""]

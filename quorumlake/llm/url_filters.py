@@ -38,9 +38,11 @@ def intervals(entries: DataFrame) -> DataFrame:
     """(list, pattern, since, until): when each pattern was on each list; until is exclusive, null while it still is.
 
     entries: (list, pattern, day, action) with action 'add' or 'remove'. Of entries of the same day a removal is the
-    last. Repeated entries change nothing. Entries with a null in list, pattern, day or action are void.
+    last. Hosts of patterns are brought to lower case; paths stay as they are. Repeated entries change nothing. Entries with a null in list, pattern, day or action are void.
     """
-    one = entries.where("list is not null and pattern is not null and day is not null and action in ('add', 'remove')").groupBy("list", F.lower("pattern").alias("pattern"), "day").agg(F.max("action").alias("action"))
+    host = F.substring_index("pattern", "/", 1)
+    pattern = F.concat(F.lower(host), F.expr("substring(pattern, length(substring_index(pattern, '/', 1)) + 1)"))
+    one = entries.where("list is not null and pattern is not null and day is not null and action in ('add', 'remove')").groupBy("list", pattern.alias("pattern"), "day").agg(F.max("action").alias("action"))
     order = W.partitionBy("list", "pattern").orderBy("day")
     turns = one.withColumn("before", F.lag("action").over(order)).where("before is null or before <> action")
     return turns.withColumn("until", F.lead("day").over(order)).where("action = 'add'").select("list", "pattern", F.col("day").alias("since"), "until")

@@ -442,6 +442,15 @@ def test_url_filters_as_of(spark):
     assert url_filters.evaluate(caps.limit(0), entries.limit(0)).count() == 0
 
 
+def test_url_filters_keep_the_case_of_paths(spark):
+    day = F.lit("2024-01-01").cast("date")
+    entries = spark.createDataFrame([("l1", "H.org/Ads", "add"), ("l1", "g.org/ads", "add")], "list string, pattern string, action string").withColumn("day", day)
+    urls = ["http://h.org/Ads/1", "http://H.ORG/Ads", "http://h.org/ads/1", "http://g.org/Ads", "http://G.org/ads/X"]
+    caps = spark.createDataFrame(list(enumerate(urls)), "page_id int, url string").withColumn("day", day)
+    got = {r["id"]: r["pattern"] for r in url_filters.evaluate(caps, entries).collect()}
+    assert got == {0: "h.org/Ads", 1: "h.org/Ads", 2: None, 3: None, 4: "g.org/ads"}
+
+
 # ---- op8 --------------------------------------------------------------------
 
 

@@ -148,7 +148,10 @@ def dedup_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
 
 def shingle_set(text: Column, width: int) -> Column:
     """The distinct hashes of a text's shingles of ASCII-lower-cased words; none for a text without words."""
-    return F.array_distinct(F.transform(runs(words(ascii_lower(text)), width), lambda t: F.xxhash64(F.concat_ws(" ", *[t.getField(f"t{j}") for j in range(width)]))))
+    # the words are bound to w, so that they are cut once for each text
+    one = F.transform(F.array(words(ascii_lower(text))), lambda w: F.array_distinct(F.transform(
+        F.filter(F.sequence(F.lit(1), F.greatest(F.size(w) - width + 1, F.lit(1))), lambda i: F.size(w) > 0), lambda i: F.xxhash64(F.array_join(F.slice(w, i, width), " ")))))
+    return F.get(one, F.lit(0))
 
 
 def prefixes(sets: DataFrame, likeness: float, common: list[int]) -> DataFrame:
@@ -191,36 +194,38 @@ def common_hashes(sets: DataFrame, most: int = 16384) -> list[int]:
     return sorted(r["h"] for r in some.orderBy(F.desc("n"), "h").limit(most).collect())
 
 
-def alike(pairs: DataFrame, sets: DataFrame, likeness: float) -> DataFrame:
-    """Of pairs (a, b), once each, those whose sets have at least the given Jaccard similarity."""
+def alike(pairs: DataFrame, texts: DataFrame, width: int, likeness: float) -> DataFrame:
+    """Of pairs (a, b) of texts (node, text), once each, those whose shingle sets have at least the given Jaccard similarity."""
     one = cut(pairs.distinct())
     asked = one.select(F.col("a").alias("node")).unionAll(one.select("b")).distinct()
-    held = cut(sets.join(asked, "node", "left_semi").dropDuplicates(["node"]))
+    # texts are moved rather than their sets, which are larger, and only the sets that are asked for are made
+    held = cut(texts.join(asked, "node", "left_semi").dropDuplicates(["node"]).select("node", shingle_set(F.col("text"), width).alias("h")))
     both = one.join(held.select(F.col("node").alias("a"), F.col("h").alias("x")), "a").join(held.select(F.col("node").alias("b"), F.col("h").alias("y")), "b")
     shared = F.size(F.array_intersect("x", "y"))
     return both.where(shared >= F.lit(likeness) * (F.size("x") + F.size("y") - shared) - 1e-9).select("a", "b")
 
 
-def like_classes(sets: DataFrame, hits: DataFrame, likeness: float) -> DataFrame:
-    """(node, component): classes of sets (node, h), rows of which may repeat, that pairs of at least the given Jaccard similarity connect.
+def like_classes(texts: DataFrame, hits: DataFrame, width: int, likeness: float) -> DataFrame:
+    """(node, component): classes of texts (node, text), rows of which may repeat, that pairs of at least the given Jaccard similarity connect.
 
     hits: pairs (a, b) that are tried first. Then every set is tried with the smallest of each bucket that shares a hash
     of its opening; buckets that this makes one class are done, and in the others members of different classes are
     tried with each other. Every link is verified, every pair is found; nodes without links are absent.
     """
+    sets = texts.select("node", shingle_set(F.col("text"), width).alias("h"))
     index = cut(prefixes(sets, likeness, common_hashes(sets)))
     heads = index.groupBy("key").agg(F.min(F.struct("node", "n")).alias("head"), F.max("node").alias("last")).where("last > head.node")
     shared = cut(index.join(heads.select("key", "head"), "key").distinct())
     fits = lambda x, y: F.least(x, y) >= F.lit(likeness) * F.greatest(x, y) - 1e-6
     first = shared.where((F.col("node") != F.col("head.node")) & fits(F.col("n"), F.col("head.n"))).select(F.col("node").alias("a"), F.col("head.node").alias("b"))
-    edges = cut(alike(hits.select("a", "b").unionAll(first), sets, likeness))
+    edges = cut(alike(hits.select("a", "b").unionAll(first), texts, width, likeness))
     found = components(edges)
     named = cut(shared.select("key", "node", "n").join(found, "node", "left").select("key", "node", "n", F.coalesce("component", "node").alias("c")))
     mixed = named.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("key")
     open_ = named.join(mixed, "key")
     x, y = open_.select("key", F.col("node").alias("a"), F.col("n").alias("m"), F.col("c").alias("d")), open_.select("key", F.col("node").alias("b"), "n", "c")
     again = x.join(y, "key").where((F.col("a") < F.col("b")) & (F.col("d") != F.col("c")) & fits(F.col("m"), F.col("n"))).select("a", "b")
-    return components(edges.unionAll(alike(again, sets, likeness)))
+    return components(edges.unionAll(alike(again, texts, width, likeness)))
 
 
 def drop_near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 5, n_words: int = 4, radius: int = 46, segments: int = 11, likeness: float = 0.8) -> DataFrame:
@@ -242,8 +247,7 @@ def drop_near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: s
     pairs = bucket_hits(nodes, names, segments=segments, bits=64 * n_words).select(F.col("rep").alias("a"), F.col("head").alias("b"))
     near = cut(judged(pairs, nodes, names, radius).where("near").select("a", "b"))
     equal = prints.join(nodes, names).where("doc <> rep").select(F.col("doc").alias("a"), F.col("rep").alias("b"))
-    sets = texts.select("node", shingle_set(F.col("text"), width).alias("h")).where(F.size("h") > 0)
-    found = like_classes(sets, near.unionAll(equal), likeness)
+    found = like_classes(texts, near.unionAll(equal), width, likeness)
     ids = rows.select(F.col(id_col).alias("id"), F.col(name).alias("node")).groupBy("node").agg(F.min("id").alias("id"))
     least = ids.join(found, "node", "left").groupBy(F.coalesce("component", "node").alias("component")).agg(F.min(F.struct("id", "node")).alias("one"))
     stay = cut(least.select(F.col("one.id").alias(f"{name}_id"), F.col("one.node").alias(f"{name}_node")))

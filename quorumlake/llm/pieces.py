@@ -8,6 +8,7 @@ are those of its pieces, one after the other. A piece starts with its blank.
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Callable, Iterable
 from itertools import chain
 
@@ -24,6 +25,63 @@ def pieces(text: str) -> list[str]:
     return text.replace("\n", "\x00\n\x00").replace(" ", "\x00 ").split("\x00")
 
 
+#: What is neither ASCII nor a Latin letter of one code point, or may begin a special token.
+_UNPLAIN = re.compile(r"[^\x00-\x7fÀ-ÖØ-öø-ÿ]|<\|")
+#: Letters; other signs with an apostrophe and all that follows; other signs.
+_RUNS = re.compile(r"[a-zß-öø-ÿ]+|[^a-zß-öø-ÿ']*'.*|[^a-zß-öø-ÿ']+", re.DOTALL)
+
+#: ASCII signs other than the apostrophe that may stand behind a word.
+_TAIL = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+
+
+class WordCache(dict):
+    """The ids, as little-endian 32-bit numbers, of blank-delimited words, for tokenizers of words; made when asked for.
+
+    Such tokenizers lower-case, drop white space, and match runs of letters apart from other signs, but for what follows
+    an apostrophe. So a word's runs of letters go to the model as they are, and the rest to the tokenizer. When `most`
+    words are held, the cache starts anew, so memory has a bound.
+    """
+
+    def __init__(self, tok, most: int = 600_000):
+        super().__init__()
+        from tokenizers.pre_tokenizers import ByteLevel
+
+        self.tok, self.model, self.most, self.signs = tok, tok.model, most, {}
+        # bytes as the model names them, for the Latin letters of one code point
+        name = ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
+        self.names = {i: name(chr(i))[0][0] for i in range(0xDF, 0x100) if i != 0xF7}
+
+    def whole(self, text: str) -> bytes:
+        return array("I", self.tok.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def run(self, run: str) -> bytes:
+        if run.isalpha():
+            return array("I", [t.id for t in self.model.tokenize(run.translate(self.names))]).tobytes()
+        if run not in self.signs:
+            if len(self.signs) >= self.most:
+                self.signs.clear()
+            self.signs[run] = self.whole(run)
+        return self.signs[run]
+
+    def __missing__(self, word: str) -> bytes:
+        core = word.rstrip(_TAIL)
+        if core.isalpha():
+            ids = self.run(core) if core == word else self[core] + self.run(word[len(core) :])
+        else:
+            ids = b"".join(map(self.run, _RUNS.findall(word)))
+        if len(self) >= self.most:
+            self.clear()
+        if len(word) <= 64:
+            self[word] = ids
+        return ids
+
+    def ids(self, text: str) -> bytes:
+        """The ids of a text. One of other letters than Latin ones, or that may hold special tokens, is encoded whole."""
+        if _UNPLAIN.search(text):
+            return self.whole(text)
+        return b"".join(map(self.__getitem__, text.lower().replace("\n", " ").split(" ")))
+
+
 class PieceCache(dict):
     """What `make` gives for pieces, kept for the last `most` to 2 * most pieces of at most `longest` characters.
 

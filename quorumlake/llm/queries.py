@@ -51,7 +51,7 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row for each document, from the files: where its ids start, how many there are, and their checksum."""
     docs, to = table(spark, sf_dir, "documents"), scratch(spark, "tokens")
-    token_store.write_tokens(docs, to, path=vocabulary("word_bpe_49k.json"), end_id=2, lower_case=True)
+    token_store.write_tokens(docs, to, path=vocabulary("word_bpe_49k.json"), end_id=2, word_level=True)
     tokens = token_store.read_tokens(spark, to, docs.schema["doc_id"].dataType.simpleString())
     got = token_store.digests(tokens).join(token_store.starts(tokens), ["file", "row"])
     return got.select(F.col("doc").alias("doc_id"), "start", "n_tokens", "ids_crc32")

@@ -9,14 +9,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from .common import with_fields
-from .pieces import PieceCache, pieces
+from .pieces import PieceCache, WordCache, pieces
 
 _loaded: dict = {}
 
 
-def tokenizer(path: str) -> PieceCache:
+def tokenizer(path: str, word_level: bool) -> PieceCache | WordCache:
     """The cache of this Python worker of the ids of pieces, as little-endian 32-bit numbers."""
-    if path not in _loaded:
+    if (path, word_level) not in _loaded:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -26,23 +26,19 @@ def tokenizer(path: str) -> PieceCache:
         tok = Tokenizer.from_file(path)
         tok.no_truncation()
         tok.no_padding()
-        _loaded[path] = PieceCache(lambda some: [np.array(e.ids, "<u4").tobytes() for e in tok.encode_batch_fast(some, add_special_tokens=False)])
-    return _loaded[path]
+        by_pieces = PieceCache(lambda some: [np.array(e.ids, "<u4").tobytes() for e in tok.encode_batch_fast(some, add_special_tokens=False)])
+        _loaded[path, word_level] = WordCache(tok) if word_level else by_pieces
+    return _loaded[path, word_level]
 
 
-def ascii_lowered(text: str) -> str:
-    """The text with A-Z in lower case, unless it may hold a special token, which is matched before lower-casing."""
-    return text if "<|" in text else text.encode().lower().decode()
-
-
-def write_tokens(docs: DataFrame, to: str, *, path: str, end_id: int | None = 2, id_col: str = "doc_id", text_col: str = "text", row_group_mb: int = 16, page_rows: int = 512, lower_case: bool = False) -> None:
+def write_tokens(docs: DataFrame, to: str, *, path: str, end_id: int | None = 2, id_col: str = "doc_id", text_col: str = "text", row_group_mb: int = 16, page_rows: int = 512, word_level: bool = False) -> None:
     """Writes (doc, n_tokens, ids) for every row of docs in ascending order of the id, one file for each range of ids.
 
     The ids of whole texts (null: empty) as the tokenizers library gives them without added special tokens, then
     end_id. Lists are dictionary-encoded while the dictionary pays, delta-encoded beyond; row groups are of
     row_group_mb MB and pages of page_rows rows at most, with page indexes, so a reader of some documents reads their
-    pages and a reader of counts does not touch the ids. lower_case: the tokenizer lower-cases all text, so that texts
-    may be lower-cased before they are looked up. Null ids come first; rows that share an id lie together.
+    pages and a reader of counts does not touch the ids. word_level: the tokenizer works as WordCache
+    says, so that each distinct word is encoded once, whatever stands beside it. Null ids come first; rows that share an id lie together.
     """
     base = docs.select(F.col(id_col).alias("doc"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     schema = with_fields(base.drop("text"), "n_tokens int, ids array<int>")
@@ -51,15 +47,18 @@ def write_tokens(docs: DataFrame, to: str, *, path: str, end_id: int | None = 2,
         import numpy as np
         import pyarrow as pa
 
-        cache = tokenizer(path)
+        cache = tokenizer(path, word_level)
         last = b"" if end_id is None else end_id.to_bytes(4, "little")
-        lowered = ascii_lowered if lower_case else str
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                cuts = [pieces(lowered(t)) for t in part.column(1).to_pylist()]
-                cache.fill(cuts)
-                ids = [cache.joined(c) + last for c in cuts]
+                texts = part.column(1).to_pylist()
+                if word_level:
+                    ids = [cache.ids(t) + last for t in texts]
+                else:
+                    cuts = [pieces(t) for t in texts]
+                    cache.fill(cuts)
+                    ids = [cache.joined(c) + last for c in cuts]
                 sizes = np.array([len(x) // 4 for x in ids], "int32")
                 lists = pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(sizes)]).astype("int32"), np.frombuffer(b"".join(ids), "<i4"))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes), lists], names=[f.name for f in schema.fields])
@@ -83,8 +82,10 @@ def starts(tokens: DataFrame) -> DataFrame:
 
     Files hold ascending ranges; each is summed, the few sums are added up, and rows are counted within their file.
     """
-    files = tokens.groupBy("file").agg(F.min("file").alias("name"), F.sum("n_tokens").cast("long").alias("in_file"))
-    before = F.coalesce(F.sum("in_file").over(W.orderBy("name").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    # by the number in the name: from 100,000 files on, names are not in the order of their numbers
+    number = F.regexp_extract("file", r"part-(\d+)", 1).cast("long")
+    files = tokens.groupBy("file").agg(F.sum("n_tokens").cast("long").alias("in_file"))
+    before = F.coalesce(F.sum("in_file").over(W.orderBy(number, "file").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     within = F.coalesce(F.sum(F.col("n_tokens").cast("long")).over(W.partitionBy("file").orderBy("row").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     return tokens.select("file", "row", within.alias("within")).join(files.select("file", before.alias("before")), "file").select("file", "row", (F.col("before") + F.col("within")).alias("start"))
 

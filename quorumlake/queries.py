@@ -343,14 +343,14 @@ HEAD = heads.Head((0.8, -0.3, 0.0, 0.5), -0.2, (25.0, 0.05, 0.04, 4.0), (14.0, 0
 
 
 def _explained(spark: SparkSession, d: str) -> DataFrame:
-    li = table(spark, d, "lineitem").where("l_orderkey % 10 = 3")  # the head's own cohort, of one order in ten
+    li = table(spark, d, "lineitem")
     x = F.array(F.col("l_quantity"), F.col("l_discount"), F.col("l_tax"), F.col("l_linenumber").cast("double"))
     rows = li.select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("record_id"), x.alias("x"))
     return rows.withColumn("phi", HEAD.attribution(F.col("x"))).withColumn("logit", HEAD.logit(F.col("x")))
 
 
 _HEADED = """WITH x AS (SELECT l_orderkey * 10 + l_linenumber AS record_id, 0.8::DOUBLE * ((l_quantity - 25) / 14) AS f0, -0.3::DOUBLE * ((l_discount - 0.05::DOUBLE) / 0.03::DOUBLE) AS f1,
-  0.0::DOUBLE * ((l_tax - 0.04::DOUBLE) / 0.02::DOUBLE) AS f2, 0.5::DOUBLE * ((l_linenumber - 4) / 2.0::DOUBLE) AS f3 FROM lineitem WHERE l_orderkey % 10 = 3),
+  0.0::DOUBLE * ((l_tax - 0.04::DOUBLE) / 0.02::DOUBLE) AS f2, 0.5::DOUBLE * ((l_linenumber - 4) / 2.0::DOUBLE) AS f3 FROM lineitem),
 h0 AS (SELECT *, -0.2::DOUBLE + f0 + f1 + f2 + f3 AS logit FROM x),
 h AS (SELECT *, greatest(CASE WHEN logit >= 0 THEN 1 / (1 + exp(-logit)) ELSE exp(logit) / (1 + exp(logit)) END, 1 - CASE WHEN logit >= 0 THEN 1 / (1 + exp(-logit)) ELSE exp(logit) / (1 + exp(logit)) END) AS score FROM h0)"""
 

@@ -7,8 +7,9 @@ import hashlib
 import json
 import math
 import platform
+from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -24,26 +25,53 @@ class ComplianceError(ValueError):
     """An output that would give records away."""
 
 
-def _names(kind: T.DataType, prefix: str = "") -> list[tuple[str, T.DataType]]:
+def _names(kind: T.DataType) -> list[str]:
+    """The names of all fields of a type, at any depth."""
     if isinstance(kind, T.StructType):
-        return [x for f in kind.fields for x in [(f.name, f.dataType), *_names(f.dataType, f.name)]]
+        return [x for f in kind.fields for x in [f.name, *_names(f.dataType)]]
     if isinstance(kind, T.ArrayType):
-        return _names(kind.elementType, prefix)
+        return _names(kind.elementType)
     if isinstance(kind, T.MapType):
-        return _names(kind.valueType, prefix)
+        return [*_names(kind.keyType), *_names(kind.valueType)]
     return []
 
 
+def _within(value: Column, kind: T.DataType) -> tuple[list[Column], list[Column]]:
+    """The sizes of all arrays and maps in a value, and whether its maps have forbidden keys, at any depth."""
+    if isinstance(kind, T.StructType):
+        found = [_within(value.getField(f.name), f.dataType) for f in kind.fields]
+        return [s for sizes, _ in found for s in sizes], [k for _, keys in found for k in keys]
+    if isinstance(kind, T.MapType):
+        sizes, keys = [F.size(value)], []
+        if isinstance(kind.keyType, T.StringType):
+            keys.append(F.coalesce(F.exists(F.map_keys(value), lambda k: F.lower(k).isin(*FORBIDDEN_KEYS)), F.lit(False)))
+        for part, of in ((F.map_keys(value), kind.keyType), (F.map_values(value), kind.valueType)):
+            more, deeper = _within(part, T.ArrayType(of))
+            sizes, keys = sizes + more[1:], keys + deeper
+        return sizes, keys
+    if isinstance(kind, T.ArrayType):
+        sizes, keys = [F.size(value)], []
+        if any(_within(F.lit(None), kind.elementType)):
+            sizes.append(F.array_max(F.transform(value, lambda x: F.greatest(*_within(x, kind.elementType)[0], F.lit(0), F.lit(0)))))
+            if _within(F.lit(None), kind.elementType)[1]:
+                keys.append(F.coalesce(F.exists(value, lambda x: reduce(lambda a, b: a | b, _within(x, kind.elementType)[1])), F.lit(False)))
+        return sizes, keys
+    return [], []
+
+
 def assert_aggregate_only(df: DataFrame, where: str, most: int = C.MAX_SEQUENCE) -> None:
-    """Raises unless no column, nested or not, has a forbidden name and neither rows nor arrays are longer than most."""
-    bad = sorted({n for n, _ in _names(df.schema) if n.lower() in FORBIDDEN_KEYS})
+    """Raises unless no field or map key at any depth has a forbidden name, and neither rows, arrays nor maps at any depth are longer than most."""
+    bad = sorted({n for n in _names(df.schema) if n.lower() in FORBIDDEN_KEYS})
     if bad:
         raise ComplianceError(f"{where} holds {bad} (reason=record-level-output)")
     if len(df.limit(most + 1).select(F.lit(1)).collect()) > most:
         raise ComplianceError(f"{where} has more than {most} rows (reason=record-level-output)")
-    arrays = [f.name for f in df.schema.fields if isinstance(f.dataType, (T.ArrayType, T.MapType))]
-    if arrays and not df.where(F.greatest(*[F.size(c) for c in arrays], F.lit(0)) > most).isEmpty():
+    found = [_within(F.col(f"`{f.name}`"), f.dataType) for f in df.schema.fields]
+    sizes, keys = [s for x, _ in found for s in x], [k for _, x in found for k in x]
+    if sizes and not df.where(F.greatest(*sizes, F.lit(0), F.lit(0)) > most).isEmpty():
         raise ComplianceError(f"{where} has a sequence of more than {most} (reason=record-level-output)")
+    if keys and not df.where(reduce(lambda a, b: a | b, keys)).isEmpty():
+        raise ComplianceError(f"{where} holds a map with a forbidden key (reason=record-level-output)")
 
 
 def assert_report_only(report: object, where: str = "report", most: int = C.MAX_SEQUENCE) -> None:

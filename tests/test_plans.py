@@ -144,6 +144,17 @@ def test_certify_is_honest(spark):
     assert got.count() == 2
 
 
+def test_the_gate_looks_at_every_depth(spark):
+    most = sinks.C.MAX_SEQUENCE
+    long = f"sequence(1, {most + 1})"
+    for leak in (f"struct({long} AS v)", "map('Stay_ID', 1)", f"array(array(1), {long})", f"map('a', {long})", "array(map('x', 1))", "struct(map('k', struct(1 AS patient_id)) AS m)",
+                 f"map_from_arrays(transform({long}, i -> cast(i AS string)), {long})", "map('ok', map('site_raw', 2))"):
+        with pytest.raises(sinks.ComplianceError):
+            sinks.assert_aggregate_only(spark.sql(f"SELECT {leak} AS c"), "out")
+    fine = "SELECT struct(sequence(1, 5) AS v) AS a, map('k', array(1)) AS b, array(map('j', 1), NULL) AS c, CAST(NULL AS map<string,int>) AS d, 1 AS e"
+    sinks.assert_aggregate_only(spark.sql(fine), "out")
+
+
 def test_certify_declines_and_refuses(spark):
     cohort = experiments.draw_cohort(spark, 60, 5, experiments.Population(most=60))
     split = experiments.splits.split_sites(cohort.select("site_label").distinct(), 1)

@@ -101,10 +101,10 @@ def read_index(spark: SparkSession, at: str) -> DataFrame:
     return spark.read.schema(INDEX).parquet(f"{at}/index")
 
 
-def read_records(selected: DataFrame, at: str, *, gap: int = 1 << 16, most: int = 8 << 20, with_payload: bool = False) -> DataFrame:
+def read_records(selected: DataFrame, at: str, *, gap: int = 1 << 16, most: int = 8 << 20, range_bytes: int = 8 << 20, with_payload: bool = False) -> DataFrame:
     """(page, url, payload_bytes, payload_digest, record_type, refers_to[, payload]) of the selected rows of an index.
 
-    Rows are dealt into ranges of file and offset. Neighbours at most `gap` bytes apart are read at once, `most` bytes
+    Rows are dealt into ranges of file and offset, one for each `range_bytes` to be read. Neighbours at most `gap` bytes apart are read at once, `most` bytes
     at most or one record. The digest of each response is checked against its payload; a mismatch fails the job.
     payload_bytes is that of the full payload for revisits too; their payload is null.
     """
@@ -147,5 +147,7 @@ def read_records(selected: DataFrame, at: str, *, gap: int = 1 << 16, most: int
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*found, strict=True), form, strict=True)], names=names)
                 i = j
 
-    ordered = selected.select("file", "offset", "length").repartitionByRange("file", "offset").sortWithinPartitions("file", "offset")
+    # a range for each range_bytes to be read, so that tasks follow the bytes of the records, not of their index
+    total = selected.agg(F.sum("length")).first()[0] or 0
+    ordered = selected.select("file", "offset", "length").repartitionByRange(max(1, -(-total // range_bytes)), "file", "offset").sortWithinPartitions("file", "offset")
     return ordered.mapInArrow(run, schema)

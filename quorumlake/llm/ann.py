@@ -101,8 +101,8 @@ def vector_classes(vectors: DataFrame, id_col: str, vector_col: str, k: int) ->
 
 
 def search(
-    vectors: DataFrame, queries: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 5, sample: int = 16_384, leaf: int = 128,
-    replicas: int = 4, boundary: float = 0.05, probes: int = 128, ratio: float = 1.25, list_rows: int = 4096, seed: int = 5,
+    vectors: DataFrame, queries: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 5, sample: int = 65_536, leaf: int = 16,
+    replicas: int = 4, boundary: float = 0.1, probes: int = 384, ratio: float = 1.4, list_rows: int = 4096, seed: int = 5,
 ) -> DataFrame:
     """Operator 6. (query, rank, neighbour, score): each query's k nearest rows found among all vectors, itself left out.
 
@@ -114,17 +114,19 @@ def search(
     id; fewer rows come back where there are fewer candidates. Equal vectors are searched once, each id its own row.
 
     queries: ids (column id_col). Rows that are not valid vectors take no part; repeated ids count once. Other columns
-    are not read. Up to leaf * probes vectors nothing is pruned but by the ratio.
+    are not read. At the defaults a sampled table has a list for each 16 vectors, of which a query probes 384 at most; up
+    to leaf * probes vectors nothing is pruned but by the ratio.
     """
     spark = vectors.sparkSession
     classes = cut(vector_classes(vectors, id_col, vector_col, k))
     # bounded: `sample` vectors, and at most 2 * sample / leaf centroids
-    picked = classes.select("v", F.xxhash64(F.lit(seed), "rep").alias("h"), "rep").orderBy("h", "rep").limit(sample).collect()
+    picked = classes.select("v", F.xxhash64(F.lit(seed), "rep").alias("h"), "rep").orderBy("h", "rep").limit(sample).select("v").toArrow()
     import numpy as np
 
-    unit = np.array([r["v"] for r in picked], float)
-    if len(unit):
-        unit /= np.linalg.norm(unit, axis=1)[:, None]
+    unit = np.zeros((0, 1))
+    if picked.num_rows:
+        unit = picked.column("v").combine_chunks().flatten().to_numpy().reshape(picked.num_rows, -1)
+        unit = unit / np.linalg.norm(unit, axis=1)[:, None]
     graph = spark.sparkContext.broadcast(CentroidGraph(balanced_centroids(unit, leaf) if len(unit) else np.zeros((0, 1))))
 
     def assign(batches: Iterator) -> Iterator:

@@ -8,8 +8,10 @@ from pyspark.sql import Window as W
 
 from .common import WORD, cut, fresh
 
-#: Rows that a bucket of the sampling order holds on average at most.
-BUCKET_ROWS = 4096
+#: Hex digits of the sampling hash that name a bucket: 4,096 buckets of a source, whatever the table's size.
+DIGITS = 3
+#: Walks that fill a source's rest. Each leaves less than one document that the walk before it could still take.
+WALKS = 6
 
 
 def word_count(text: Column) -> Column:
@@ -51,13 +53,39 @@ def water_fill(sources: DataFrame, max_epochs: float, total: float | None = None
     return sources.withColumn("target", F.when(F.col("weight") > 0, F.when(share > cap, cap).otherwise(share)).otherwise(0.0))
 
 
+def fill(rows: DataFrame, rest: DataFrame, walks: int = WALKS) -> DataFrame:
+    """rows (key, bucket, h, doc, size) with `took`: a sample of each key's rows whose sizes add up to nearly its rest.
+
+    rest: (key, bucket, lack), the same lack for all buckets of a key. A walk goes over the key's rows that are not
+    taken and no larger than what it lacks, in the order of h, and takes them while their sum is within that; the next
+    walk starts anew with what is left. Buckets are summed first, so each finds its place in the walk by itself and a
+    key of any size is sorted bucket by bucket. It ends early where no row fits any more.
+    """
+    within = W.partitionBy("key", "bucket").orderBy("h", "doc", "size").rowsBetween(W.unboundedPreceding, W.currentRow)
+    before = W.partitionBy("key").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
+    now = rows.withColumn("took", F.lit(False))
+    for turn in range(walks):
+        now = cut(now.join(rest, ["key", "bucket"]).withColumn("fits", ~F.col("took") & (F.col("size") <= F.col("lack"))))
+        sums = now.groupBy("key", "bucket").agg(F.sum(F.when(F.col("fits"), F.col("size")).otherwise(0)).alias("sum"))
+        starts = sums.select("key", "bucket", F.coalesce(F.sum("sum").over(before), F.lit(0)).alias("start"))
+        upto = F.col("start") + F.sum(F.when(F.col("fits"), F.col("size")).otherwise(0)).over(within)
+        step = cut(now.join(starts, ["key", "bucket"]).withColumn("new", F.col("fits") & (upto <= F.col("lack"))))
+        now = step.select(*rows.columns, (F.col("took") | F.col("new")).alias("took"))
+        if turn + 1 == walks or step.where("new").isEmpty():
+            break
+        given = step.groupBy("key", "bucket").agg(F.first("lack").alias("lack"), F.sum(F.when(F.col("new"), F.col("size")).otherwise(0)).alias("given"))
+        rest = cut(given.select("key", "bucket", (F.col("lack") - F.sum("given").over(W.partitionBy("key"))).alias("lack")))
+    return now
+
+
 def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = (1, 2, 3), max_epochs: float = 3.0, seed: int = 7) -> DataFrame:
     """(doc, size, source_size, target, copies, taken): how often the mix repeats each row of docs.
 
     Sources in code-point order, null last, weigh `weights` in turn. A source of target t and size s repeats all its
-    rows floor(t / s) times; the rest is a sample of whole documents: in the order of a seeded hash of the id, rows are
-    taken while they fit the rest, then, within the bucket of the order where the next one did not fit, two more walks
-    take what still fits, so the error is less than a short document. Nothing depends on partitioning: reruns agree.
+    rows floor(t / s) times; the rest is a sample of whole documents in the order of a seeded hash of the id (see
+    `fill`): a document that is too long for what is left is passed over, and the walk goes on behind it, so a source
+    misses its target by less than one of its documents. Each source's sample hangs on its own rows alone, neither on
+    the table's size nor on partitions: reruns agree.
 
     Null and empty texts have size 0; a null source is a source of its own; a null id is hashed like another id; rows
     that repeat an id are sampled each for itself; an empty table gives no rows. Other columns are not read. A source
@@ -65,30 +93,16 @@ def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sour
     """
     key = F.coalesce(F.concat(F.lit("s"), F.col(source_col)), F.lit("~"))
     order = F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col(id_col).cast("string"), F.lit("null"))))
-    rows = cut(docs.select(F.col(id_col).alias("doc"), key.alias("key"), word_count(F.col(text_col)).alias("size"), order.alias("h")))
-    n = rows.count()
-    digits = 0
-    while BUCKET_ROWS * 16**digits < n:
-        digits += 1
-    rows = rows.withColumn("bucket", F.expr(f"left(h, {digits})"))
+    rows = docs.select(F.col(id_col).alias("doc"), key.alias("key"), word_count(F.col(text_col)).alias("size"), order.alias("h"))
+    rows = cut(rows.withColumn("bucket", F.expr(f"left(h, {DIGITS})")))
     buckets = cut(rows.groupBy("key", "bucket").agg(F.sum("size").alias("bucket_size")))
     sources = buckets.groupBy("key").agg(F.sum("bucket_size").alias("size"))
     turn = F.element_at(F.array(*[F.lit(w) for w in weights]), (F.col("place") % len(weights) + 1).cast("int"))
     filled = cut(water_fill(cut(ranked(sources, F.col("key")).withColumn("weight", turn)), max_epochs))
     whole = F.when(F.col("size") > 0, F.floor(F.col("target") / F.col("size"))).otherwise(0)
-    filled = filled.select("key", F.col("size").alias("source_size"), "target", whole.alias("whole"), (F.col("target") - whole * F.col("size")).alias("rest"))
-    start = F.coalesce(F.sum("bucket_size").over(W.partitionBy("key").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    plan = buckets.withColumn("start", start).join(filled, "key")
-    edge = (F.col("start") <= F.col("rest")) & (F.col("rest") < F.col("start") + F.col("bucket_size"))
-    all_of = W.partitionBy("key", "bucket")
-    upto = all_of.orderBy("h", "doc", "size").rowsBetween(W.unboundedPreceding, W.currentRow)
-    out = rows.join(plan.withColumn("edge", edge), ["key", "bucket"])
-    out = out.withColumn("took", F.col("start") + F.sum("size").over(upto) <= F.col("rest"))
-    out = out.withColumn("left", F.col("rest") - F.col("start") - F.sum(F.when(F.col("took"), F.col("size")).otherwise(0)).over(all_of))
-    for _ in range(2):
-        fits = F.col("edge") & ~F.col("took") & (F.col("size") <= F.col("left"))
-        out = out.withColumn("fits", fits).withColumn("now", F.col("fits") & (F.sum(F.when(F.col("fits"), F.col("size")).otherwise(0)).over(upto) <= F.col("left")))
-        out = out.withColumn("left", F.col("left") - F.sum(F.when(F.col("now"), F.col("size")).otherwise(0)).over(all_of)).withColumn("took", F.col("took") | F.col("now"))
+    filled = filled.select("key", F.col("size").alias("source_size"), "target", whole.alias("whole"), (F.col("target") - whole * F.col("size")).alias("lack"))
+    plan = cut(buckets.select("key", "bucket").join(filled, "key"))
+    out = fill(rows, plan.select("key", "bucket", "lack")).join(plan.drop("lack"), ["key", "bucket"])
     copies = F.col("whole") + F.col("took").cast("long")
     return out.select("doc", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
 
@@ -104,33 +118,28 @@ def take_mix(docs: DataFrame, *, id_col: str = "doc_id", **how) -> DataFrame:
 def oracle(weights: tuple[int, ...] = (1, 2, 3), max_epochs: int = 3, seed: int = 7) -> str:
     """DuckDB SQL for the rows of `mix` over the view documents."""
     cases = " ".join(f"WHEN {i} THEN {w}" for i, w in enumerate(weights))
-    walk = "PARTITION BY key, bucket ORDER BY h, doc_id, size ROWS UNBOUNDED PRECEDING"
+    walk = "PARTITION BY key ORDER BY h, doc_id, size ROWS UNBOUNDED PRECEDING"
+    walks = "".join(
+        f"""
+f{i} AS (SELECT *, NOT took AND size <= lack AS fits FROM w{i}),
+g{i} AS (SELECT *, fits AND sum(CASE WHEN fits THEN size ELSE 0 END) OVER ({walk}) <= lack AS new FROM f{i}),
+w{i + 1} AS (SELECT doc_id, key, size, h, source_size, target, whole, took OR new AS took,
+    lack - sum(CASE WHEN new THEN size ELSE 0 END) OVER (PARTITION BY key) AS lack FROM g{i}),"""
+        for i in range(WALKS)
+    )
     return f"""
 WITH d AS (
   SELECT doc_id, coalesce('s' || source, '~') AS key,
     len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS size,
     md5('{seed}:' || coalesce(doc_id::VARCHAR, 'null')) AS h FROM documents),
-n AS (SELECT CASE WHEN count(*) <= {BUCKET_ROWS} THEN 0 ELSE ceil(ln(count(*) / {BUCKET_ROWS}.0) / ln(16) - 1e-9) END::INT AS digits FROM d),
-b AS (SELECT *, left(h, digits) AS bucket FROM d, n),
 s AS (SELECT key, sum(size)::BIGINT AS source_size, {max_epochs}.0::DOUBLE * sum(size)::DOUBLE AS cap,
-    CASE (row_number() OVER (ORDER BY key) - 1) % {len(weights)} {cases} END::DOUBLE AS weight FROM b GROUP BY key),
+    CASE (row_number() OVER (ORDER BY key) - 1) % {len(weights)} {cases} END::DOUBLE AS weight FROM d GROUP BY key),
 r AS (SELECT *, (SELECT sum(source_size)::DOUBLE FROM s) - coalesce(sum(cap) OVER (ORDER BY cap / weight, key ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS rest_total,
     sum(weight) OVER (ORDER BY cap / weight, key ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS rest_weight,
     row_number() OVER (ORDER BY cap / weight, key) AS k FROM s),
 l AS (SELECT min_by(rest_total / rest_weight, k) AS level FROM r WHERE weight * (rest_total / rest_weight) <= cap),
 t AS (SELECT key, source_size, CASE WHEN weight * level > cap THEN cap ELSE weight * level END AS target FROM s, l),
 t2 AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END AS whole FROM t),
-t3 AS (SELECT *, target - whole * source_size AS rest FROM t2),
-p AS (SELECT b.*, source_size, target, whole, rest,
-    sum(size) OVER (PARTITION BY key ORDER BY h, doc_id, size ROWS UNBOUNDED PRECEDING) AS upto,
-    sum(size) OVER ({walk}) AS inside, sum(size) OVER (PARTITION BY key, bucket) AS bucket_size FROM b JOIN t3 USING (key)),
-q AS (SELECT *, upto - inside AS start, upto <= rest AS took FROM p),
-q1 AS (SELECT *, start <= rest AND rest < start + bucket_size AS edge,
-    rest - start - sum(CASE WHEN took THEN size ELSE 0 END) OVER (PARTITION BY key, bucket) AS left1 FROM q),
-q2 AS (SELECT *, edge AND NOT took AND size <= left1 AS fits FROM q1),
-q3 AS (SELECT *, fits AND sum(CASE WHEN fits THEN size ELSE 0 END) OVER ({walk}) <= left1 AS now1 FROM q2),
-q4 AS (SELECT *, left1 - sum(CASE WHEN now1 THEN size ELSE 0 END) OVER (PARTITION BY key, bucket) AS left2 FROM q3),
-q5 AS (SELECT *, edge AND NOT took AND NOT now1 AND size <= left2 AS fits2 FROM q4),
-q6 AS (SELECT *, fits2 AND sum(CASE WHEN fits2 THEN size ELSE 0 END) OVER ({walk}) <= left2 AS now2 FROM q5)
-SELECT doc_id, size, source_size, target, (whole + (took OR now1 OR now2)::INT)::BIGINT AS copies,
-  ((whole + (took OR now1 OR now2)::INT) * size)::BIGINT AS taken FROM q6"""
+w0 AS (SELECT d.*, source_size, target, whole, FALSE AS took, target - whole * source_size AS lack FROM d JOIN t2 USING (key)),{walks}
+o AS (SELECT *, (whole + took::INT)::BIGINT AS copies FROM w{WALKS})
+SELECT doc_id, size, source_size, target, copies, (copies * size)::BIGINT AS taken FROM o"""

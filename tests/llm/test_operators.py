@@ -97,6 +97,28 @@ def test_mix_comes_near_targets(spark):
     assert len(got) == 7 and all(abs(r["taken"] - r["target"]) <= 0.01 * r["target"] for r in got)
 
 
+def test_small_sources_of_a_large_table_come_near_their_targets(spark):
+    """1,000 sources of 12 documents, of 20 to 2,000 words, and one with a document of a third of its words."""
+    r = random.Random(9)
+    sizes = [(i, f"s{i % 1000:03}", int(20 * 100 ** r.random())) for i in range(12_000)]
+    sizes += [(20_000 + i, "t", r.randint(50, 750)) for i in range(500)] + [(30_000, "t", 100_000)]
+    docs = spark.createDataFrame(sizes, "doc_id bigint, source string, n int").select("doc_id", "source", F.expr("repeat('w ', n)").alias("text"))
+    of = {i: (s, n) for i, s, n in sizes}
+    taken, left, target = Counter(), defaultdict(list), {}
+    for x in mixing.mix(docs).collect():
+        source, n = of[x["doc"]]
+        assert x["size"] == n and x["taken"] <= 3 * n
+        taken[source] += x["taken"]
+        target[source] = x["target"]
+        if x["copies"] == int(x["target"] // x["source_size"]):
+            left[source].append(n)
+    assert len(target) == 1001
+    for source, t in target.items():
+        assert taken[source] <= t + 1e-6
+        assert t - taken[source] <= 0.005 * t or t - taken[source] < min(left[source])
+    assert target["t"] - taken["t"] < 50
+
+
 # ---- op2, op3 ---------------------------------------------------------------
 
 

@@ -76,3 +76,20 @@ def representative_cases(records: DataFrame, id_col: str, score: str, tau: float
     """(highest, lowest, nearest): ids of the surest, the least sure and the closest record to the threshold."""
     first = lambda key: F.min(F.struct(key.alias("k"), F.col(id_col).alias("id")))["id"]
     return records.agg(first(-F.col(score)).alias("highest"), first(F.col(score)).alias("lowest"), first(F.abs(F.col(score) - tau)).alias("nearest"))
+
+
+def browse(records: DataFrame, *, answered: Column | None = None, contains: str | None = None, id_col: str = "record_id", site: object = None, score: tuple[float, float] | None = None) -> DataFrame:
+    """The records that meet all given filters: answered or not, a part of the id, a site, a score in [low, high)."""
+    out = records if answered is None else records.where(answered)
+    if contains is not None:
+        out = out.where(F.col(id_col).cast("string").contains(contains))
+    if site is not None:
+        out = out.where(F.col("site_id") == F.lit(site))
+    return out if score is None else out.where((F.col("score") >= F.lit(score[0])) & (F.col("score") < F.lit(score[1])))
+
+
+def leading_features(records: DataFrame, id_col: str, phi: str, top: int = 12) -> DataFrame:
+    """(id, feature, phi, n_shown, n_total): each record's features of largest share of the logit, ties by place."""
+    pairs = F.transform(F.col(phi), lambda v, j: F.struct((-F.abs(v)).alias("size"), j.alias("feature"), v.alias("phi")))
+    best = F.slice(F.array_sort(pairs), 1, top)
+    return records.select(id_col, F.least(F.size(phi), F.lit(top)).alias("n_shown"), F.size(phi).alias("n_total"), F.explode(best).alias("b")).select(id_col, "b.feature", "b.phi", "n_shown", "n_total")

@@ -60,3 +60,26 @@ def missing_share(df: DataFrame, site: str, columns: list[str]) -> DataFrame:
     """(site, missing_share): the mean over a site's records of the share of columns that are missing."""
     gone = sum(F.col(c).isNull().cast("double") for c in columns) / float(len(columns))
     return df.groupBy(site).agg(F.avg(gone).alias("missing_share"))
+
+
+def outcome_missing(df: DataFrame, key: str, order: str, columns: list[str], positive: Column) -> DataFrame:
+    """(name, n_present, n_absent, prev_present, prev_absent, ratio): does a missing cell tell of the outcome?
+
+    Of each key the row that comes first in `order` counts, as it stands, even where its cells are missing.
+    """
+    first = df.groupBy(key).agg(F.min_by(F.struct(positive.cast("double").alias("p"), *columns), order).alias("r")).select("r.*")
+    pairs = F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).isNull().alias("gone")) for c in columns])
+    long = first.select("p", F.explode(pairs).alias("c")).select("p", "c.name", "c.gone")
+    got = long.groupBy("name").agg(F.count_if(~F.col("gone")).alias("n_present"), F.count_if("gone").alias("n_absent"), F.avg(F.when(~F.col("gone"), F.col("p"))).alias("prev_present"), F.avg(F.when(F.col("gone"), F.col("p"))).alias("prev_absent"))
+    return got.withColumn("ratio", F.try_divide("prev_absent", "prev_present"))
+
+
+def worst_missing(contrasts: DataFrame, least: int, top: int = 6) -> DataFrame:
+    """The largest ratios of contrasts (name, n_present, n_absent, ratio) of which both sides have at least `least` keys."""
+    return contrasts.where((F.least("n_present", "n_absent") >= least) & F.col("ratio").isNotNull()).orderBy(F.desc("ratio"), "name").limit(top)
+
+
+def identities(found: DataFrame, expected: dict[str, int]) -> DataFrame:
+    """(name, n, expected, matches): counts (name, n) against those of the release; a table that is not there has none."""
+    known = found.sparkSession.createDataFrame(sorted(expected.items()), "name string, expected long")
+    return known.join(found, "name", "left").select("name", "n", "expected", F.coalesce(F.col("n") == F.col("expected"), F.lit(False)).alias("matches"))

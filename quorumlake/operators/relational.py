@@ -8,7 +8,7 @@ from pyspark.sql import Window as W
 
 
 def first_of_group(df: DataFrame, group: list[Column], order: list[Column]) -> DataFrame:
-    """The first row of each group in the given order."""
+    """The first row of each group in the given order; Spark keeps one row a group before it shuffles, so hot groups do not meet in a task."""
     return df.withColumn("_place", F.row_number().over(W.partitionBy(*group).orderBy(*order))).where("_place = 1").drop("_place")
 
 
@@ -93,3 +93,9 @@ def largest_remainder(weights: DataFrame, key: str, weight: str, total: int, lea
     place = F.row_number().over(W.orderBy((F.col("base") - F.col("exact")), key))
     rest = F.col("spare") - F.sum("base").over(W.partitionBy())
     return base.select(key, (F.col("base") + least + (place <= rest).cast("long")).alias("quota"))
+
+
+def replayed(recorded: DataFrame, again: DataFrame, key: str, value: str, tolerance: float) -> DataFrame:
+    """(key, recorded, replayed, agrees) of the keys that both result sets have."""
+    a, b = recorded.select(key, F.col(value).alias("recorded")), again.select(key, F.col(value).alias("replayed"))
+    return a.join(b, key).withColumn("agrees", F.abs(F.col("recorded") - F.col("replayed")) <= tolerance)

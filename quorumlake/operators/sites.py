@@ -148,3 +148,32 @@ def site_table(records: DataFrame, tau: float) -> DataFrame:
         F.count("*").alias("n"), F.count_if(a).alias("n_answered"), F.avg(a.cast("double")).alias("coverage"),
         F.avg(F.when(a, F.col("err").cast("double"))).alias("err_rate"), F.avg(F.col("y").cast("double")).alias("pos_share"),
     )
+
+
+def with_strata(per_site: DataFrame, dimension: DataFrame, key: str, order: str, columns: list[str]) -> DataFrame:
+    """per_site with the columns of its site in a dimension, and `found`; sites that it lacks get NULLs and false.
+
+    Of several rows of a site the last in `order` counts. Values are stripped; blank ones are NULL.
+    """
+    last = dimension.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("site_id")).agg(F.max_by(F.struct(*[F.nullif(F.trim(F.col(c)), F.lit("")).alias(c) for c in columns]), order).alias("last"))
+    return per_site.join(last, "site_id", "left").select("*", *[F.col(f"last.{c}").alias(c) for c in columns], F.col("last").isNotNull().alias("found")).drop("last")
+
+
+def linkage(records: DataFrame, positive: Column, flags: dict[str, Column]) -> DataFrame:
+    """(site_id, n, n_pos, prevalence, then for each flag n_ and share_): how much of each site is linked to what."""
+    got = records.groupBy("site_id").agg(F.count("*").alias("n"), F.count_if(positive).alias("n_pos"), *[F.count_if(c).alias(f"n_{k}") for k, c in flags.items()])
+    shares = [F.try_divide(F.col(f"n_{k}").cast("double"), F.col("n")).alias(f"share_{k}") for k in flags]
+    return got.select("*", F.try_divide(F.col("n_pos").cast("double"), F.col("n")).alias("prevalence"), *shares)
+
+
+def in_label_order(sites: DataFrame, label: str) -> DataFrame:
+    """sites with `place`: by the number at the end of the label, labels without one last, ties by label."""
+    number = F.expr(f"try_cast(regexp_extract({label}, '([0-9]+)$', 1) AS bigint)")
+    return sites.withColumn("place", F.row_number().over(W.orderBy(number.asc_nulls_last(), label)))  # a row for each site
+
+
+def subset_sites(records: DataFrame, keep: Column) -> DataFrame:
+    """The records of the sites to keep, with `dense_id`: those sites' numbers from 0 without gaps, in the order of site_id."""
+    left = records.where(keep)
+    names = left.select("site_id").distinct().withColumn("dense_id", F.row_number().over(W.orderBy("site_id")) - 1)  # a row for each site
+    return left.join(names, "site_id")

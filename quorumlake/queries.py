@@ -642,3 +642,94 @@ def measurement_rollup(spark: SparkSession, d: str) -> DataFrame:
     rows = e.select(F.col("user_id").alias("c_custkey"), cell.alias("cell")).withColumn("v", cells.maybe_float(F.col("cell")))
     per = rows.groupBy("c_custkey").agg(F.count("*").alias("n_rows"), F.count("v").alias("n_parseable"), F.count_if(F.col("cell") == "").alias("n_empty"), F.round(F.avg("v"), 6).alias("mean"))
     return table(spark, d, "customer").select("c_custkey").join(per, "c_custkey", "left").na.fill(0, ["n_rows", "n_parseable", "n_empty"])
+
+
+# ---- diagnostics by site, missing cells, alarms -------------------------------
+
+
+@query("""WITH s AS (SELECT c_nationkey * 3 AS site_id, count(*) AS n FROM customer GROUP BY 1), d AS (SELECT s_nationkey * 2 AS site_id, arg_max(nullif(trim(CASE WHEN s_suppkey % 4 = 0 THEN ' ' ELSE s_name END), ''), s_suppkey) FILTER (s_suppkey % 4 <> 0) AS name, max(s_suppkey) AS k FROM supplier GROUP BY 1)
+SELECT s.site_id, n, CASE WHEN k % 4 <> 0 THEN name END AS name, k IS NOT NULL AS found FROM s LEFT JOIN d USING (site_id)""")
+def site_strata(spark: SparkSession, d: str) -> DataFrame:
+    per = table(spark, d, "customer").groupBy((F.col("c_nationkey") * 3).alias("site_id")).agg(F.count("*").alias("n"))
+    dim = table(spark, d, "supplier").select((F.col("s_nationkey") * 2).alias("site"), "s_suppkey", F.when(F.col("s_suppkey") % 4 == 0, " ").otherwise(F.col("s_name")).alias("name"))
+    return sites.with_strata(per, dim, "site", "s_suppkey", ["name"])
+
+
+@query("""SELECT o_custkey % 20 AS site_id, count(*) AS n, count(*) FILTER (o_totalprice > 150000) AS n_pos, count(*) FILTER (k IS NOT NULL) AS n_returned, round(avg((o_totalprice > 150000)::INT::DOUBLE), 9) AS prevalence,
+  round(avg((k IS NOT NULL)::INT::DOUBLE), 9) AS share_returned FROM orders LEFT JOIN (SELECT DISTINCT l_orderkey AS k FROM lineitem WHERE l_returnflag = 'R') ON k = o_orderkey GROUP BY 1""")
+def site_linkage(spark: SparkSession, d: str) -> DataFrame:
+    back = table(spark, d, "lineitem").where("l_returnflag = 'R'").select(F.col("l_orderkey").alias("o_orderkey")).distinct()
+    rows = relational.with_presence(table(spark, d, "orders"), back, "o_orderkey", "returned").withColumn("site_id", F.col("o_custkey") % 20)
+    return rounded(sites.linkage(rows, F.col("o_totalprice") > 150000, {"returned": F.col("returned") == 1.0}), 9, "prevalence", "share_returned")
+
+
+@query("""WITH s AS (SELECT DISTINCT CASE WHEN p_size % 7 = 0 THEN 'other' ELSE 'site_' || p_size END AS label FROM part)
+SELECT label, (row_number() OVER (ORDER BY TRY_CAST(regexp_extract(label, '([0-9]+)$', 1) AS BIGINT) NULLS LAST, label))::INT AS place FROM s""")
+def site_order(spark: SparkSession, d: str) -> DataFrame:
+    label = F.when(F.col("p_size") % 7 == 0, "other").otherwise(F.concat(F.lit("site_"), F.col("p_size").cast("string")))
+    return sites.in_label_order(table(spark, d, "part").select(label.alias("label")).distinct(), "label")
+
+
+@query(f"""{COHORT}, k AS (SELECT * FROM cohort WHERE site_id % 3 = 1) SELECT site_id, (dense_rank() OVER (ORDER BY site_id) - 1)::INT AS dense_id, count(*) AS n FROM k GROUP BY site_id""")
+def subset_sites(spark: SparkSession, d: str) -> DataFrame:
+    return sites.subset_sites(cohort(spark, d), F.col("site_id") % 3 == 1).groupBy("site_id", "dense_id").agg(F.count("*").alias("n"))
+
+
+_FIRST_MISSING = """WITH f AS (SELECT user_id, arg_min(event_id, event_id) AS e, user_id % 5 < 2 AS y FROM events GROUP BY user_id),
+l AS (SELECT y::INT::DOUBLE AS p, unnest(['a', 'b', 'c']) AS name, unnest([e % 3 = 0, e % 7 = 1, false]) AS gone FROM f),
+m AS (SELECT name, count(*) FILTER (NOT gone) AS n_present, count(*) FILTER (gone) AS n_absent, avg(p) FILTER (NOT gone) AS prev_present, avg(p) FILTER (gone) AS prev_absent FROM l GROUP BY name)"""
+
+
+def _first_missing(spark: SparkSession, d: str) -> DataFrame:
+    e = F.col("event_id")
+    rows = table(spark, d, "events").select("user_id", "event_id", F.when(e % 3 != 0, 1).alias("a"), F.when(e % 7 != 1, 1).alias("b"), F.lit(1).alias("c"))
+    return profile.outcome_missing(rows, "user_id", "event_id", ["a", "b", "c"], F.col("user_id") % 5 < 2)
+
+
+@query(f"{_FIRST_MISSING} SELECT name, n_present, n_absent, round(prev_present, 9) AS prev_present, round(prev_absent, 9) AS prev_absent, round(prev_absent / nullif(prev_present, 0), 9) AS ratio FROM m")
+def outcome_missing(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(_first_missing(spark, d), 9, "prev_present", "prev_absent", "ratio")
+
+
+@query(f"{_FIRST_MISSING} SELECT name, round(prev_absent / prev_present, 9) AS ratio FROM m WHERE least(n_present, n_absent) >= 5 AND prev_present > 0 ORDER BY 2 DESC, 1 LIMIT 6")
+def worst_missing(spark: SparkSession, d: str) -> DataFrame:
+    return profile.worst_missing(_first_missing(spark, d), 5).select("name", F.round("ratio", 9).alias("ratio"))
+
+
+@query("""SELECT name, n, expected, coalesce(n = expected, false) AS matches FROM (VALUES ('nation', 25), ('region', 4), ('absent', 1)) e(name, expected)
+LEFT JOIN (SELECT 'nation' AS name, count(*) AS n FROM nation UNION ALL SELECT 'region', count(*) FROM region) USING (name)""")
+def release_identities(spark: SparkSession, d: str) -> DataFrame:
+    found = [table(spark, d, t).agg(F.lit(t).alias("name"), F.count("*").alias("n")) for t in ("nation", "region")]
+    return profile.identities(found[0].unionByName(found[1]), {"nation": 25, "region": 4, "absent": 1})
+
+
+@query("""WITH x AS (SELECT l_extendedprice > 40000 AS y, l_quantity::DOUBLE AS score, l_linenumber::DOUBLE AS ablated FROM lineitem), l AS (SELECT y, unnest(['score', 'ablated']) AS f, unnest([score, ablated]) AS v FROM x),
+r AS (SELECT y, f, rank() OVER (PARTITION BY f ORDER BY v) + (count(*) OVER (PARTITION BY f, v) - 1) / 2.0 AS r FROM l),
+a AS (SELECT f, (sum(r) FILTER (y) - count(*) FILTER (y) * (count(*) FILTER (y) + 1) / 2.0) / (count(*) FILTER (y)::DOUBLE * count(*) FILTER (NOT y)) AS auc FROM r GROUP BY f),
+w AS (SELECT max(auc) FILTER (f = 'score') AS auc, max(auc) FILTER (f = 'ablated') AS auc_ablated FROM a)
+SELECT round(auc, 9) AS auc, round(auc_ablated, 9) AS auc_ablated, round(auc - auc_ablated, 9) AS ablation_drop, auc > 0.9 AS auc_alarm, auc - auc_ablated > 0.05 AS ablation_alarm FROM w""")
+def leak_alarm(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "lineitem").select((F.col("l_extendedprice") > 40000).alias("y"), F.col("l_quantity").alias("score"), F.col("l_linenumber").alias("ablated"))
+    return rounded(ranks.leak_alarm(rows, "score", "ablated", "y"), 9, "auc", "auc_ablated", "ablation_drop")
+
+
+@query(f"{COHORT} SELECT record_id, site_id, round(score, 9) AS score FROM cohort WHERE score < 0.75 AND record_id::VARCHAR LIKE '%1%' AND site_id = 7 AND score >= 0.5 AND score < 0.7")
+def case_browser(spark: SparkSession, d: str) -> DataFrame:
+    rows = explain.browse(cohort(spark, d), answered=F.col("score") < 0.75, contains="1", site=7, score=(0.5, 0.7))
+    return rows.select("record_id", "site_id", F.round("score", 9).alias("score"))
+
+
+@query(f"""{_HEADED}, w AS (SELECT *, row_number() OVER () AS row FROM h), l AS (SELECT row, record_id, unnest([0, 1, 2, 3]) AS feature, unnest([f0, f1, f2, f3]) AS phi FROM w), r AS (SELECT *, row_number() OVER (PARTITION BY row ORDER BY round(abs(phi), 9) DESC, feature) AS k FROM l)
+SELECT record_id, feature, round(phi, 6) AS phi, 2 AS n_shown, 4 AS n_total FROM r WHERE k <= 2""")
+def leading_features(spark: SparkSession, d: str) -> DataFrame:
+    rows = _explained(spark, d).withColumn("phi", F.transform("phi", lambda v: F.round(v, 9)))
+    return rounded(explain.leading_features(rows, "record_id", "phi", 2), 6, "phi")
+
+
+@query("""WITH r AS (SELECT l_orderkey AS k, round(sum(l_extendedprice * (1 - l_discount) * (1 + l_tax)), 2) AS v FROM lineitem GROUP BY 1)
+SELECT k AS o_orderkey, round(o_totalprice, 2) AS recorded, v AS replayed, abs(o_totalprice - v) <= 1.0 AS agrees FROM orders JOIN r ON k = o_orderkey""")
+def replayed_totals(spark: SparkSession, d: str) -> DataFrame:
+    total = F.round(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount")) * (1 + F.col("l_tax"))), 2)
+    again = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(total.alias("v"))
+    recorded = table(spark, d, "orders").select("o_orderkey", F.col("o_totalprice").alias("v"))
+    return rounded(relational.replayed(recorded, again, "o_orderkey", "v", 1.0), 2, "recorded")

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from quorumlake import constants as C
 from quorumlake.functions import cells, heads, identifiers, intervals
-from quorumlake.operators import betting, explain, ranks, relational, shift, sites, splits
+from quorumlake.operators import betting, explain, profile, ranks, relational, shift, sites, splits
 
 RECORDS = "site_id int, y boolean, err boolean, score double"
 
@@ -204,3 +204,48 @@ def test_bins_keep_empty_ones(spark):
     got = [(r["bin"], r["n"], r["m"]) for r in explain.binned(df, F.col("v"), [0.0, 0.2, 0.4, 1.0], {"m": F.avg("v")}, right_closed=True).orderBy("bin").collect()]
     assert got == [(0, 2, 0.1), (1, 0, None), (2, 1, 0.5)]
     assert [r["n"] for r in explain.binned(df, F.col("v"), [0.0, 0.2, 0.4, 1.0], {}).orderBy("bin").collect()] == [1, 1, 1]
+
+
+def test_strata_take_the_last_row_and_show_misses(spark):
+    per = spark.createDataFrame([(1, 5), (2, 6), (3, 7)], "site_id int, n int")
+    dim = spark.createDataFrame([(1, 1, "a"), (1, 2, " b "), (2, 1, "c"), (2, 3, "  "), (None, 9, "x")], "site int, k int, region string")
+    got = {r["site_id"]: (r["region"], r["found"]) for r in sites.with_strata(per, dim, "site", "k", ["region"]).collect()}
+    assert got == {1: ("b", True), 2: (None, True), 3: (None, False)}
+    assert sites.with_strata(per.limit(0), dim, "site", "k", ["region"]).isEmpty()
+
+
+def test_label_order_and_dense_sites(spark):
+    labels = spark.createDataFrame([("h_10",), ("h_9",), ("x",), ("a",), ("g_9",)], "label string")
+    assert [r["label"] for r in sites.in_label_order(labels, "label").orderBy("place").collect()] == ["g_9", "h_9", "h_10", "a", "x"]
+    rows = spark.createDataFrame([(i,) for i in (4, 7, 7, 9, 2)], "site_id int")
+    got = sites.subset_sites(rows, F.col("site_id") > 3).collect()
+    assert sorted((r["site_id"], r["dense_id"]) for r in got) == [(4, 0), (7, 1), (7, 1), (9, 2)]
+
+
+def test_outcome_missing_takes_first_rows_as_they_stand(spark):
+    # stay 1: its first row lacks the cell, the later value does not count
+    rows = spark.createDataFrame([(1, 1, None, True), (1, 2, 5.0, True), (2, 1, 3.0, False), (3, 4, None, False), (4, 1, 1.0, True)], "stay int, k int, v double, y boolean")
+    r = profile.outcome_missing(rows, "stay", "k", ["v"], F.col("y")).first()
+    assert (r["n_present"], r["n_absent"], r["prev_present"], r["prev_absent"], r["ratio"]) == (2, 2, 0.5, 0.5, 1.0)
+    assert profile.worst_missing(profile.outcome_missing(rows, "stay", "k", ["v"], F.col("y")), 3).isEmpty()
+
+
+def test_leak_alarm(spark):
+    rows = spark.createDataFrame([(i > 4, float(i), float(i % 2)) for i in range(10)], "y boolean, s double, a double")
+    r = ranks.leak_alarm(rows, "s", "a", "y").first()
+    assert r["auc"] == 1.0 and r["auc_alarm"] and r["ablation_alarm"] and abs(r["ablation_drop"] - (1 - r["auc_ablated"])) < 1e-12
+    r = ranks.leak_alarm(rows.where("y"), "s", "a", "y").first()
+    assert r["auc"] is None and not r["auc_alarm"] and not r["ablation_alarm"]
+
+
+def test_browsing_and_leading_features(spark):
+    rows = spark.createDataFrame([(11, 1, 0.6, [1.0, -3.0, 3.0]), (21, 1, 0.7, [0.0, 0.0, 1.0]), (30, 2, 0.6, [])], "record_id int, site_id int, score double, phi array<double>")
+    assert [r["record_id"] for r in explain.browse(rows, contains="1", site=1, score=(0.6, 0.7)).collect()] == [11]
+    got = explain.leading_features(rows, "record_id", "phi", 2).collect()
+    assert sorted((r["record_id"], r["feature"], r["n_shown"], r["n_total"]) for r in got) == [(11, 1, 2, 3), (11, 2, 2, 3), (21, 0, 2, 3), (21, 2, 2, 3)]
+
+
+def test_first_rows_are_found_before_the_shuffle(spark):
+    df = spark.range(1000).selectExpr("id % 7 as k", "id as s")
+    plan = relational.keep_least_surrogate(df, ["k"], "s")._jdf.queryExecution().toString()
+    assert "WindowGroupLimit" in plan

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from quorumlake import constants as C
 from quorumlake.functions import heads
 from quorumlake.plans import certify as plan
-from quorumlake.plans import etl, experiments
+from quorumlake.plans import etl, experiments, preflight
 from quorumlake.sources import sinks, tables
 from quorumlake.streaming import scorer
 
@@ -184,3 +184,25 @@ def test_streaming_scores(spark, tmp_path):
     q.stop()
     got = spark.sql("select sum(answered) a, sum(below_threshold) b, count(*) n from parts").first()
     assert got["a"] + got["b"] == 30 and got["n"] == 3 and got["b"] == 5
+
+
+def test_preflight(spark, tmp_path):
+    p = Planted()
+    heart = 2 + C.APS_NUMERIC.index("heartrate")
+    for row in p.aps[:20]:
+        row[heart] = "" if int(row[1]) % 4 == 0 or int(row[1]) < 4 else row[heart]
+    p.aps = [r for r in p.aps if r[1] != "40"]
+    folder = p.write(tmp_path)
+    with pytest.raises(tables.ExtractError) as e:
+        preflight.preflight(spark, folder)
+    assert e.value.reason == "reference-mismatch"
+    got = preflight.preflight(spark, folder, expect_reference=False, least=5)
+    assert {r["name"]: (r["n"], r["matches"]) for r in got.identities.collect()}["apacheApsVar"] == (39, False)
+    per = {r["site_id"]: r for r in got.per_site.collect()}
+    assert len(per) == 5 and all(r["found"] and r["region"] == "South" and r["n"] == 8 for r in per.values())
+    one = per[f"{C.SITE_PREFIX}0"]
+    assert one["place"] == 1 and one["n_aps"] == 7 and one["n_apv"] == 8 and one["share_aps"] == 7 / 8
+    row = {r["name"]: r for r in got.missing.collect()}["aps_heartrate"]
+    # stays 1 to 3 and five of those that died lack the cell; four of the other 31 died
+    assert (row["n_absent"], row["n_present"]) == (8, 31) and row["prev_absent"] == 5 / 8 and row["prev_present"] == 4 / 31
+    assert [r["name"] for r in got.worst.collect()] == ["aps_heartrate"] and any("aps_heartrate" in w for w in got.warnings)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, mixing, quality, token_counts, token_store, url_filters, warc
+from . import ann, bpe, language, mixing, quality, token_counts, token_store, url_filters, warc
 from .common import scratch
 from .fingerprints import compare_with_edits
 from .simhash import dedup_classes, hex16
@@ -95,6 +95,18 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_texts(docs, path=vocabulary("byte_bpe_multi_50k.tiktoken"), pattern=word_pattern(), with_ids=False)
 
 
+def op11_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row for each document: its language as learned from documents whose id's checksum is not 2 modulo 4.
+
+    A null id counts as not held out, and nothing is learned from it.
+    """
+    docs = table(spark, sf_dir, "documents")
+    part = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4
+    found = language.identify(docs, docs.where(part != 2).select("lang", "text"))
+    own = F.crc32(F.col("doc").cast("string").cast("binary")) % 4
+    return found.select(F.col("doc").alias("doc_id"), own.eqNullSafe(2).alias("held_out"), "lang_pred", "score", "bits")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages of corpus_pipeline over documents."""
     import corpus_pipeline
@@ -106,7 +118,7 @@ QUERIES = {
     "pipeline": pipeline,
     "op1_mixing": op1_mixing, "op2_simhash_dedup": op2_simhash_dedup, "op3_fingerprints": op3_fingerprints, "op4_token_output": op4_token_output,
     "op5_token_counts": op5_token_counts, "op6_nearest": op6_nearest, "op7_url_filters": op7_url_filters, "op8_quality": op8_quality,
-    "op9_warc": op9_warc, "op10_bpe": op10_bpe,
+    "op9_warc": op9_warc, "op10_bpe": op10_bpe, "op11_language": op11_language,
 }
 
 _ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, language, mixing, quality, token_counts, token_store, url_filters, warc
+from . import ann, bpe, language, mixing, quality, token_counts, token_store, url_filters, warc, whitening
 from .common import scratch
 from .fingerprints import compare_with_edits
 from .simhash import dedup_classes, hex16
@@ -107,6 +107,11 @@ def op11_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("doc").alias("doc_id"), own.eqNullSafe(2).alias("held_out"), "lang_pred", "score", "bits")
 
 
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row for each fitted vector and component: its whitened coordinate and what certifies it."""
+    return whitening.whiten(table(spark, sf_dir, "embeddings"), components=8).withColumnRenamed("id", "vec_id")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages of corpus_pipeline over documents."""
     import corpus_pipeline
@@ -118,7 +123,7 @@ QUERIES = {
     "pipeline": pipeline,
     "op1_mixing": op1_mixing, "op2_simhash_dedup": op2_simhash_dedup, "op3_fingerprints": op3_fingerprints, "op4_token_output": op4_token_output,
     "op5_token_counts": op5_token_counts, "op6_nearest": op6_nearest, "op7_url_filters": op7_url_filters, "op8_quality": op8_quality,
-    "op9_warc": op9_warc, "op10_bpe": op10_bpe, "op11_language": op11_language,
+    "op9_warc": op9_warc, "op10_bpe": op10_bpe, "op11_language": op11_language, "op12_whitening": op12_whitening,
 }
 
 _ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, language, mixing, quality, token_counts, token_store, url_filters, warc, whitening
+from . import ann, bpe, language, mixing, negatives, quality, token_counts, token_store, url_filters, warc, whitening
 from .common import scratch
 from .fingerprints import compare_with_edits
 from .simhash import dedup_classes, hex16
@@ -112,6 +112,14 @@ def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(table(spark, sf_dir, "embeddings"), components=8).withColumnRenamed("id", "vec_id")
 
 
+def op13_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Up to five hard negatives for each anchor, a row whose id is divisible by 100, and each of its positives."""
+    rows = table(spark, sf_dir, "embeddings")
+    rows = rows.withColumn("label", F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")))
+    found = negatives.mine(rows, rows.where("vec_id % 100 = 0").select("vec_id"))
+    return found.withColumnsRenamed({"anchor": "anchor_id", "positive": "positive_id", "negative": "negative_id"})
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages of corpus_pipeline over documents."""
     import corpus_pipeline
@@ -123,7 +131,7 @@ QUERIES = {
     "pipeline": pipeline,
     "op1_mixing": op1_mixing, "op2_simhash_dedup": op2_simhash_dedup, "op3_fingerprints": op3_fingerprints, "op4_token_output": op4_token_output,
     "op5_token_counts": op5_token_counts, "op6_nearest": op6_nearest, "op7_url_filters": op7_url_filters, "op8_quality": op8_quality,
-    "op9_warc": op9_warc, "op10_bpe": op10_bpe, "op11_language": op11_language, "op12_whitening": op12_whitening,
+    "op9_warc": op9_warc, "op10_bpe": op10_bpe, "op11_language": op11_language, "op12_whitening": op12_whitening, "op13_negatives": op13_negatives,
 }
 
 _ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
@@ -135,4 +143,14 @@ SELECT page_id, octet_length(encode(body))::BIGINT AS payload_bytes,
     ((('0x' || substr(hex, (i // 4) * 5 + 1, 5))::BIGINT >> (15 - 5 * (i % 4))) & 31)::INT + 1, 1)), '') AS payload_digest,
   CASE WHEN page_id = head THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> head THEN head END AS refers_to FROM q"""
 
-ORACLES: dict[str, str] = {"op1_mixing": mixing.oracle(), "op7_url_filters": url_filters.ORACLE, "op9_warc": WARC_SQL}
+NEGATIVES_SQL = """
+WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda c: floor(256 * c::DOUBLE)::BIGINT) AS x
+  FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0),
+s AS (SELECT a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS alike, list_sum(list_transform(list_zip(a.x, b.x), lambda p: p[1] * p[2]))::BIGINT AS score
+  FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0),
+p AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE alike QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+SELECT anchor_id, positive_id, row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id)::INT AS rank, vec_id AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s USING (anchor_id) WHERE NOT alike AND 80 * positive_score <= 100 * score AND 100 * score <= 100 * positive_score
+QUALIFY row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id) <= 5"""
+
+ORACLES: dict[str, str] = {"op13_negatives": NEGATIVES_SQL, "op1_mixing": mixing.oracle(), "op7_url_filters": url_filters.ORACLE, "op9_warc": WARC_SQL}

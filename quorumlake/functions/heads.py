@@ -102,3 +102,85 @@ def fit_head(records: DataFrame, x_col: str = "x", y_col: str = "y") -> Head:
     lr = LogisticRegression(regParam=1.0 / (C.HEAD_C * stats["n"]), elasticNetParam=0.0, standardization=False, maxIter=C.HEAD_MAX_ITER, tol=1e-10)
     model = lr.fit(rows)
     return Head(tuple(model.coefficients.toArray().tolist()), float(model.intercept), mu, sd)
+
+
+def grouped_sums(rows: DataFrame, of, size: int) -> dict:
+    """Sums by group of of(x, y, group), an array of `size` numbers for the records of a batch that belong to the group.
+
+    rows: (x, y, groups), groups being the array of those that a record is in. A record is read once for all its groups;
+    a task passes on one vector a group.
+    """
+    from pyspark.ml.functions import array_to_vector
+    from pyspark.ml.stat import Summarizer
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        total: dict = {}
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            x, y = batch.column(0).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1), batch.column(1).to_numpy(zero_copy_only=False).astype(float)
+            groups = batch.column(2)
+            who, group = np.repeat(np.arange(batch.num_rows), groups.value_lengths().to_numpy()), groups.flatten().to_numpy()
+            for g in np.unique(group).tolist():
+                own = who[group == g]
+                total[g] = total.get(g, 0.0) + np.asarray(of(x[own], y[own], g), float)
+        keys = list(total)
+        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int32()), pa.array([total[k] for k in keys], pa.list_(pa.float64()))], names=["g", "part"])
+
+    parts = rows.select("x", F.col("y").cast("boolean").alias("y"), "groups").mapInArrow(run, "g int, part array<double>")
+    found = parts.select("g", array_to_vector("part").alias("part")).groupBy("g").agg(Summarizer.sum(F.col("part")).alias("s")).collect()  # one row a group
+    return {r["g"]: r["s"].toArray() for r in found}
+
+
+def fit_heads(records: DataFrame, members: DataFrame, *, by: str = "replicate", site: str = "site_id", tolerance: float = 1e-10, most_rounds: int = 100) -> dict[int, Head]:
+    """fit_head for many groups at once: a head for each value of `by` in members (by, site), fitted on the records of its sites.
+
+    Newton's steps of all heads are made together: a round is one pass over the records, which sums loss, gradient and
+    Gram matrix of every head, so the number of jobs does not grow with that of heads. A step after which a head's loss
+    is higher is halved. The driver holds (features + 1)^2 numbers for each head. Raises ValueError where a group's
+    records have one class, RuntimeError where a head is not fitted after most_rounds.
+    """
+    import numpy as np
+
+    groups = members.groupBy(site).agg(F.collect_list(F.col(by).cast("int")).alias("groups"))  # one entry for each group
+    rows = records.select(site, "x", "y").join(groups, site)
+    width = len(records.select("x").first()[0])
+    sums = grouped_sums(rows, lambda x, y, g: [len(y), y.sum(), *x.sum(axis=0)], width + 2)
+    if not sums or any(not 0 < s[1] < s[0] for s in sums.values()):
+        raise ValueError("training records have one class (reason=single-class)")
+    keys = sorted(sums)
+    n, mu = {g: sums[g][0] for g in keys}, {g: sums[g][2:] / sums[g][0] for g in keys}
+    spread = grouped_sums(rows, lambda x, y, g: ((x - mu[g]) ** 2).sum(axis=0), width)
+    sd = {g: np.sqrt(spread[g] / n[g]) for g in keys}
+    sd = {g: np.where(sd[g] > C.SD_REL_TOL * np.maximum(1.0, np.abs(mu[g])), sd[g], 1.0) for g in keys}
+    penalty = np.append(np.full(width, 1.0 / C.HEAD_C), 0.0)
+    at, step, loss, open_ = {g: np.zeros(width + 1) for g in keys}, {g: np.zeros(width + 1) for g in keys}, dict.fromkeys(keys, math.inf), set(keys)
+    for _ in range(most_rounds):
+        tried = {g: at[g] + step[g] for g in open_}
+
+        def of(x, y, g, tried=tried):
+            if g not in tried:
+                return np.zeros(2 + (width + 1) * (width + 2))
+            z = np.column_stack([(x - mu[g]) / sd[g], np.ones(len(y))])
+            logit = z @ tried[g]
+            p = 1.0 / (1.0 + np.exp(-np.clip(logit, -700, 700)))
+            return np.concatenate([[np.logaddexp(0.0, logit).sum() - logit[y > 0].sum(), len(y)], z.T @ (p - y), ((z * (p * (1 - p))[:, None]).T @ z).ravel()])
+
+        found = grouped_sums(rows, of, 2 + (width + 1) * (width + 2))
+        for g in sorted(open_):
+            now = found[g][0] + 0.5 * (penalty * tried[g] ** 2).sum()
+            if now > loss[g] + 1e-12 * abs(loss[g]):
+                step[g] = step[g] / 2
+            else:
+                at[g], loss[g] = tried[g], now
+                gradient = found[g][2 : width + 3] + penalty * at[g]
+                gram = found[g][width + 3 :].reshape(width + 1, width + 1) + np.diag(penalty)
+                step[g] = -np.linalg.lstsq(gram, gradient, rcond=None)[0]
+            if np.abs(step[g]).max() <= tolerance * (1.0 + np.abs(at[g]).max()):
+                open_.discard(g)
+        if not open_:
+            return {g: Head(tuple(at[g][:-1].tolist()), float(at[g][-1]), tuple(mu[g].tolist()), tuple(sd[g].tolist())) for g in keys}
+    raise RuntimeError(f"{len(open_)} heads are not fitted after {most_rounds} rounds")

@@ -14,11 +14,6 @@ from pyspark.sql import Window as W
 from quorumlake import constants as C
 
 
-def margin_floor(n: int, delta: float, alpha: float) -> float:
-    """The least margin with which any valid test over n sites can certify."""
-    return math.log(1.0 / delta) * (1.0 - alpha) / n
-
-
 def wealth(sequence: Column, alpha: float | Column, delta: float) -> Column:
     """The highest log wealth that a bettor against 'the mean is at least alpha' reaches over a sequence of numbers.
 
@@ -39,14 +34,19 @@ def wealth(sequence: Column, alpha: float | Column, delta: float) -> Column:
     return F.aggregate(sequence, start, step, lambda s: s["top"])
 
 
-def bets(atoms: DataFrame, ranks: DataFrame, alpha: float, delta: float, by: list[str] = ()) -> DataFrame:
+def bets(atoms: DataFrame, ranks: DataFrame, alpha: float | Column, delta: float, by: list[str] = (), order: DataFrame | None = None) -> DataFrame:
     """(by..., tau_idx, tau, n_sites, top_log_wealth, rejected): a test for each threshold, sites taken in rank order.
 
-    atoms: (by..., site_id, tau_idx, tau, z); ranks: (site_id, rank). A test rejects if its wealth ever reaches 1/delta.
+    atoms: (by..., site_id, tau_idx, tau, z). ranks: (site_id, rank), with those columns of `by` on which they depend.
+    With the order of a walk (by..., tau_idx, step) ranks have a step as well: the k-th threshold that the walk comes to
+    takes its sites in the k-th order. A test rejects if its wealth ever reaches 1/delta. alpha may be a column of `by`.
     """
     goal = math.log(1.0 / delta)
+    on = [c for c in by if c in ranks.columns] + ["site_id"]
+    if order is not None:
+        atoms, on = atoms.join(order.select(*by, "tau_idx", "step"), [*by, "tau_idx"]), [*on, "step"]
     seq = F.transform(F.sort_array(F.collect_list(F.struct("rank", "z"))), lambda s: s["z"])
-    got = atoms.join(F.broadcast(ranks), "site_id").groupBy(*by, "tau_idx", "tau").agg(seq.alias("seq"))  # ranks: one row for each site
+    got = atoms.join(ranks, on).groupBy(*by, "tau_idx", "tau").agg(seq.alias("seq"))  # a number for each site
     return got.select(*by, "tau_idx", "tau", F.size("seq").alias("n_sites"), wealth(F.col("seq"), alpha, delta).alias("top_log_wealth")).withColumn("rejected", F.col("top_log_wealth") >= goal)
 
 
@@ -62,20 +62,24 @@ def walk(order: DataFrame, tests: DataFrame, by: list[str] = ()) -> DataFrame:
     return both.withColumn("deployed", F.coalesce(F.col("in_prefix") & (F.col("tau") == least), F.lit(False)))
 
 
-def combine_modes(results: DataFrame) -> DataFrame:
-    """(alpha, tau, mode, covering): of the modes that certify a rung the one with the highest threshold is deployed.
+def combine_modes(results: DataFrame, by: list[str] = ()) -> DataFrame:
+    """(by..., alpha, tau, mode, covering, declined): of the modes that certify a rung the one with the highest threshold is deployed.
 
-    results: (alpha, mode_idx, mode, tau), tau NULL where the mode declines. Equal thresholds go to the first mode.
+    results: (by..., alpha, mode_idx, mode, tau and, where known, reason), tau NULL where the mode declines. Equal
+    thresholds go to the first mode. covering: the modes that certify, joined by pipes; declined: mode:reason of those
+    that do not.
     """
-    good = results.where("tau is not null")
-    best = good.groupBy("alpha").agg(F.max(F.struct("tau", (-F.col("mode_idx")).alias("m"), "mode")).alias("b"), F.sort_array(F.collect_list("mode")).alias("modes"))
-    rungs = results.select("alpha").distinct()
-    return rungs.join(best, "alpha", "left").select("alpha", F.col("b.tau").alias("tau"), F.col("b.mode").alias("mode"), F.array_join("modes", "|").alias("covering"))
+    fine = F.col("tau").isNotNull()
+    why = F.concat_ws(":", "mode", "reason" if "reason" in results.columns else F.lit(None).cast("string"))
+    joined = lambda c, when: F.array_join(F.sort_array(F.collect_list(F.when(when, c))), "|")
+    best = F.max(F.when(fine, F.struct("tau", (-F.col("mode_idx")).alias("m"), "mode")))
+    got = results.groupBy(*by, "alpha").agg(best.alias("b"), joined(F.col("mode"), fine).alias("covering"), joined(why, ~fine).alias("declined"))
+    return got.select(*by, "alpha", F.col("b.tau").alias("tau"), F.col("b.mode").alias("mode"), "covering", "declined")
 
 
-def operative_rung(combined: DataFrame) -> DataFrame:
-    """(alpha, tau): the strictest rung that any mode certifies; NULLs where none does."""
-    return combined.agg(F.expr("min(alpha) filter (where tau is not null)").alias("alpha"), F.expr("min_by(tau, alpha) filter (where tau is not null)").alias("tau"))
+def operative_rung(combined: DataFrame, by: list[str] = ()) -> DataFrame:
+    """(by..., alpha, tau): the strictest rung that any mode certifies; NULLs where none does."""
+    return combined.groupBy(*by).agg(F.expr("min(alpha) filter (where tau is not null)").alias("alpha"), F.expr("min_by(tau, alpha) filter (where tau is not null)").alias("tau"))
 
 
 def decline_partition(records: DataFrame, tau: float | None, reason: str = "failsafe") -> DataFrame:

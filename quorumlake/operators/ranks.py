@@ -48,13 +48,13 @@ def outcome_screen(df: DataFrame, features: list[str], label: str, review: float
     return out.select("feature", "kind", "n", F.when(real, F.col("auc")).alias("auc"), "low_prevalence", "high_prevalence", F.coalesce(real & (F.abs(F.col("auc") - 0.5) >= review - 0.5), F.lit(False)).alias("flagged"))
 
 
-def leak_alarm(records: DataFrame, score: str, ablated: str, label: str, auc_cap: float = C.LEAK_AUC_CAP, drop_cap: float = C.LEAK_DROP_CAP) -> DataFrame:
-    """(auc, auc_ablated, ablation_drop, auc_alarm, ablation_alarm): is a held-out score too good to be true?
+def leak_alarm(records: DataFrame, score: str, ablated: str, label: str, auc_cap: float = C.LEAK_AUC_CAP, drop_cap: float = C.LEAK_DROP_CAP, by: list[str] = ()) -> DataFrame:
+    """(by..., auc, auc_ablated, ablation_drop, auc_alarm, ablation_alarm): is a held-out score too good to be true?
 
     ablated: the score of a head fitted without the missing-value indicators. An area above auc_cap, or a loss above
     drop_cap without the indicators, raises an alarm; where a class is absent nothing does.
     """
-    both = rank_auc(unpivoted(records, [score, ablated], [label]), "value", label, ["feature"])
-    got = both.agg(*[F.max(F.when(F.col("feature") == c, F.col("auc"))).alias(n) for c, n in ((score, "auc"), (ablated, "auc_ablated"))])
+    both = rank_auc(unpivoted(records, [score, ablated], [*by, label]), "value", label, [*by, "feature"])
+    got = both.groupBy(*by).agg(*[F.max(F.when(F.col("feature") == c, F.col("auc"))).alias(n) for c, n in ((score, "auc"), (ablated, "auc_ablated"))])
     drop = F.col("auc") - F.col("auc_ablated")
-    return got.select("auc", "auc_ablated", drop.alias("ablation_drop"), F.coalesce(F.col("auc") > auc_cap, F.lit(False)).alias("auc_alarm"), F.coalesce(drop > drop_cap, F.lit(False)).alias("ablation_alarm"))
+    return got.select(*by, "auc", "auc_ablated", drop.alias("ablation_drop"), F.coalesce(F.col("auc") > auc_cap, F.lit(False)).alias("auc_alarm"), F.coalesce(drop > drop_cap, F.lit(False)).alias("ablation_alarm"))

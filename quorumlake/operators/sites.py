@@ -29,47 +29,62 @@ def check_scores(records: DataFrame) -> None:
         raise ValueError("a score is not finite (reason=nonfinite-score)")
 
 
-def threshold_counts(records: DataFrame, taus: list[float] = C.TAU_GRID, sites: DataFrame | None = None) -> DataFrame:
-    """(site_id, n, tau_idx, tau, ans_pos, ans_neg, err_pos, err_neg): counts at every threshold, empty sites included.
-
-    Records are counted by how many thresholds their score reaches, with partial sums where they lie, instead of being
-    multiplied by the thresholds; a running sum over the few counts of a site gives each threshold's answered set.
-    Ties are answered.
-    """
+def score_bins(records: DataFrame, taus: list[float] = C.TAU_GRID, by: list[str] = ()) -> DataFrame:
+    """(by..., site_id, k, n, pos, bad_pos, bad): records of a site by how many thresholds their score reaches; ties do."""
     reached = sum((F.col("score") >= F.lit(t)).cast("int") for t in taus)
     wrong, pos = F.col("err").cast("long"), F.col("y")
-    binned = records.groupBy("site_id", reached.alias("k")).agg(
+    return records.groupBy(*by, "site_id", reached.alias("k")).agg(
         F.count("*").alias("n"), F.count_if(pos).alias("pos"), F.sum(F.when(pos, wrong).otherwise(0)).alias("bad_pos"), F.sum(wrong).alias("bad"),
     )
+
+
+def counts_of_bins(binned: DataFrame, taus: list[float] = C.TAU_GRID, sites: DataFrame | None = None, by: list[str] = ()) -> DataFrame:
+    """What threshold_counts gives, from score_bins; sites: (by..., site_id) of those that count without records as well."""
+    keys = [*by, "site_id"]
     entry = F.struct("k", "n", "pos", "bad_pos", "bad")
-    per_site = binned.groupBy("site_id").agg(F.sum("n").alias("n"), F.collect_list(entry).alias("bins"))  # one entry for each threshold at most
+    per_site = binned.groupBy(*keys).agg(F.sum("n").alias("n"), F.collect_list(entry).alias("bins"))  # one entry for each threshold at most
     if sites is not None:
-        per_site = sites.select("site_id").distinct().join(per_site, "site_id", "left")
+        per_site = sites.select(*keys).distinct().join(per_site, keys, "left")
     grid = F.array(*[F.struct(F.lit(i).alias("tau_idx"), F.lit(t).alias("tau")) for i, t in enumerate(taus)])
     total = lambda part: F.aggregate(F.coalesce(F.filter("bins", lambda b: b["k"] > F.col("g.tau_idx")), F.array()), F.lit(0).cast("long"), lambda s, b: s + part(b))
     return per_site.withColumn("g", F.explode(grid)).select(
-        "site_id", F.coalesce("n", F.lit(0).cast("long")).alias("n"), "g.tau_idx", "g.tau",
+        *keys, F.coalesce("n", F.lit(0).cast("long")).alias("n"), "g.tau_idx", "g.tau",
         total(lambda b: b["pos"]).alias("ans_pos"), total(lambda b: b["n"] - b["pos"]).alias("ans_neg"),
         total(lambda b: b["bad_pos"]).alias("err_pos"), total(lambda b: b["bad"] - b["bad_pos"]).alias("err_neg"),
     )
 
 
+def threshold_counts(records: DataFrame, taus: list[float] = C.TAU_GRID, sites: DataFrame | None = None) -> DataFrame:
+    """(site_id, n, tau_idx, tau, ans_pos, ans_neg, err_pos, err_neg): counts at every threshold, empty sites included.
+
+    Records are counted by how many thresholds their score reaches, with partial sums where they lie, instead of being
+    multiplied by the thresholds; a running sum over the few counts of a site gives each threshold's answered set.
+    Ties are answered.
+    """
+    return counts_of_bins(score_bins(records, taus), taus, sites)
+
+
 def influence(cap: Column | int = C.M_INFLUENCE) -> Column:
     """min(n, M) / n, a record's weight within its site; 0 for empty sites."""
     n = F.col("n").cast("double")
     return F.when(n > 0, F.least(n, F.lit(cap).cast("double") if isinstance(cap, int) else cap.cast("double")) / n).otherwise(0.0)
 
 
-def atoms(counts: DataFrame, alpha: float, *, cap: int = C.M_INFLUENCE, rho: float = 1.0) -> DataFrame:
-    """(site_id, tau_idx, tau, z): influence atoms in [0, 1]; a site that answers nothing has exactly alpha.
+def number(value: Column | float) -> Column:
+    return value if isinstance(value, Column) else F.lit(float(value))
+
+
+def atoms(counts: DataFrame, alpha: float | Column, *, cap: int = C.M_INFLUENCE, rho: float | Column = 1.0, by: list[str] = ()) -> DataFrame:
+    """(by..., site_id, tau_idx, tau, z): influence atoms in [0, 1]; a site that answers nothing has exactly alpha.
 
-    Positive records weigh rho, negative ones 1, both over max(1, rho).
+    Positive records weigh rho, negative ones 1, both over max(1, rho). alpha and rho may be columns of counts.
     """
-    top = max(1.0, rho)
-    wrong = (F.col("err_pos") * F.lit(rho) + F.col("err_neg")) / F.lit(top)
-    answered = (F.col("ans_pos") * F.lit(rho) + F.col("ans_neg")) / F.lit(top)
-    z = influence(cap) / F.lit(float(cap)) * (wrong - F.lit(alpha) * answered) + F.lit(alpha)
-    return counts.select("site_id", "tau_idx", "tau", z.alias("z"))
+    a, r = number(alpha), number(rho)
+    top = F.greatest(F.lit(1.0), r)
+    wrong = (F.col("err_pos") * r + F.col("err_neg")) / top
+    answered = (F.col("ans_pos") * r + F.col("ans_neg")) / top
+    z = influence(cap) / F.lit(float(cap)) * (wrong - a * answered) + a
+    return counts.select(*by, "site_id", "tau_idx", "tau", z.alias("z"))
 
 
 def walk_order(aux_atoms: DataFrame, by: list[str] = ()) -> DataFrame:

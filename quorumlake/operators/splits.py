@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from quorumlake import constants as C
 from quorumlake.functions.identifiers import collision_form
 
-from .shift import permutation
+from .resampling import seeded
+from .shift import permutation, permutations
 
 
 def site_ranks(sites: DataFrame, *stream: int | str, label: str = "site_label") -> DataFrame:
@@ -18,6 +21,27 @@ def site_ranks(sites: DataFrame, *stream: int | str, label: str = "site_label")
     return sites.sparkSession.createDataFrame(list(zip(names, ranks, strict=True)), f"{label} {sites.schema[label].dataType.simpleString()}, rank int")
 
 
+def step_ranks(sites: DataFrame, streams: list[tuple[float, int, str]], *, by: list[str] = (), label: str = "site_label", steps: int = len(C.TAU_GRID)) -> DataFrame:
+    """(by..., alpha, mode_idx, stream, step, label, rank): for each tested step of a walk an order of a group's sites of its own.
+
+    streams: (alpha, mode_idx, stream). A stream gives one permutation after another, the k-th for the k-th threshold that
+    is tested; it depends on nothing but its name and the number of sites. Sites are numbered in the order of their labels.
+    """
+    kind = sites.schema[label].dataType.simpleString()
+
+    @F.pandas_udf("array<array<int>>")
+    def orders(n: pd.Series, alpha: pd.Series, mode_idx: pd.Series, stream: pd.Series) -> pd.Series:
+        return pd.Series([permutations(steps, size, C.ALPHA_LADDER.index(a), m, s) for size, a, m, s in zip(n, alpha, mode_idx, stream, strict=True)])
+
+    names = F.array_sort(F.collect_set(label))  # a label for each site
+    named = F.array(*[F.struct(F.lit(float(a)).alias("alpha"), F.lit(m).alias("mode_idx"), F.lit(s).alias("stream")) for a, m, s in streams])
+    groups = sites.groupBy(*by).agg(names.alias("names")).withColumn("of", F.explode(named)).select(*by, "names", "of.*")
+    found = groups.withColumn("orders", orders(F.size("names"), "alpha", "mode_idx", "stream"))
+    stepped = found.select(*by, "alpha", "mode_idx", "stream", "names", F.posexplode("orders").alias("step", "order"))
+    pairs = F.arrays_zip(F.col("names").cast(f"array<{kind}>").alias("name"), F.col("order").alias("rank"))
+    return stepped.select(*by, "alpha", "mode_idx", "stream", (F.col("step") + 1).alias("step"), F.explode(pairs).alias("p")).select(*by, "alpha", "mode_idx", "stream", "step", F.col("p.name").alias(label), F.col("p.rank").alias("rank"))
+
+
 def split_sites(sites: DataFrame, *stream: int | str, label: str = "site_label", fractions: tuple[float, float, float] = C.SPLIT_FRACTIONS) -> DataFrame:
     """(label, split): whole sites to train, aux and cal; the last takes what rounding leaves."""
     ranks = site_ranks(sites, *stream, label=label)
@@ -40,8 +64,23 @@ def hold_out_sites(sites: DataFrame, replicate: int, *, label: str = "site_label
     return ranks.select(label, F.when(r < n_target, "target").when(r < n_target + train, "train").when(r < n_target + train + aux, "aux").otherwise("cal").alias("split"))
 
 
+def replicate_splits(sites: DataFrame, replicates: int, *, label: str = "site_id", n_target: int = C.N_TARGET_SITES, least: int = C.MIN_TOTAL_SITES, seed: int = C.SEED) -> DataFrame:
+    """(replicate, label, split): hold_out_sites for many replicates, as one relation: each orders the sites by seeded numbers of its own."""
+    n = sites.select(label).distinct().count()
+    rest = n - n_target
+    train, aux = int(C.SPLIT_FRACTIONS[0] * rest), int(C.SPLIT_FRACTIONS[1] * rest)
+    if n < least:
+        raise ValueError(f"{n} sites, {least} are needed (reason=too-few-sites)")
+    if rest - train - aux < C.MIN_CAL_CLUSTERS:
+        raise ValueError(f"{rest - train - aux} calibration sites (reason=too-few-cal-clusters)")
+    every = sites.select(label).distinct().withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
+    order = W.partitionBy("replicate").orderBy(seeded(seed, "split", F.col("replicate"), F.col(label)), label)
+    r = F.row_number().over(order) - 1
+    return every.select("replicate", label, F.when(r < n_target, "target").when(r < n_target + train, "train").when(r < n_target + train + aux, "aux").otherwise("cal").alias("split"))
+
+
 def with_split(records: DataFrame, split: DataFrame, label: str = "site_label") -> DataFrame:
-    return records.join(F.broadcast(split), label)  # a row for each site
+    return records.join(split, label)
 
 
 def assert_disjoint(records: DataFrame, label: str = "site_label", split: str = "split") -> None:

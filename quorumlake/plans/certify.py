@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from quorumlake import constants as C
 from quorumlake.functions import heads, identifiers
 from quorumlake.operators import betting, explain, shift, sites
-from quorumlake.operators.splits import assert_disjoint, site_ranks
+from quorumlake.operators.splits import assert_disjoint, step_ranks
 
 
 @dataclass
@@ -90,22 +90,25 @@ def certify(cohort: DataFrame, target: DataFrame, *, alphas: tuple[float, ...] =
     pool = score(target, head)
     fit = shift.fit_shift(sites.class_rates(scored.where("split = 'aux'")), pool.select(F.col("site_label").alias("site_id"), "pred")) if "bbse" in modes else shift.ShiftFit(reason="not-run")
 
-    def ranks(*stream) -> DataFrame:
-        of_cal = scored.where("split = 'cal'").select("site_id", "site_label").distinct()
-        return of_cal.join(site_ranks(of_cal, *stream), "site_label").select("site_id", "rank")
+    of_cal = scored.where("split = 'cal'").select("site_id", "site_label").distinct()
+    streams = [(a, m, e) for a in alphas for m, ends in ((C.MODE_BASELINE, ("",)), (C.MODE_BBSE, ("lo", "hi"))) for e in ends]
+    orders = step_ranks(of_cal.select("site_label"), streams).join(of_cal, "site_label").persist()
+
+    def ranks(alpha: float, mode_idx: int, stream: str) -> DataFrame:
+        own = (F.col("alpha") == alpha) & (F.col("mode_idx") == mode_idx) & (F.col("stream") == stream)
+        return orders.where(own).select("step", "site_id", "rank")
 
     results: dict = {}
     for alpha in alphas:
-        place = C.ALPHA_LADDER.index(alpha)
         for mode in modes:
             if mode == "bbse" and fit.declined:
                 results[alpha, mode] = {"certified": [], "tau_idx": None, "tau": None, "reason": fit.reason}
                 continue
             if mode == "baseline":
-                tests = betting.bets(sites.atoms(counts["cal"], alpha), ranks(place, C.MODE_BASELINE, ""), alpha, C.DELTA)
-                walk = betting.walk(sites.walk_order(sites.atoms(counts["aux"], alpha)), tests)
+                order = sites.walk_order(sites.atoms(counts["aux"], alpha))
+                walk = betting.walk(order, betting.bets(sites.atoms(counts["cal"], alpha), ranks(alpha, C.MODE_BASELINE, ""), alpha, C.DELTA, order=order))
             else:
-                walk = shift.certify_shifted(counts["aux"], counts["cal"], fit, alpha, {e: ranks(place, C.MODE_BBSE, e) for e in ("lo", "hi")})
+                walk = shift.certify_shifted(counts["aux"], counts["cal"], fit, alpha, {e: ranks(alpha, C.MODE_BBSE, e) for e in ("lo", "hi")})
             prefix = walk.where("in_prefix").orderBy("step").collect()  # 23 rows at most
             best = next((r for r in prefix if r["deployed"]), None)
             results[alpha, mode] = {"certified": [r["tau_idx"] for r in prefix], "tau_idx": best and best["tau_idx"], "tau": best and best["tau"], "reason": None if best else "failsafe"}
@@ -133,6 +136,8 @@ def certify(cohort: DataFrame, target: DataFrame, *, alphas: tuple[float, ...] =
     else:
         report["estimated"], report["diagnostic"] = None, {}
         pool = pool.withColumn("answered", F.lit(False))
+    for held in (scored, *counts.values(), orders):
+        held.unpersist()
     return Certificate(report, results, head, pool)
 
 

@@ -62,6 +62,9 @@ MAX_UNPARSEABLE_SHARE = 0.01
 MAX_NEGATIVE_SHARE = 0.01
 MAX_KEY_UNPARSEABLE_SHARE = 0.01
 LEAK_AUC_CAP, LEAK_DROP_CAP = 0.90, 0.05
+MIN_OPERATIVE_COVERAGE = 0.20
+SUCCESS_COVERAGE_ALARM, SUCCESS_RISK_ALARM = 0.90, 0.01
+MIN_REPORTED_SITES = 200
 ATTRITION_STEPS = (
     "raw-unit-stays", "site-parseable", "outcome-known", "adult", "first-stay", "primary-cohort",
     "apache-aps-linked", "apache-result-linked", "apache-complete-arm",

@@ -143,11 +143,19 @@ def fit_heads(records: DataFrame, members: DataFrame, *, by: str = "replicate",
     is higher is halved. The driver holds (features + 1)^2 numbers for each head. Raises ValueError where a group's
     records have one class, RuntimeError where a head is not fitted after most_rounds.
     """
+    groups = members.groupBy(site).agg(F.collect_list(F.col(by).cast("int")).alias("groups"))  # one entry for each group
+    rows = records.select(site, "x", "y").join(groups, site).select("x", "y", "groups").persist()  # read once a round
+    try:
+        return _fit_groups(rows, tolerance, most_rounds)
+    finally:
+        rows.unpersist()
+
+
+def _fit_groups(rows: DataFrame, tolerance: float, most_rounds: int) -> dict[int, Head]:
     import numpy as np
 
-    groups = members.groupBy(site).agg(F.collect_list(F.col(by).cast("int")).alias("groups"))  # one entry for each group
-    rows = records.select(site, "x", "y").join(groups, site)
-    width = len(records.select("x").first()[0])
+    first = rows.select("x").first()
+    width = len(first[0]) if first else 0
     sums = grouped_sums(rows, lambda x, y, g: [len(y), y.sum(), *x.sum(axis=0)], width + 2)
     if not sums or any(not 0 < s[1] < s[0] for s in sums.values()):
         raise ValueError("training records have one class (reason=single-class)")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quorumlake.functions.intervals import binomial_exceedances
+
 from .ranks import rank_auc
 
 
@@ -51,6 +53,19 @@ def binned(records: DataFrame, value: Column, edges: list[float], measures: dict
     return frame.join(got, "bin", "left").withColumn("n", F.coalesce("n", F.lit(0).cast("long")))
 
 
+def exceedance_bins(sites: DataFrame, n: str, over: str, alpha: float, edges: list[float]) -> DataFrame:
+    """(bin, low, high, n, observed, reference): how often sites are over alpha, beside how often chance alone would put them there.
+
+    sites: a row for each answered set, its size and whether its error rate is over alpha. reference: the mean over the
+    bin's sites of the chance that a set of that size is, if every answer were wrong with probability alpha; the chance
+    is worked out once for each distinct size. Sets of no records have none.
+    """
+    sizes = sites.where(F.col(n) > 0).select(F.col(n).alias("_n")).distinct()
+    chances = sizes.withColumn("_chance", binomial_exceedances(F.col("_n"), alpha))
+    both = sites.join(chances, F.col(n) == F.col("_n"))
+    return binned(both, F.col(n).cast("double"), edges, {"observed": F.avg(F.col(over).cast("double")), "reference": F.avg("_chance")})
+
+
 def confusion(records: DataFrame, y: str = "y", pred: str = "pred", by: list[str] = ()) -> DataFrame:
     """(by..., tp, fp, tn, fn, sensitivity, specificity, ppv, npv, error, fn_share, always_negative_error)."""
     yes, said = F.col(y), F.col(pred)

@@ -186,17 +186,6 @@ def bbse_rates(spark: SparkSession, d: str) -> DataFrame:
     return rounded(sites.pooled_rates(sites.class_rates(cohort(spark, d).where("split = 'aux'"))), 9, "c0", "c1", "pi_s")
 
 
-_BOX = ((0.18, 0.20), (0.04, 0.06), (0.58, 0.62), (0.09, 0.11))
-
-
-@query("""WITH b AS (SELECT q, c0, c1, s FROM (VALUES (0.18::DOUBLE), (0.20)) a(q), (VALUES (0.04::DOUBLE), (0.06)) b(c0), (VALUES (0.58::DOUBLE), (0.62)) c(c1), (VALUES (0.09::DOUBLE), (0.11)) e(s)),
-t AS (SELECT least(greatest((q - c0) / (c1 - c0), 0.0001), 0.9999) AS t, s FROM b), r AS (SELECT (t / (1 - t)) / (s / (1 - s)) AS rho FROM t)
-SELECT round(min(rho), 9) AS rho_lo, round(max(rho), 9) AS rho_hi FROM r""")
-def rho_corners(spark: SparkSession, d: str) -> DataFrame:
-    low, high = intervals.odds_ratio_box(*_BOX)
-    return rounded(spark.createDataFrame([(low, high)], "rho_lo double, rho_hi double"), 9, "rho_lo", "rho_hi")
-
-
 _CAPS = (25, 50, 100, 200, 500, 1000, 5000)
 
 
@@ -236,25 +225,6 @@ def wilson_hard_violation(spark: SparkSession, d: str) -> DataFrame:
     return per.select("site_id", "k", "n", F.round(low, 9).alias("lower"), (low > 0.1).alias("hard_violation"))
 
 
-_MODES = [(0.05, 0, "baseline", None), (0.05, 1, "bbse", None), (0.1, 0, "baseline", 0.61), (0.1, 1, "bbse", 0.61), (0.2, 0, "baseline", 0.55), (0.2, 1, "bbse", 0.75)]
-_MODES_SQL = "WITH m(alpha, mode_idx, mode, tau) AS (VALUES " + ", ".join(f"({a}::DOUBLE, {i}, '{m}', {'NULL' if t is None else t}::DOUBLE)" for a, i, m, t in _MODES) + ")"
-
-
-def _modes(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(_MODES, "alpha double, mode_idx int, mode string, tau double")
-
-
-@query(f"""{_MODES_SQL} SELECT alpha, max(tau) AS tau, arg_max(mode, (tau, -mode_idx)) FILTER (tau IS NOT NULL) AS mode,
-  string_agg(mode, '|' ORDER BY mode) FILTER (tau IS NOT NULL) AS covering FROM m GROUP BY alpha""")
-def combine_modes(spark: SparkSession, d: str) -> DataFrame:
-    return betting.combine_modes(_modes(spark)).withColumn("covering", F.when(F.col("covering") != "", F.col("covering")))
-
-
-@query(f"{_MODES_SQL} SELECT min(alpha) AS alpha, (SELECT max(tau) FROM m b WHERE b.alpha = (SELECT min(alpha) FROM m WHERE tau IS NOT NULL)) AS tau FROM m WHERE tau IS NOT NULL")
-def operative_rung(spark: SparkSession, d: str) -> DataFrame:
-    return betting.operative_rung(betting.combine_modes(_modes(spark)))
-
-
 @query(f"""{COHORT} SELECT count(*) FILTER (score >= 0.75) AS answered, count(*) FILTER (score < 0.75) AS below_threshold, 0::BIGINT AS failsafe, 0::BIGINT AS structural,
   0::BIGINT AS unscorable FROM cohort""")
 def decline_partition(spark: SparkSession, d: str) -> DataFrame:

@@ -6,12 +6,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from .order_statistics import beside, exact_quantiles
+
 
 def quantiles(df: DataFrame, value: str, by: list[str] = ()) -> DataFrame:
-    """(by..., n, min_positive, p01, p50, p99, max, mean, sd): exact, linear between ranks; NULLs are left out."""
-    v = F.col(value).cast("double")
-    got = df.where(v.isNotNull()).groupBy(*by).agg(F.count("*").alias("n"), F.min(F.when(v > 0, v)).alias("min_positive"), F.percentile(v, [0.01, 0.5, 0.99]).alias("q"), F.max(v).alias("max"), F.avg(v).alias("mean"), F.stddev_pop(v).alias("sd"))
-    return got.select(*by, "n", "min_positive", *[F.get("q", F.lit(i)).alias(c) for i, c in enumerate(("p01", "p50", "p99"))], "max", "mean", "sd")
+    """(by..., n, min_positive, p01, p50, p99, max, mean, sd): exact, linear between ranks; NULLs are left out.
+
+    Percentiles come from histograms that narrow in on them (see order_statistics), whatever the number of values.
+    """
+    by, v = list(by), F.col(value).cast("double")
+    cuts = exact_quantiles(df, value, {"p01": 0.01, "p50": 0.5, "p99": 0.99}, by)
+    got = df.where(v.isNotNull()).groupBy(*by).agg(F.min(F.when(v > 0, v)).alias("min_positive"), F.max(v).alias("max"), F.avg(v).alias("mean"), F.stddev_pop(v).alias("sd"))
+    both = beside(got, cuts, by) if by else got.crossJoin(cuts)  # without groups both have one row
+    return both.select(*by, "n", "min_positive", "p01", "p50", "p99", "max", "mean", "sd")
 
 
 def size_distribution(sizes: DataFrame, n: str = "n", below: tuple[int, ...] = (20, 50, 100, 500)) -> DataFrame:

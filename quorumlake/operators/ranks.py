@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from quorumlake import constants as C
+from quorumlake.sources.staging import cut
+
+from .order_statistics import exact_quantiles, with_rows_before
 
 
 def unpivoted(df: DataFrame, features: list[str], keep: list[str]) -> DataFrame:
@@ -18,11 +20,11 @@ def unpivoted(df: DataFrame, features: list[str], keep: list[str]) -> DataFrame:
 def rank_auc(records: DataFrame, value: str, label: str, by: list[str] = ()) -> DataFrame:
     """(by..., n_pos, n_neg, auc): Mann-Whitney area with averaged ties; NULL where a class is absent.
 
-    Records are counted by value first, so ranks run over distinct values, not over records. NULL values are left out.
+    Records are counted by value first, so ranks run over distinct values, not over records, and over ranges of them that
+    count on from offsets (see order_statistics), so no task holds all values of a group. NULL values are left out.
     """
     per = records.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).alias("v")).agg(F.count("*").alias("n"), F.count_if(F.col(label).cast("boolean")).alias("n1"))
-    before = F.coalesce(F.sum("n").over(W.partitionBy(*by).orderBy("v").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    ranked = per.withColumn("mid", before + (F.col("n") + 1) / 2.0)
+    ranked = with_rows_before(per, "v", by=by).withColumn("mid", F.col("before") + (F.col("n") + 1) / 2.0)
     got = ranked.groupBy(*by).agg(F.sum("n1").alias("n_pos"), F.sum(F.col("n") - F.col("n1")).alias("n_neg"), F.sum(F.col("n1") * F.col("mid")).alias("ranks"))
     auc = F.try_divide(F.col("ranks") - F.col("n_pos") * (F.col("n_pos") + 1) / 2.0, F.col("n_pos").cast("double") * F.col("n_neg"))
     return got.select(*by, "n_pos", "n_neg", auc.alias("auc"))
@@ -36,9 +38,12 @@ def outcome_screen(df: DataFrame, features: list[str], label: str, review: float
     either side of a half.
     """
     long = unpivoted(df, features, [label]).where("value is not null and not isnan(value)")
-    shape = long.groupBy("feature").agg(F.count("*").alias("n"), F.count_distinct("value").alias("values"), F.min("value").alias("lo"), F.max("value").alias("hi"), F.percentile("value", [0.1, 0.9]).alias("cuts"))
-    shape = shape.withColumn("kind", F.when(F.col("values") < 2, "degenerate").when(F.col("values") == 2, "binary").otherwise("continuous"))
-    edges = shape.select("feature", "kind", "n", F.when(F.col("kind") == "binary", F.col("lo")).otherwise(F.get("cuts", F.lit(0))).alias("low_cut"), F.when(F.col("kind") == "binary", F.col("hi")).otherwise(F.get("cuts", F.lit(1))).alias("high_cut"))
+    cuts = exact_quantiles(long, "value", {"q1": 0.1, "q9": 0.9}, ["feature"])
+    ends = long.groupBy("feature").agg(F.min("value").alias("lo"), F.max("value").alias("hi"))
+    between = long.join(ends, "feature").groupBy("feature").agg(F.count_if((F.col("value") > F.col("lo")) & (F.col("value") < F.col("hi"))).alias("inside"))
+    shape = cut(cuts.join(ends, "feature").join(between, "feature"))  # a row for each feature
+    shape = shape.withColumn("kind", F.when(F.col("lo") == F.col("hi"), "degenerate").when(F.col("inside") == 0, "binary").otherwise("continuous"))
+    edges = shape.select("feature", "kind", "n", F.when(F.col("kind") == "binary", F.col("lo")).otherwise(F.col("q1")).alias("low_cut"), F.when(F.col("kind") == "binary", F.col("hi")).otherwise(F.col("q9")).alias("high_cut"))
     y = F.col(label).cast("double")
     sides = long.join(F.broadcast(edges.select("feature", "low_cut", "high_cut")), "feature").groupBy("feature").agg(  # one row for each feature
         F.avg(F.when(F.col("value") <= F.col("low_cut"), y)).alias("low_prevalence"), F.avg(F.when(F.col("value") >= F.col("high_cut"), y)).alias("high_prevalence"))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from quorumlake import constants as C
 from quorumlake.functions import cells, heads, identifiers, intervals
-from quorumlake.operators import betting, explain, profile, ranks, relational, shift, sites, splits
+from quorumlake.operators import betting, explain, order_statistics, profile, ranks, relational, shift, sites, splits
 
 RECORDS = "site_id int, y boolean, err boolean, score double"
 
@@ -249,3 +249,39 @@ def test_first_rows_are_found_before_the_shuffle(spark):
     df = spark.range(1000).selectExpr("id % 7 as k", "id as s")
     plan = relational.keep_least_surrogate(df, ["k"], "s")._jdf.queryExecution().toString()
     assert "WindowGroupLimit" in plan
+
+
+# ---- exact order statistics -------------------------------------------------
+
+
+def test_quantiles_of_many_groups_narrow_in_on_ranks(spark):
+    r = np.random.default_rng(3)
+    groups = {
+        "wide": np.concatenate([10.0 ** r.uniform(-300, 300, 300), -(10.0 ** r.uniform(-300, 300, 300))]), "same": np.full(500, 2.5), "ties": r.integers(0, 3, 900).astype(float),
+        "zero": np.array([0.0, -0.0, 5e-324, -5e-324, 1.0]), "ends": np.array([float("inf"), 1.0, float("-inf"), 2.0, 3.0]), "one": np.array([7.0]), None: r.normal(0, 1, 400), "close": 1e9 + r.random(700) * 1e-4,
+    }
+    rows = [(g, float(v)) for g, own in groups.items() for v in own] + [("one", None), ("none", None)]
+    df = spark.createDataFrame(rows, "g string, v double").repartition(5)
+    got = {x["g"]: x for x in order_statistics.exact_quantiles(df, "v", {"a": 0.0, "b": 0.01, "c": 0.37, "d": 0.5, "e": 1.0}, ["g"], few=8).collect()}
+    assert set(got) == set(groups)
+    for g, own in groups.items():
+        assert got[g]["n"] == len(own)
+        for name, p in (("a", 0.0), ("b", 0.01), ("c", 0.37), ("d", 0.5), ("e", 1.0)):
+            at = p * (len(own) - 1)
+            low, high = np.sort(own)[[math.floor(at), math.ceil(at)]]
+            assert got[g][name] == pytest.approx(low if low == high or at == math.floor(at) else (1 - at % 1) * low + at % 1 * high, rel=1e-12)
+    whole = order_statistics.exact_quantiles(df.where("g = 'ties'"), "v", {"m": 0.5}).first()
+    assert (whole["n"], whole["m"]) == (900, float(np.median(groups["ties"])))
+    empty = order_statistics.exact_quantiles(df.limit(0), "v", {"m": 0.5}).first()
+    assert (empty["n"], empty["m"]) == (0, None)
+
+
+def test_rows_before_are_counted_over_ranges(spark):
+    r = random.Random(2)
+    rows = sorted({(g, r.randrange(1000)) for g in ("a", "b", None) for _ in range(500)}, key=str)
+    df = spark.createDataFrame([(g, v, r.randint(1, 4)) for g, v in rows], "g string, v int, n long")
+    plain, got = df.collect(), order_statistics.with_rows_before(df, "v", by=["g"]).collect()
+    assert len(got) == len(plain)
+    for x in got:
+        assert x["before"] == sum(p["n"] for p in plain if p["g"] == x["g"] and p["v"] < x["v"])
+    assert order_statistics.with_rows_before(df.limit(0), "v", by=["g"]).count() == 0

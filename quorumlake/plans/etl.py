@@ -15,7 +15,8 @@ from quorumlake import constants as C
 from quorumlake.functions import cells
 from quorumlake.operators import profile, relational
 from quorumlake.sources import staging
-from quorumlake.sources.tables import ExtractError, read_table
+from quorumlake.sources.extract import ExtractError, typed_failures
+from quorumlake.sources.tables import read_table
 
 KEY = "patientunitstayid"
 
@@ -117,13 +118,14 @@ def comparator(result: DataFrame, cohort: DataFrame) -> DataFrame:
 
 
 def build(spark: SparkSession, folder: str, *, arm: str = "primary", strict_levels: bool = True) -> Extract:
-    """The feature table of an arm. Raises ExtractError, by the first gate that fails, in a fixed order.
+    """The feature table of an arm. Raises ExtractError for a file that cannot be read, then by the first gate that fails, in a fixed order.
 
     Feature names are case-sensitive: set spark.sql.caseSensitive before features are written or picked by name.
     """
     if arm not in C.ARMS:
         raise ExtractError(f"arm {arm!r} is not one of {C.ARMS}", "unknown-arm")
-    tables = {t: read_table(spark, folder, t) for t in C.TABLES}
+    with typed_failures():  # each file is read once
+        tables = {t: staging.staged(read_table(spark, folder, t), t) for t in C.TABLES}
     cohort, marked = select_cohort(tables["patient"], strict_levels=strict_levels)
     cohort = staging.staged(cohort, "cohort")
     n = cohort.count()

@@ -12,7 +12,8 @@ from quorumlake.functions import cells
 from quorumlake.operators import profile, relational, sites
 from quorumlake.plans import etl
 from quorumlake.sources import staging
-from quorumlake.sources.tables import ExtractError, check_readable, read_table
+from quorumlake.sources.extract import ExtractError, typed_failures
+from quorumlake.sources.tables import read_table
 
 STRATA = ["numbedscategory", "teachingstatus", "region"]
 
@@ -35,8 +36,9 @@ def preflight(spark: SparkSession, folder: str, *, expect_reference: bool = True
     Of several rows of a stay in a linked table that of the least surrogate id is profiled. A ratio counts as large
     where both sides have at least `least` stays.
     """
-    tables = {t: read_table(spark, folder, t) for t in C.TABLES}
-    counts = {t: check_readable(df, t) for t, df in tables.items()}  # a number for each of the five tables
+    with typed_failures():  # each file is read once
+        tables = {t: staging.staged(read_table(spark, folder, t), t) for t in C.TABLES}
+    counts = {t: df.count() for t, df in tables.items()}  # a number for each of the five tables
     identities = profile.identities(spark.createDataFrame(sorted(counts.items()), "name string, n long"), C.REFERENCE_ROW_COUNTS)
     other = {t: n for t, n in counts.items() if n != C.REFERENCE_ROW_COUNTS[t]}
     if other and expect_reference:

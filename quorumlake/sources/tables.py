@@ -9,16 +9,11 @@ import io
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quorumlake import constants as C
 
-
-class ExtractError(ValueError):
-    """An extract that cannot be read as expected; the message ends with (reason=tag)."""
-
-    def __init__(self, what: str, reason: str):
-        super().__init__(f"{what} (reason={reason})")
-        self.reason = reason
+from .extract import ExtractError, lower_header, raw_header, registered, typed_failures
 
 
 def listing(spark: SparkSession, folder: str) -> list[tuple[str, int]]:
@@ -35,14 +30,6 @@ def table_path(spark: SparkSession, folder: str, table: str) -> str:
     raise ExtractError(f"table {table} is not in {folder}", "missing-table")
 
 
-def raw_header(spark: SparkSession, path: str) -> list[str]:
-    """The header cells of a gzip CSV file as they stand."""
-    head = spark.read.text(path).limit(1).collect()  # one line
-    if not head:
-        return []
-    return next(csv.reader(io.StringIO(head[0][0].lstrip("﻿"))))
-
-
 def header_case(header: list[str]) -> str:
     """How an extract spells its columns: lower (no capitals), camel (capitals, letters and digits alone) or mixed."""
     names = [h.strip() for h in header if h.strip()]
@@ -51,52 +38,33 @@ def header_case(header: list[str]) -> str:
     return "camel" if all(h.isalnum() for h in names) else "mixed"
 
 
-def lower_header(header: list[str], table: str) -> list[str]:
-    names = [h.strip().lower() for h in header]
-    twice = sorted({n for n in names if names.count(n) > 1})
-    if twice:
-        raise ExtractError(f"{table} has columns that differ in case alone: {twice}", "duplicate-header")
-    return names
-
-
 def require_columns(columns: list[str], table: str, needed: tuple[str, ...]) -> None:
     gone = [c for c in needed if c.lower() not in columns]
     if gone:
         raise ExtractError(f"{table} lacks {gone}; it has {columns}", "missing-column")
 
 
-def read_table(spark: SparkSession, folder: str, table: str, *, required: tuple[str, ...] | None = None, limit: int | None = None) -> DataFrame:
-    """All cells of a table as text, missing ones as '', under lower-case names.
+def read_table(spark: SparkSession, folder: str, table: str, *, required: tuple[str, ...] | None = None, limit: int | None = None, raw: bool = False) -> DataFrame:
+    """All cells of a table as text, missing ones as '', under lower-case names, by the extract data source.
 
-    Byte-order marks, quoted line ends, doubled quotes, short rows and blank rows are read; extra cells are dropped. A
-    gzip file is read by one task, so the rows are dealt out again before anything else is done with them.
+    Byte-order marks, quoted line ends (in the header as well), doubled quotes, short rows and blank rows are read; extra
+    cells are dropped. raw: the header stays as it is, blank rows stay, and what a row lacks is NULL. A gzip file is read
+    by one task, so the rows are dealt out again before anything else is done with them. Failures within a job are
+    ExtractErrors where the job runs under typed_failures().
     """
     path = table_path(spark, folder, table)
-    names = lower_header(raw_header(spark, path), table)
-    require_columns(names, table, C.REQUIRED_COLUMNS.get(table, ()) if required is None else required)
-    schema = ", ".join(f"`{n}` string" for n in names)
-    df = spark.read.schema(schema).csv(path, header=True, multiLine=True, quote='"', escape='"', maxCharsPerColumn=10_000_000, enforceSchema=True, mode="PERMISSIVE")
-    # blank rows go before cells are renamed: a condition over many aliases makes the planner's constraints grow as 2**n
-    df = df.where(F.concat_ws("", *[F.col(f"`{n}`") for n in names]) != "")
-    df = df.select(*[F.coalesce(F.col(f"`{n}`"), F.lit("")).alias(n) for n in names])
-    return (df.limit(limit) if limit is not None else df).repartition(spark.sparkContext.defaultParallelism)
+    options = {"path": path, "table": table, "raw": str(raw).lower()} | ({} if limit is None else {"limit": str(limit)})
+    header = raw_header(path, table, raw)
+    names = header if raw else lower_header(header, table)
+    require_columns([n.lower() for n in names], table, C.REQUIRED_COLUMNS.get(table, ()) if required is None else required)
+    schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
+    return spark.read.format(registered(spark)).schema(schema).options(**options).load().repartition(spark.sparkContext.defaultParallelism)
 
 
 def check_readable(df: DataFrame, table: str) -> int:
-    """The rows of a table; raises where its bytes are cut short or are not UTF-8."""
-    bad = F.lit(False)
-    for c in df.columns:
-        bad = bad | F.col(f"`{c}`").contains("�")
-    try:
-        n, broken = df.agg(F.count("*"), F.count_if(bad)).first()
-    except Exception as e:  # any failure to read is named by its table
-        text = str(e)
-        if any(k in text for k in ("EOFException", "ZipException", "FAILED_READ_FILE", "Unexpected end")):
-            raise ExtractError(f"{table} is cut short: {text[:200]}", "truncated-table") from e
-        raise
-    if broken:
-        raise ExtractError(f"{table} has {broken} rows that are not UTF-8", "undecodable-table")
-    return n
+    """The rows of a table; raises ExtractError where its bytes are cut short, are not UTF-8 or hold a cell that is too long."""
+    with typed_failures():
+        return df.count()
 
 
 def folder_digest(spark: SparkSession, folder: str) -> str:
@@ -114,6 +82,17 @@ def read_labeled(spark: SparkSession, path: str, *, label: str = "label", site:
     return df.select(*have, x)
 
 
+def read_recorded(spark: SparkSession, path: str, schema: str, **equal) -> DataFrame:
+    """Rows of a table that write_csv wrote, cells read as the schema says, of which all given columns have the given values.
+
+    A cell that does not fit its type is NULL, and so never equal to anything; the columns must be in the file.
+    """
+    df = spark.read.schema(schema).option("enforceSchema", False).csv(path, header=True)
+    for name, value in equal.items():
+        df = df.where(F.col(name) == F.lit(value))
+    return df
+
+
 def read_any(spark: SparkSession, path: str, kind: str = "parquet", **options) -> DataFrame:
     """A table that Spark's own readers know."""
     return spark.read.format(kind).options(**options).load(path)

@@ -85,6 +85,105 @@ def counterfactual(head: Head, x: Column, logit: Column, tau: float) -> dict[str
     return {"cf_gap": gap, "cf_move": move, "cf_single": single, "cf_best": F.get(order, F.lit(0))["j"], "cf_answered": answered(scored(moved)["score"], tau)}
 
 
+
+def _literals(values) -> Column:
+    return F.array(*[F.lit(v) for v in values])
+
+
+def _once(value: Column, body) -> Column:
+    """body(value), the value being worked out once for a row, however often body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def ranked_moves(head: Head, x: Column, logit: Column, tau: float) -> dict[str, Column]:
+    """All closed-form moves that bring a declined record to an answer of the same label, and what the deployed rule then says.
+
+    cf_declined; cf_distance: length of the shortest move over all features together, in standard deviations, infinite
+    for a head without weights; cf_opposite: that to an answer of the other label; cf_moves: (feature, dz, dx) of every
+    feature that can do it alone, the smallest move first, ties by feature, none for an answered record. The gap is one
+    factor of all moves, so their order is that of the weights and the same for every record; features without weight
+    would have to move without end and are left out. cf_flips: whether the rule answers the record after the shortest
+    move, worked out anew from its features; cf_confidence, cf_class: what it then says, NULL where it does not.
+    """
+    bar = math.log(tau / (1.0 - tau))
+    sign = F.when(logit >= 0, 1.0).otherwise(-1.0)
+    margin = F.lit(bar) - F.abs(logit)
+    declined = margin > 0
+    gap = F.when(declined, (margin + C.LOGIT_HEADROOM) * sign).otherwise(F.lit(0.0))
+    norm = math.sqrt(sum(c * c for c in head.coef))
+    endless = F.lit(float("inf"))
+    order = [j for j, _ in sorted(((j, -abs(c)) for j, c in enumerate(head.coef) if c != 0.0), key=lambda t: (t[1], t[0]))]
+    each = [F.struct(F.lit(j).alias("feature"), (gap / head.coef[j]).alias("dz"), (gap / head.coef[j] * head.sd[j]).alias("dx")) for j in order]
+    none = F.array().cast("array<struct<feature:int,dz:double,dx:double>>")
+    step = _literals([float(c * s / (norm * norm)) if norm else 0.0 for c, s in zip(head.coef, head.sd, strict=True)])
+    moved = head.logit(F.zip_with(x, step, lambda v, m: v + gap * m))
+    after = scored(moved)
+    flips = answered(after["score"], tau)
+    fine = declined & flips
+    return {
+        "cf_declined": declined, "cf_distance": F.greatest(margin, F.lit(0.0)) / norm if norm else F.when(declined, endless).otherwise(F.lit(0.0)),
+        "cf_opposite": (F.lit(bar) + F.abs(logit)) / norm if norm else endless, "cf_moves": F.when(declined, F.array(*each)).otherwise(none) if each else none,
+        "cf_flips": flips, "cf_confidence": F.when(fine, after["score"]), "cf_class": F.when(fine, sign > 0),
+    }
+
+
+def moved_alone(head: Head, x: Column, feature: Column, dz: Column) -> Column:
+    """The logit after one feature of a record moves by dz standard deviations, worked out anew from its features."""
+    sd = F.get(_literals([float(s) for s in head.sd]), feature)
+    return head.logit(F.transform(x, lambda v, j: F.when(j == feature, v + dz * sd).otherwise(v)))
+
+
+def crossings(head: Head, x: Column, logit: Column, tau: float) -> Column:
+    """Array of (feature, z_now, z_no, z_yes, x_no, x_yes): where a feature alone brings a record to the bar of an answer.
+
+    z_no, z_yes: the values, in standard deviations from the mean, at which the record's score is the threshold with the
+    negative and with the positive label; between them it is declined. NULLs for features without weight.
+    """
+    bar, phi, z = math.log(tau / (1.0 - tau)), head.attribution(x), head.z(x)
+    own = []
+    for j, c in enumerate(head.coef):
+        base = logit - F.get(phi, F.lit(j))
+        at = {e: (F.lit(b) - base) / c if c != 0.0 else F.lit(None).cast("double") for e, b in (("no", -bar), ("yes", bar))}
+        own.append(F.struct(F.lit(j).alias("feature"), F.get(z, F.lit(j)).alias("z_now"), *[at[e].alias(f"z_{e}") for e in at], *[(at[e] * head.sd[j] + head.mu[j]).alias(f"x_{e}") for e in at]))
+    return F.array(*own)
+
+
+def level_table(head: Head, x: Column, logit: Column, tau: float, members: list[int]) -> Column:
+    """Array of (level, now, p, answered): a record under each level of a one-hot group; all its members move together.
+
+    members: places of the group's features; the level's own is 1, the others are 0. now: whether the record has it.
+    """
+    phi = head.attribution(x)
+    rest = _once(phi, lambda own: logit - sum(F.get(own, F.lit(j)) for j in members))
+    off = {j: head.coef[j] * (0.0 - head.mu[j]) / head.sd[j] for j in members}
+    parts = [sum(off[k] for k in members if k != j) + head.coef[j] * (1.0 - head.mu[j]) / head.sd[j] for j in members]
+    moves = F.array(*[F.struct(F.lit(j).alias("level"), F.lit(float(v)).alias("part")) for j, v in zip(members, parts, strict=True)])
+
+    def told(m: Column, r: Column) -> Column:
+        after = scored(r + m["part"])
+        return F.struct(m["level"].alias("level"), (F.get(x, m["level"]) == 1.0).alias("now"), after["p"].alias("p"), answered(after["score"], tau).alias("answered"))
+
+    return _once(rest, lambda r: F.transform(moves, lambda m: told(m, r)))
+
+
+def state_table(head: Head, x: Column, logit: Column, tau: float, features: list[int]) -> Column:
+    """Array of (feature, state, now, p, answered): a record with each of the given 0/1 features at either state."""
+    phi, own = head.attribution(x), []
+    for j in features:
+        for state in (0.0, 1.0):
+            after = scored(logit - F.get(phi, F.lit(j)) + head.coef[j] * (state - head.mu[j]) / head.sd[j])
+            own.append(F.struct(F.lit(j).alias("feature"), F.lit(int(state)).alias("state"), (F.get(x, F.lit(j)) == state).alias("now"), after["p"].alias("p"), answered(after["score"], tau).alias("answered")))
+    return F.array(*own)
+
+
+def response(head: Head, x: Column, logit: Column, feature: int, *, points: int = 161, reach: float = 4.0) -> Column:
+    """Array of (step, z, p): a record's probability as one feature alone goes from -reach to reach standard deviations."""
+    base = logit - F.get(head.attribution(x), F.lit(feature))
+    grid = F.sequence(F.lit(0), F.lit(points - 1))
+    z = lambda i: F.lit(-reach) + F.lit(2.0 * reach) * i / (points - 1)
+    return _once(base, lambda b: F.transform(grid, lambda i: F.struct(i.alias("step"), z(i).alias("z"), sigmoid(b + head.coef[feature] * z(i)).alias("p"))))
+
+
 def fit_head(records: DataFrame, x_col: str = "x", y_col: str = "y") -> Head:
     """An L2-regularised logistic head (C = 1, unpenalised intercept) on standardised features, fitted on the cluster.
 

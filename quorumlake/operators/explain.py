@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
+from quorumlake import constants as C
+from quorumlake.functions import heads
 from quorumlake.functions.intervals import binomial_exceedances
 
 from .ranks import rank_auc
+from .resampling import seeded
 
 
 def composition(records: DataFrame, answered: Column, p: str = "p", y: str | None = None, rho: float = 1.0) -> DataFrame:
@@ -23,18 +27,54 @@ def composition(records: DataFrame, answered: Column, p: str = "p", y: str | Non
     )
 
 
-def abstention_profile(records: DataFrame, phi: str, answered: Column) -> DataFrame:
-    """(feature, mean_answered, mean_declined, gap, place): mean |share of the logit| of answered and declined records.
+def abstention_profile(records: DataFrame, phi: str, answered: Column, by: list[str] = ()) -> DataFrame:
+    """(by..., feature, mean_answered, mean_declined, gap, place): mean |share of the logit| of answered and declined records.
 
-    Ordered by |gap|, ties by feature. No rows where either side is empty.
+    Ordered by |gap|, ties by feature. No rows for a group of which either side is empty.
     """
-    long = records.select(answered.alias("a"), F.posexplode(phi).alias("feature", "v"))
+    long = records.select(*by, answered.alias("a"), F.posexplode(phi).alias("feature", "v"))
     size = F.abs(F.col("v"))
-    means = long.groupBy("feature").agg(F.avg(F.when(F.col("a"), size)).alias("mean_answered"), F.avg(F.when(~F.col("a"), size)).alias("mean_declined"))
+    means = long.groupBy(*by, "feature").agg(F.avg(F.when(F.col("a"), size)).alias("mean_answered"), F.avg(F.when(~F.col("a"), size)).alias("mean_declined"))
     means = means.where("mean_answered is not null and mean_declined is not null").withColumn("gap", F.col("mean_answered") - F.col("mean_declined"))
-    from pyspark.sql import Window as W
+    return means.withColumn("place", F.row_number().over(W.partitionBy(*by).orderBy(F.desc(F.abs("gap")), "feature")))  # a row for each feature
 
-    return means.withColumn("place", F.row_number().over(W.orderBy(F.desc(F.abs("gap")), "feature")))  # a row for each feature
+
+def stable_drivers(profiles: DataFrame, replicate: str = "replicate") -> DataFrame:
+    """(feature, replicates, mean_gap, ci95, n_top, top_share, is_mode, stable): what many profiles say of a feature alike.
+
+    profiles: abstention_profile by replicate. ci95: half the width of a 95 % interval of the mean gap (1.96 standard
+    errors), NULL for one replicate. n_top: how often the feature has the largest gap; the mode is the feature that most
+    often does, ties by feature; it is stable where that is at least half of the replicates.
+    """
+    n = F.count("*")
+    got = profiles.groupBy("feature").agg(n.alias("replicates"), F.avg("gap").alias("mean_gap"), (1.96 * F.stddev_samp("gap") / F.sqrt(n)).alias("ci95"), F.count_if(F.col("place") == 1).alias("n_top"))
+    every = W.partitionBy(F.lit(0))  # a row for each feature
+    share = F.col("n_top") / F.sum("n_top").over(every)
+    first = F.row_number().over(every.orderBy(F.desc("n_top"), "feature")) == 1
+    return got.withColumns({"top_share": share, "is_mode": first}).withColumn("stable", F.col("is_mode") & (F.col("top_share") >= 0.5))
+
+
+def evaluated_moves(records: DataFrame, head: heads.Head, id_col: str, tau: float, *, x: str = "x", logit: str = "logit", seed: int = C.SEED) -> DataFrame:
+    """(n_declined, n_evaluated, n_unflippable, top_flips, random_flips, top_flip_rate, random_flip_rate): does the first move of a ranking do what it says?
+
+    Each declined record that can be brought to an answer is scored anew after its smallest single move, and after a move
+    of the same length, in the more favourable direction, of a feature drawn at random, seeded by the record's id.
+    """
+    n_features = len(head.coef)
+    rows = records.select(F.col(id_col).alias("id"), F.col(x).alias("x"), F.col(logit).alias("logit"))
+    rows = rows.withColumns(heads.ranked_moves(head, F.col("x"), F.col("logit"), tau)).where("cf_declined")
+    fine = F.col("cf_flips") & (F.size("cf_moves") > 0)
+    top = F.get("cf_moves", F.lit(0))
+    drawn = F.pmod(seeded(seed, "counterfactual", F.col("id")), F.lit(n_features)).cast("int")
+    sign = F.when(F.col("logit") >= 0, 1.0).otherwise(-1.0)
+    weight = F.get(F.array(*[F.lit(float(c)) for c in head.coef]), drawn)
+    length = F.abs(top["dz"])
+    flips = lambda feature, dz: heads.answered(heads.scored(heads.moved_alone(head, F.col("x"), feature, dz))["score"], tau)
+    judged = rows.select(fine.alias("fine"), flips(top["feature"], top["dz"]).alias("top"), flips(drawn, F.when(sign * weight >= 0, length).otherwise(-length)).alias("random"))
+    got = judged.agg(
+        F.count("*").alias("n_declined"), F.count_if("fine").alias("n_evaluated"), F.count_if(~F.col("fine")).alias("n_unflippable"),
+        F.count_if(F.col("fine") & F.col("top")).alias("top_flips"), F.count_if(F.col("fine") & F.col("random")).alias("random_flips"))
+    return got.select("*", *[F.try_divide(F.col(f"{k}_flips").cast("double"), F.col("n_evaluated")).alias(f"{k}_flip_rate") for k in ("top", "random")])
 
 
 def binned(records: DataFrame, value: Column, edges: list[float], measures: dict[str, Column], *, right_closed: bool = False) -> DataFrame:

@@ -46,3 +46,28 @@ def bootstrap(draws: DataFrame, valid: Column, measures: dict[str, Column], *, w
     whole = F.col("n_boot") >= wanted
     sides = [F.when(whole, F.get(k, F.lit(i))).alias(f"{k}_{e}") for k in measures for i, e in enumerate(("lo", "hi"))]
     return got.select(*by, "n_boot", F.when(whole, F.col("_last")).otherwise(most).cast("int").alias("n_attempts"), *sides)
+
+
+def exact_sample(rows: DataFrame, k: int, *, seed: int, key: str, stream: str = "sample") -> DataFrame:
+    """k rows, or all where there are fewer: those of the least seeded numbers of their keys, ties by key.
+
+    The k-th number is found by histograms that narrow in on it (see order_statistics), so nothing is sorted and the
+    sample is the same for any partitioning. Of rows that share the last key any are taken. Columns are those of rows.
+    """
+    from .order_statistics import values_at
+
+    name = "_number"
+    marked = rows.withColumn(name, seeded(seed, stream, F.col(key)))
+    n = rows.count()
+    if n <= k:
+        return rows
+    if k < 1:
+        return rows.limit(0)
+    one = marked.withColumn("_all", F.lit(0))
+    place = rows.sparkSession.createDataFrame([(0, k - 1)], "_all int, place long")
+    last = int(values_at(one, name, place, ["_all"]).first()["v"])  # below 2^48, so exact as a double
+    below = marked.where(F.col(name) < last)
+    tied = marked.where(F.col(name) == last)
+    left = k - below.count()
+    first = F.row_number().over(W.partitionBy(F.lit(0)).orderBy(key))
+    return below.drop(name).unionByName(tied.withColumn("_place", first).where(F.col("_place") <= left).drop("_place", name))

@@ -353,13 +353,14 @@ def composition(spark: SparkSession, d: str) -> DataFrame:
     return rounded(explain.composition(cohort(spark, d), F.col("score") >= 0.75, y="y", rho=1.5), 9, "predicted", "expected", "oracle")
 
 
-@query(f"""{_HEADED}, g AS (SELECT generate_series AS step, -4.0::DOUBLE + 8.0::DOUBLE * generate_series / 160 AS v FROM generate_series(0, 160)), c AS (SELECT record_id, logit, f0 FROM h ORDER BY record_id LIMIT 20)
-SELECT record_id, step::INT AS step, round(1 / (1 + exp(-(logit - f0 + 0.8 * v))), 9) AS p FROM c, g""")
+@query(f"""{_HEADED}, g AS (SELECT generate_series AS step, -4.0::DOUBLE + 8.0::DOUBLE * generate_series / 160 AS v FROM generate_series(0, 160)),
+r AS (SELECT step, 1 / (1 + exp(-(logit - f0 + 0.8::DOUBLE * v))) AS p FROM h, g)
+SELECT step::INT AS step, count(*) AS cases, round(avg(p), 9) AS mean_p, round(min(p), 9) AS least_p, round(max(p), 9) AS most_p, count(*) FILTER (greatest(p, 1 - p) >= 0.65) AS n_answered FROM r GROUP BY step""")
 def response_curve(spark: SparkSession, d: str) -> DataFrame:
-    cases = _explained(spark, d).orderBy("record_id").limit(20)  # a report of the first twenty cases
-    step = cases.select("record_id", "logit", F.get("phi", F.lit(0)).alias("f0"), F.explode(F.sequence(F.lit(0), F.lit(160))).alias("step"))
-    z = F.col("logit") - F.col("f0") + 0.8 * (F.lit(-4.0) + F.lit(8.0) * F.col("step") / 160)
-    return step.select("record_id", "step", F.round(heads.sigmoid(z), 9).alias("p"))
+    rows = _explained(spark, d)
+    steps = rows.select(F.explode(heads.response(HEAD, F.col("x"), F.col("logit"), 0)).alias("r")).select("r.*")
+    got = steps.groupBy("step").agg(F.count("*").alias("cases"), F.avg("p").alias("mean_p"), F.min("p").alias("least_p"), F.max("p").alias("most_p"), F.count_if(F.greatest(F.col("p"), 1 - F.col("p")) >= 0.65).alias("n_answered"))
+    return rounded(got, 9, "mean_p", "least_p", "most_p")
 
 
 @query(f"{COHORT} SELECT tau_idx, count(*) FILTER (score >= tau) AS n_answered FROM taus CROSS JOIN cohort GROUP BY tau_idx")

@@ -70,6 +70,7 @@ ATTRITION_STEPS = (
     "apache-aps-linked", "apache-result-linked", "apache-complete-arm",
 )
 REFERENCE_ROW_COUNTS = {"patient": 200859, "hospital": 208, "apacheApsVar": 171177, "apachePredVar": 171177, "apachePatientResult": 297064}
+REFERENCE_SITES, REFERENCE_PATIENTS, REFERENCE_UNIT_STAYS = 208, 139367, 200859
 
 # Feature blocks and frozen levels.
 PATIENT_NUMERIC = ("age", "admissionheight", "admissionweight", "pre_icu_hours")

@@ -99,16 +99,16 @@ def exact_quantiles(rows: DataFrame, value: str, probabilities: dict[str, float]
         rows, by = rows.withColumn("_all", F.lit(0)), ["_all"]
     known = rows.where(F.col(value).isNotNull()).select(*by, F.col(value).cast("double").alias("_value"))
     sizes = known.groupBy(*by).agg(F.count("*").alias("n"))
-    wanted = F.array(*[F.struct(F.lit(k).alias("name"), F.lit(float(p)).alias("p")) for k, p in probabilities.items()])
-    at = sizes.select(*by, "n", F.explode(wanted).alias("w")).select(*by, "n", "w.name", (F.col("w.p") * (F.col("n") - 1)).alias("at"))
+    wanted = F.array(*[F.struct(F.lit(k).alias("_name"), F.lit(float(p)).alias("p")) for k, p in probabilities.items()])
+    at = sizes.select(*by, "n", F.explode(wanted).alias("w")).select(*by, "n", "w._name", (F.col("w.p") * (F.col("n") - 1)).alias("at"))
     at = cut(at.withColumns({"low": F.floor("at").cast("long"), "high": F.ceil("at").cast("long")}))
     places = at.select(*by, F.explode(F.array_distinct(F.array("low", "high"))).alias("place"))
     found = cut(values_at(known, "_value", places, by, few=few))
     low, high = (found.withColumnsRenamed({"place": e, "v": f"_{e}"}) for e in ("low", "high"))
     both = beside(beside(at, low, [*by, "low"]), high, [*by, "high"])
     share = F.col("at") - F.col("low")
-    both = both.withColumn("q", F.when(F.col("low") == F.col("high"), F.col("_low")).otherwise((1 - share) * F.col("_low") + share * F.col("_high")))
-    got = both.groupBy(*by).agg(F.first("n").alias("n"), *[F.max(F.when(F.col("name") == k, F.col("q"))).alias(k) for k in probabilities])
+    both = both.withColumn("q", F.when(F.col("_low") == F.col("_high"), F.col("_low")).otherwise((1 - share) * F.col("_low") + share * F.col("_high")))
+    got = both.groupBy(*by).agg(F.first("n").alias("n"), *[F.max(F.when(F.col("_name") == k, F.col("q"))).alias(k) for k in probabilities])
     if given:
         return got
     one = rows.sparkSession.createDataFrame([(0,)], "_all int").join(got, "_all", "left").drop("_all")

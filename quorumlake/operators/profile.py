@@ -6,6 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from quorumlake import constants as C
+from quorumlake.functions import cells
+
 from .order_statistics import beside, exact_quantiles
 
 
@@ -90,3 +93,71 @@ def identities(found: DataFrame, expected: dict[str, int]) -> DataFrame:
     """(name, n, expected, matches): counts (name, n) against those of the release; a table that is not there has none."""
     known = found.sparkSession.createDataFrame(sorted(expected.items()), "name string, expected long")
     return known.join(found, "name", "left").select("name", "n", "expected", F.coalesce(F.col("n") == F.col("expected"), F.lit(False)).alias("matches"))
+
+
+def cell_profiles(cells_: DataFrame, by: list[str], cell: str = "cell") -> DataFrame:
+    """(by..., n, n_empty, n_minus_one, n_other_negative, n_unparseable, n_zero, n_value, min_positive, p01, p50, p99, max): what text cells hold.
+
+    cells_: a row for each cell, so the columns of all tables are profiled by one plan. Quantiles are exact, over all
+    numbers but the -1 that stands for missing.
+    """
+    text = F.coalesce(cells.stripped(F.col(cell)), F.lit(""))
+    rows = cells_.select(*by, text.alias("_t"), cells.maybe_float(text).alias("_v"))
+    t, v = F.col("_t"), F.col("_v")
+    value = F.when(v != C.SENTINEL_MISSING, v)
+    told = rows.groupBy(*by).agg(
+        F.count("*").alias("n"), F.count_if(t == "").alias("n_empty"), F.count_if(v == C.SENTINEL_MISSING).alias("n_minus_one"), F.count_if((v < 0) & (v != C.SENTINEL_MISSING)).alias("n_other_negative"),
+        F.count_if((t != "") & v.isNull()).alias("n_unparseable"), F.count_if(v == 0).alias("n_zero"), F.count(value).alias("n_value"), F.min(F.when(v > 0, v)).alias("min_positive"), F.max(value).alias("max"))
+    cuts = exact_quantiles(rows.withColumn("_v", value), "_v", {"p01": 0.01, "p50": 0.5, "p99": 0.99}, by).drop("n")
+    names = [c for c in told.columns if c != "max"]
+    return beside(told, cuts, by, "left").select(*names, "p01", "p50", "p99", "max")
+
+
+def unknown_tokens(cells_: DataFrame, by: list[str], cell: str = "cell", top: int = 4) -> DataFrame:
+    """(by..., token, n, place): the most frequent cells of each column that are neither blank nor numbers, ties by token."""
+    text = F.coalesce(cells.stripped(F.col(cell)), F.lit(""))
+    odd = cells_.select(*by, text.alias("token")).where((F.col("token") != "") & cells.maybe_float(F.col("token")).isNull())
+    counts = odd.groupBy(*by, "token").agg(F.count("*").alias("n"))
+    return counts.withColumn("place", F.row_number().over(W.partitionBy(*by).orderBy(F.desc("n"), "token"))).where(F.col("place") <= top)
+
+
+def cell_dispersion(cells_: DataFrame, by: list[str], site: str, cell: str = "cell") -> DataFrame:
+    """(by..., sites, mean_minus_one, sd_minus_one, p10, p50, p90, mean_missing, sd_missing): how the rates of missing cells spread over sites.
+
+    A site counts for a column where it has a cell of it. The percentiles are those of the rates of -1.
+    """
+    number = cells.maybe_float(F.col(cell))
+    one = (number == C.SENTINEL_MISSING).cast("double")
+    rates = cells_.groupBy(*by, site).agg(F.avg(F.coalesce(one, F.lit(0.0))).alias("m1"), F.avg((number.isNull() | (number == C.SENTINEL_MISSING)).cast("double")).alias("gone"))
+    got = rates.groupBy(*by).agg(F.count("*").alias("sites"), F.avg("m1").alias("mean_minus_one"), F.stddev_pop("m1").alias("sd_minus_one"), F.avg("gone").alias("mean_missing"), F.stddev_pop("gone").alias("sd_missing"))
+    cuts = exact_quantiles(rates, "m1", {"p10": 0.1, "p50": 0.5, "p90": 0.9}, by).drop("n")
+    return beside(got, cuts, by, "left").select(*by, "sites", "mean_minus_one", "sd_minus_one", "p10", "p50", "p90", "mean_missing", "sd_missing")
+
+
+def window_counts(df: DataFrame, conditions: dict[tuple[str, str], Column]) -> DataFrame:
+    """(name, window, n): how many rows meet each named condition; conditions may overlap, unmet ones have 0."""
+    flags = F.array(*[F.struct(F.lit(name).alias("name"), F.lit(window).alias("window"), F.coalesce(c, F.lit(False)).alias("hit")) for (name, window), c in conditions.items()])
+    return df.select(F.explode(flags).alias("c")).groupBy("c.name", "c.window").agg(F.count_if("c.hit").alias("n"))
+
+
+def unit_windows(value: Column, name: str) -> dict[tuple[str, str], Column]:
+    """The conditions by which the units of fractions of oxygen and temperatures are told apart, for window_counts."""
+    if name == "fio2":
+        (a, b), (c, d) = C.WINDOW_FIO2_FRACTION, C.WINDOW_FIO2_PERCENT
+        fraction, percent = (value > a) & (value <= b), (value > c) & (value <= d)
+        told = {"le_1": value <= 1.0, "gt_1": value > 1.0, "gt_100": value > 100.0, "fraction": fraction, "percent": percent, "neither": ~fraction & ~percent, "fraction_floor": value == a, "percent_floor": value == c}
+    else:
+        (a, b), (c, d) = C.WINDOW_TEMP_C, C.WINDOW_TEMP_F
+        low, high = (value > a) & (value < b), (value > c) & (value < d)
+        told = {"celsius": low, "fahrenheit": high, "neither": ~low & ~high, "above_celsius": value > b}
+    known = value.isNotNull() & (value != C.SENTINEL_MISSING)
+    return {(name, "missing"): value.isNull(), (name, "minus_one"): value == C.SENTINEL_MISSING} | {(name, w): known & c for w, c in told.items()}
+
+
+def lengths(df: DataFrame, hours: str, groups: dict[str, Column]) -> DataFrame:
+    """(name, n, n_hours, median_hours, p25, p75, under_4h, under_24h): lengths of stay within named groups, which may overlap."""
+    flags = F.filter(F.array(*[F.when(c, F.lit(k)) for k, c in groups.items()]), lambda k: k.isNotNull())
+    rows = df.select(F.col(hours).alias("_h"), F.explode(flags).alias("name"))
+    got = rows.groupBy("name").agg(F.count("*").alias("n"), F.count("_h").alias("n_hours"), F.avg((F.col("_h") < 4).cast("double")).alias("under_4h"), F.avg((F.col("_h") < 24).cast("double")).alias("under_24h"))
+    cuts = exact_quantiles(rows, "_h", {"p25": 0.25, "median_hours": 0.5, "p75": 0.75}, ["name"]).drop("n")
+    return beside(got, cuts, ["name"], "left").select("name", "n", "n_hours", "median_hours", "p25", "p75", "under_4h", "under_24h")

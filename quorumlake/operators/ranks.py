@@ -53,6 +53,18 @@ def outcome_screen(df: DataFrame, features: list[str], label: str, review: float
     return out.select("feature", "kind", "n", F.when(real, F.col("auc")).alias("auc"), "low_prevalence", "high_prevalence", F.coalesce(real & (F.abs(F.col("auc") - 0.5) >= review - 0.5), F.lit(False)).alias("flagged"))
 
 
+def decile_contrast(df: DataFrame, features: list[str], label: str) -> DataFrame:
+    """(feature, decile, n, prevalence, least, most): how the label's prevalence runs over the tenths of each feature.
+
+    A value lies in the tenth numbered by how many of the nine exact cuts are below it; tenths that ties leave empty are absent.
+    """
+    long = unpivoted(df, features, [label]).where("value is not null and not isnan(value)")
+    cuts = exact_quantiles(long, "value", {f"c{i}": i / 10 for i in range(1, 10)}, ["feature"])
+    cuts = cut(cuts.select("feature", F.array(*[f"c{i}" for i in range(1, 10)]).alias("cuts")))  # a row for each feature
+    own = F.size(F.filter("cuts", lambda c: c < F.col("value"))) + 1
+    return long.join(cuts, "feature").groupBy("feature", own.alias("decile")).agg(F.count("*").alias("n"), F.avg(F.col(label).cast("double")).alias("prevalence"), F.min("value").alias("least"), F.max("value").alias("most"))
+
+
 def leak_alarm(records: DataFrame, score: str, ablated: str, label: str, auc_cap: float = C.LEAK_AUC_CAP, drop_cap: float = C.LEAK_DROP_CAP, by: list[str] = ()) -> DataFrame:
     """(by..., auc, auc_ablated, ablation_drop, auc_alarm, ablation_alarm): is a held-out score too good to be true?
 

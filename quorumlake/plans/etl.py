@@ -192,6 +192,13 @@ def build(spark: SparkSession, folder: str, *, arm: str = "primary", strict_leve
     return Extract(out, ledger, cross, counts, outcome, warnings)
 
 
+def release_check(extract: Extract) -> DataFrame:
+    """(name, n, expected, matches): the raw stays and sites of an extract's ledger against those of the release; reported, not raised."""
+    first = extract.ledger.where(F.col("step") == C.ATTRITION_STEPS[0])
+    pairs = F.array(F.struct(F.lit("unit-stays").alias("name"), F.col("n_rows").cast("long").alias("n")), F.struct(F.lit("sites").alias("name"), F.col("n_sites").cast("long").alias("n")))
+    return profile.identities(first.select(F.explode(pairs).alias("p")).select("p.*"), {"unit-stays": C.REFERENCE_UNIT_STAYS, "sites": C.REFERENCE_SITES})
+
+
 def _gate(n: int, counts: dict, outcome: dict, arm: str) -> list[str]:
     """Warnings; raises in the order negatives, tokens, coverage, outcome."""
     apache = {k: v for k, v in counts.items() if k.startswith(("aps_", "apv_"))}

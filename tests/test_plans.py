@@ -4,13 +4,15 @@ from __future__ import annotations
 
 import json
 
+import populations
 import pytest
 from pyspark.sql import functions as F
 
 from quorumlake import constants as C
 from quorumlake.functions import heads
+from quorumlake.operators import sites, splits
 from quorumlake.plans import certify as plan
-from quorumlake.plans import etl, experiments, preflight
+from quorumlake.plans import etl, preflight
 from quorumlake.sources import sinks, tables
 from quorumlake.streaming import scorer
 
@@ -65,6 +67,7 @@ def test_a_planted_extract(spark, tmp_path):
     p.aps.append(["99", "1", *["1"] * 7, *["200"] * (len(C.APS_NUMERIC) - 7)])
     p.result += [["500", "2", "IV", "0.9"], ["1", "3", "IVa", "0.7"], ["501", "107", "IVa", "-1"], ["502", "107", "IV", "0.4"]]
     got = etl.build(spark, p.write(tmp_path))
+    assert {r["name"]: (r["n"], r["matches"]) for r in etl.release_check(got).collect()}["sites"][1] is False
     rows = {r["stay"]: r for r in got.features.collect()}
     assert sorted(rows) == [*range(1, 41), 101, 107, 108]
     assert rows[101]["age"] == 90.0 and rows[101]["age_masked"] == 1.0 and rows[1]["age_masked"] == 0.0
@@ -137,11 +140,13 @@ def test_sinks_refuse_records(spark, tmp_path):
 
 
 def test_certify_is_honest(spark):
-    rows = experiments.replicate(spark, 1, alphas=(0.05, 0.10), modes=("baseline", "bbse"))
-    by = {r["alpha"]: r for r in rows}
-    assert by[0.10]["certified"] and by[0.10]["risk"] <= 0.10 and by[0.10]["coverage"] > 0.8
-    got = experiments.rollup(spark.createDataFrame(rows, "draw int, alpha double, certified boolean, tau double, risk double, coverage double, exceed_share double"))
-    assert got.count() == 2
+    cohort, target = populations.draw_cohort(spark, 208, 1001).persist(), populations.draw_cohort(spark, 24, 500_001, prefix="t-").persist()
+    got = plan.certify(splits.with_split(cohort, splits.split_sites(cohort.select("site_label").distinct(), 1)), target, modes=("baseline", "bbse"))
+    rung = got.report["certified"][0.10]
+    pool = plan.score(target, got.head).withColumn("site_id", F.col("site_label"))
+    risk = sites.pool_risk(sites.threshold_counts(pool)).where(F.col("tau_idx") == rung["tau_idx"]).first()
+    assert risk["risk"] <= 0.10 and risk["coverage"] > 0.8
+    assert got.report["estimated"]["ci"][0] <= got.report["estimated"]["risk"] <= got.report["estimated"]["ci"][1]
 
 
 def test_the_gate_looks_at_every_depth(spark):
@@ -156,10 +161,10 @@ def test_the_gate_looks_at_every_depth(spark):
 
 
 def test_certify_declines_and_refuses(spark):
-    cohort = experiments.draw_cohort(spark, 60, 5, experiments.Population(most=60))
-    split = experiments.splits.split_sites(cohort.select("site_label").distinct(), 1)
-    target = experiments.draw_cohort(spark, 12, 6, experiments.Population(most=40), prefix="t-")
-    both = experiments.splits.with_split(cohort, split).persist()
+    cohort = populations.draw_cohort(spark, 60, 5, populations.Population(most=60))
+    split = splits.split_sites(cohort.select("site_label").distinct(), 1)
+    target = populations.draw_cohort(spark, 12, 6, populations.Population(most=40), prefix="t-")
+    both = splits.with_split(cohort, split).persist()
     got = plan.certify(both, target)
     assert got.report["reason"] == "insufficient-clusters" and sum(got.report["partition"].values()) == target.count()
     assert "status: declined" in plan.render(got.report) and sinks.report_json(got.report)
@@ -171,7 +176,7 @@ def test_certify_declines_and_refuses(spark):
     with pytest.raises(ValueError, match="nonfinite"):
         plan.certify(both.withColumn("x", F.transform("x", lambda v: F.lit(float("nan")))), target)
     with pytest.raises(ValueError, match="two-shifts"):
-        experiments.draw_cohort(spark, 2, 1, label_base_rate=0.2, concept_intercept=1.0)
+        populations.draw_cohort(spark, 2, 1, label_base_rate=0.2, concept_intercept=1.0)
 
 
 def test_streaming_scores(spark, tmp_path):
@@ -205,4 +210,18 @@ def test_preflight(spark, tmp_path):
     row = {r["name"]: r for r in got.missing.collect()}["aps_heartrate"]
     # stays 1 to 3 and five of those that died lack the cell; four of the other 31 died
     assert (row["n_absent"], row["n_present"]) == (8, 31) and row["prev_absent"] == 5 / 8 and row["prev_present"] == 4 / 31
+    known = {r["name"]: (r["n"], r["expected"]) for r in got.identities.collect()}
+    assert known["sites"] == (5, 208) and known["patients"] == (40, 139367) and known["unit-stays"] == (40, 200859)
+    heart = {r["name"]: r for r in got.cells.where("table = 'apacheApsVar'").collect()}["heartrate"]
+    gone = sum(not row[2 + C.APS_NUMERIC.index("heartrate")] for row in p.aps)
+    assert (heart["n"], heart["n_empty"], heart["n_value"], heart["p50"], heart["n_unparseable"]) == (39, gone, 39 - gone, 5.0, 0)
+    assert got.cells.count() == len(C.APS_NUMERIC) + len(C.APV_NUMERIC) and got.tokens.count() == 0
+    spread = {r["name"]: r for r in got.dispersion.where("table = 'apacheApsVar'").collect()}["heartrate"]
+    assert spread["sites"] == 5 and spread["mean_minus_one"] == 0.0 and spread["sd_missing"] > 0
+    windows = {(r["name"], r["window"]): r["n"] for r in got.windows.collect()}
+    assert windows["temperature", "celsius"] == 39 and windows["fio2", "fraction"] == 39 and windows["fio2", "percent"] == 0
+    assert {(r["table"], r["rows"]): r["keys"] for r in got.rows_per_stay.collect()}["apacheApsVar", "1"] == 39
+    assert {r["name"]: r["n"] for r in got.ordinals.groupBy("name").agg(F.sum("n").alias("n")).collect()} == {"eyes": 39, "motor": 39, "verbal": 39}
+    assert {r["name"]: (r["n"], r["n_hours"], r["median_hours"]) for r in got.stay_hours.collect()}["aps-present"] == (39, 0, None)
+    assert not got.projection["sites_ok"] and any(a.startswith("too-few-sites") for a in got.aborts)
     assert [r["name"] for r in got.worst.collect()] == ["aps_heartrate"] and any("aps_heartrate" in w for w in got.warnings)

@@ -77,9 +77,14 @@ def number(value: Column | float) -> Column:
 def atoms(counts: DataFrame, alpha: float | Column, *, cap: int = C.M_INFLUENCE, rho: float | Column = 1.0, by: list[str] = ()) -> DataFrame:
     """(by..., site_id, tau_idx, tau, z): influence atoms in [0, 1]; a site that answers nothing has exactly alpha.
 
-    Positive records weigh rho, negative ones 1, both over max(1, rho). alpha and rho may be columns of counts.
+    Positive records weigh rho, negative ones 1, both over max(1, rho). alpha and rho may be columns of counts. A rho that
+    is NULL, negative or not finite raises: at once where it is a number, in the job where it is a column.
     """
+    if not isinstance(rho, Column) and not 0.0 <= rho < float("inf"):
+        raise ValueError(f"a weight of {rho} (reason=bad-weight)")
     a, r = number(alpha), number(rho)
+    if isinstance(rho, Column):
+        r = F.when((rho >= 0) & (rho < float("inf")), rho).otherwise(F.raise_error(F.lit("a weight is not finite (reason=bad-weight)")).cast("double"))
     top = F.greatest(F.lit(1.0), r)
     wrong = (F.col("err_pos") * r + F.col("err_neg")) / top
     answered = (F.col("ans_pos") * r + F.col("ans_neg")) / top

@@ -70,6 +70,13 @@ def certify(cohort: DataFrame, target: DataFrame, *, alphas: tuple[float, ...] =
     fitted = cohort.where("split in ('train', 'aux')").select(form(F.col("site_label")).alias("s")).distinct()
     if not target.select(form(F.col("site_label")).alias("s")).distinct().join(fitted, "s", "left_semi").isEmpty():
         raise ValueError("a target site was fitted on (reason=target-in-fit)")
+    if oracle is not None:
+        if oracle not in target.columns or target.schema[oracle].dataType.simpleString() != "boolean":
+            raise ValueError(f"{oracle!r} is no boolean column of the target (reason=bad-oracle)")
+        if not target.where(F.col(oracle).isNull()).isEmpty():
+            raise ValueError(f"{oracle!r} is not known for every target record (reason=bad-oracle)")
+    if "record_id" in cohort.columns and "record_id" in target.columns and not target.join(cohort.select("record_id"), "record_id", "left_semi").isEmpty():
+        raise ValueError("a target record is in the cohort (reason=record-overlap)")
     if check_cohort(cohort) != check_cohort(target.select("x")) and not target.isEmpty():
         raise ValueError("target and cohort differ in features (reason=width-mismatch)")
     classes = cohort.where("split = 'train'").agg(F.count_if("y"), F.count_if(~F.col("y"))).first()
@@ -123,6 +130,8 @@ def certify(cohort: DataFrame, target: DataFrame, *, alphas: tuple[float, ...] =
     report = {**base, "status": "certified" if certified else "declined", "reason": None if certified else "failsafe", "certified": certified, "operative_alpha": operative,
               "feasibility": {a: sites.feasibility(counts["aux"], a, carrying).first().asDict() for a in alphas}, "shift": fit.diagnostics, "shift_reason": fit.reason or None,
               "capped": sites.capped_share(counts["cal"].select("site_id", "n").distinct()).first().asDict()}
+    # why a rung that is not certified is not, mode by mode
+    report["reasons"] = {a: "|".join(f"{m}:{results[a, m]['reason']}" for m in modes) for a in alphas if a not in certified}
     tau = certified[operative]["tau"] if certified else None
     report["partition"] = betting.decline_partition(pool, tau).first().asDict()
     if certified:
@@ -142,9 +151,37 @@ def certify(cohort: DataFrame, target: DataFrame, *, alphas: tuple[float, ...] =
 
 
 def render(report: dict) -> str:
-    """A report as a few lines of text."""
-    lines = [f"status: {report['status']}" + (f" ({report['reason']})" if report.get("reason") else "")]
-    for alpha, rung in sorted(report["certified"].items()):
-        lines.append(f"risk at most {alpha}: threshold {rung['tau']:.2f} by {rung['mode']}")
-    lines += [f"{k}: {v}" for k, v in report["partition"].items()]
+    """A report as text: the gate that stopped it, each rung, the estimate, coverage, and where the records went."""
+    number = lambda v, digits: "-" if v is None or v != v else f"{v:.{digits}f}"
+    lines = [f"status: {report['status']}"]
+    if report.get("reason"):
+        lines.append(f"  [gate] {report['reason']} ({report['n_cal_sites']} calibration sites with records)")
+    reasons = report.get("reasons", {})
+    for alpha in sorted({*report["certified"], *reasons}):
+        if alpha in report["certified"]:
+            rung = report["certified"][alpha]
+            lines.append(f"  [certified] risk at most {alpha:.2f}: threshold {rung['tau']:.3f} by {rung['mode']} (modes {', '.join(rung['covering'])})")
+        else:
+            lines.append(f"  [declined] risk at most {alpha:.2f}: {reasons[alpha]}")
+    if report.get("estimated"):
+        e = report["estimated"]
+        lines.append(f"  [estimated] answered-set risk {number(e['risk'], 4)} (95 % over resampled sites {number(e['ci'][0], 4)} to {number(e['ci'][1], 4)}, {e['n_boot']} draws)")
+    told = report.get("diagnostic") or {}
+    if told.get("cal_coverage") is not None:
+        lines.append(f"  [diagnostic] calibration coverage {number(told['cal_coverage'], 2)}, risk {number(told['cal_risk'], 4)}, {report['n_cal_sites']} calibration sites")
+    lines.append("  [partition] " + ", ".join(f"{k} {v}" for k, v in report["partition"].items()))
     return "\n".join(lines)
+
+
+def stripped(certificate: Certificate, names: list[str], phi: str = "phi", top: int = 12) -> dict:
+    """What of a certificate may leave: the report, how many records are answered, and the features behind abstention by name.
+
+    Records become counts; of the abstention profile the first `top` features and their gaps stay.
+    """
+    report, pool = dict(certificate.report), certificate.answered
+    if pool is not None and certificate.head is not None:
+        report["n_answered"] = pool.where("answered").count()
+        profile = explain.abstention_profile(pool.withColumn(phi, certificate.head.attribution(F.col("x"))), phi, F.col("answered"))
+        first = profile.where(F.col("place") <= top).orderBy("place").collect()
+        report["abstention"] = [{"feature": names[r["feature"]], "gap": round(r["gap"], 6)} for r in first]
+    return report

@@ -6,6 +6,7 @@ a fixed order.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -166,7 +167,19 @@ def build(spark: SparkSession, folder: str, *, arm: str = "primary", strict_leve
     outcome: dict[str, dict] = {}
     for flag in ("aps_present", "apv_present"):
         outcome[flag] = profile.prevalence_contrast(wide, F.col(flag) == 1.0, F.col("y")).first().asDict()
-    warnings = _gate(n, counts, outcome, arm)
+    def tokens(of: list[str]) -> dict[str, list[str]]:
+        """The most frequent cells of these columns that are no numbers."""
+        raw = cohort.select("stay", *[F.struct(F.lit(c).alias("name"), F.col("hospitaladmitoffset" if c == "pre_icu_hours" else c).alias("cell")).alias(f"_{c}") for c in C.PATIENT_NUMERIC])
+        long = raw.select(F.explode(F.array(*[f"_{c}" for c in C.PATIENT_NUMERIC])).alias("c")).select("c.*")
+        for table, columns, prefix in (("apacheApsVar", C.APS_NUMERIC, "aps_"), ("apachePredVar", C.APV_NUMERIC, "apv_")):
+            pairs = F.array(*[F.struct(F.lit(f"{prefix}{c}").alias("name"), F.col(c).alias("cell")) for c in columns])
+            long = long.unionByName(tables[table].select(F.explode(pairs).alias("c")).select("c.*"))
+        found: dict[str, list[str]] = {}
+        for r in profile.unknown_tokens(long.where(F.col("name").isin(of)), ["name"]).orderBy("name", "place").collect():  # four a column at most
+            found.setdefault(r["name"], []).append(r["token"])
+        return found
+
+    warnings = _gate(n, counts, outcome, arm, tokens)
 
     features = wide.select("*", *[F.col(c).isNull().cast("double").alias(f"{c}__missing") for c in names])
     final = feature_names()
@@ -199,14 +212,14 @@ def release_check(extract: Extract) -> DataFrame:
     return profile.identities(first.select(F.explode(pairs).alias("p")).select("p.*"), {"unit-stays": C.REFERENCE_UNIT_STAYS, "sites": C.REFERENCE_SITES})
 
 
-def _gate(n: int, counts: dict, outcome: dict, arm: str) -> list[str]:
+def _gate(n: int, counts: dict, outcome: dict, arm: str, tokens: Callable[[list[str]], dict]) -> list[str]:
     """Warnings; raises in the order negatives, tokens, coverage, outcome."""
     apache = {k: v for k, v in counts.items() if k.startswith(("aps_", "apv_"))}
     negative = {k: v.get("other_negative", 0) for k, v in apache.items() if v.get("other_negative", 0)}
     if over := {k: v for k, v in negative.items() if v / n > C.MAX_NEGATIVE_SHARE}:
         raise ExtractError(f"negative cells other than -1: {over}", "unexpected-negative-sentinel")
     if over := {k: v["unparseable"] for k, v in counts.items() if v.get("unparseable", 0) / n > C.MAX_UNPARSEABLE_SHARE}:
-        raise ExtractError(f"cells that are no numbers: {over}", "unrecognised-null-token")
+        raise ExtractError(f"cells that are no numbers: {over}, such as {tokens(sorted(over))}", "unrecognised-null-token")
     if arm == "primary" and n >= C.MIN_OUTCOME_STRATUM:
         if starved := {k: v["n_present"] for k, v in outcome.items() if v["n_present"] < C.MIN_OUTCOME_STRATUM}:
             raise ExtractError(f"hardly any stay is linked: {starved}", "apache-coverage-collapse")

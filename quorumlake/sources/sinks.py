@@ -9,7 +9,7 @@ import math
 import platform
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -21,6 +21,10 @@ FORBIDDEN_KEYS = (
 )
 
 
+#: What marks a section of a summary that an earlier run wrote.
+PRESERVED = " (preserved from an earlier run)"
+
+
 class ComplianceError(ValueError):
     """An output that would give records away."""
 
@@ -100,9 +104,10 @@ def write_csv(df: DataFrame, to: str, fields: list[str], *, gate: bool = True) -
     if gate:
         assert_aggregate_only(out, to)
     text = [f.name for f in out.schema.fields if isinstance(f.dataType, T.StringType)]
-    for c in text:
-        if not out.where(F.col(c).rlike(r"[^\x00-\x7F]")).isEmpty():
-            raise ComplianceError(f"{to}: {c} is not ASCII (reason=record-level-output)")
+    if text:
+        odd = out.agg(*[F.count_if(F.col(c).rlike(r"[^\x00-\x7F]")).alias(c) for c in text]).first()  # one job for all of them
+        if bad := [c for c in text if odd[c]]:
+            raise ComplianceError(f"{to}: {bad} are not ASCII (reason=record-level-output)")
     out.coalesce(1).write.mode("overwrite").csv(to, header=True, emptyValue="", nullValue="")
 
 
@@ -128,6 +133,47 @@ def report_json(report: dict) -> str:
     return json.dumps(json_ready(report), allow_nan=False, sort_keys=True, indent=1)
 
 
+def read_summary(spark: SparkSession, path: str) -> dict[str, str]:
+    """The blocks of a summary that write_summary wrote, by section; none where there is no summary yet."""
+    from pyspark.errors import AnalysisException
+
+    try:
+        rows = spark.read.text(path, wholetext=True).collect()  # one small text
+    except AnalysisException:
+        return {}
+    out, name = {}, None
+    for line in "".join(r[0] for r in rows).split("\n"):
+        if line.startswith("## "):
+            name = line[3:].removesuffix(PRESERVED)
+            out[name] = []
+        elif name is not None:
+            out[name].append(line)
+    return {k: "\n".join(v).strip("\n") for k, v in out.items()}
+
+
+def write_summary(spark: SparkSession, path: str, title: str, sections: tuple[str, ...], blocks: dict[str, dict], stamp: dict) -> str:
+    """A Markdown summary of aggregate blocks in the order of sections, written as one text; returns it.
+
+    Each new block carries the run's stamp. Blocks of an earlier summary that this run does not bring stay and are marked
+    as such, so no heading of this run stands above what it did not work out. Blocks with names that are no section
+    raise ValueError, blocks that would give records away ComplianceError.
+    """
+    if strange := sorted(set(blocks) - set(sections)):
+        raise ValueError(f"{strange} are no sections (reason=unknown-section)")
+    held = read_summary(spark, path)
+    lines = [f"# {title}", "", "Stamps of the blocks are authoritative; preserved sections are marked.", ""]
+    for name in sections:
+        if name in blocks:
+            body = {"_run": stamp, **blocks[name]}
+            assert_report_only(body, name)
+            lines += [f"## {name}", "```json", json.dumps(json_ready(body), allow_nan=False, indent=1), "```", ""]
+        elif name in held:
+            lines += [f"## {name}{PRESERVED}", held[name], ""]
+    text = "\n".join(lines)
+    spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(path)
+    return text
+
+
 def content_digest(df: DataFrame) -> str:
     """A digest of a table's schema, row count and rows, whatever their order and partitions."""
     row = F.xxhash64(*[F.col(f"`{c}`") for c in df.columns])

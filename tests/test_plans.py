@@ -146,6 +146,11 @@ def test_certify_is_honest(spark):
     pool = plan.score(target, got.head).withColumn("site_id", F.col("site_label"))
     risk = sites.pool_risk(sites.threshold_counts(pool)).where(F.col("tau_idx") == rung["tau_idx"]).first()
     assert risk["risk"] <= 0.10 and risk["coverage"] > 0.8
+    told = plan.render(got.report)
+    assert "[certified] risk at most 0.10: threshold" in told and "[estimated]" in told and "[partition] answered" in told
+    own = plan.stripped(got, [f"f{j}" for j in range(8)], top=3)
+    assert own["n_answered"] == got.report["partition"]["answered"] and [a["feature"][0] for a in own["abstention"]] == ["f"] * 3 and sinks.report_json(own)
+    assert all(":" in r for r in got.report["reasons"].values()) and not set(got.report["reasons"]) & set(got.report["certified"])
     assert got.report["estimated"]["ci"][0] <= got.report["estimated"]["risk"] <= got.report["estimated"]["ci"][1]
 
 
@@ -167,7 +172,14 @@ def test_certify_declines_and_refuses(spark):
     both = splits.with_split(cohort, split).persist()
     got = plan.certify(both, target)
     assert got.report["reason"] == "insufficient-clusters" and sum(got.report["partition"].values()) == target.count()
-    assert "status: declined" in plan.render(got.report) and sinks.report_json(got.report)
+    assert "status: declined" in plan.render(got.report) and "[gate] insufficient-clusters" in plan.render(got.report) and sinks.report_json(got.report)
+    assert "n_answered" not in plan.stripped(got, ["f"] * 8)
+    with pytest.raises(ValueError, match="bad-oracle"):
+        plan.certify(both, target, oracle="nothing")
+    with pytest.raises(ValueError, match="bad-oracle"):
+        plan.certify(both, target.withColumn("y", F.lit(None).cast("boolean")), oracle="y")
+    with pytest.raises(ValueError, match="record-overlap"):
+        plan.certify(both.withColumn("record_id", F.lit(1)), target.withColumn("record_id", F.lit(1)))
     for kw, text in (({"alphas": (0.2,)}, "bad-alpha"), ({"modes": ("x",)}, "bad-mode")):
         with pytest.raises(ValueError, match=text):
             plan.certify(both, target, **kw)
@@ -225,3 +237,28 @@ def test_preflight(spark, tmp_path):
     assert {r["name"]: (r["n"], r["n_hours"], r["median_hours"]) for r in got.stay_hours.collect()}["aps-present"] == (39, 0, None)
     assert not got.projection["sites_ok"] and any(a.startswith("too-few-sites") for a in got.aborts)
     assert [r["name"] for r in got.worst.collect()] == ["aps_heartrate"] and any("aps_heartrate" in w for w in got.warnings)
+
+
+def test_summaries_keep_and_mark_earlier_blocks(spark, tmp_path):
+    to, names = f"file://{tmp_path}/summary", ("one", "two", "three")
+    sinks.write_summary(spark, to, "Run", names, {"one": {"v": 1}, "two": {"v": float("nan")}}, {"mode": "full"})
+    text = sinks.write_summary(spark, to, "Run", names, {"one": {"v": 2}, "three": {"v": 3}}, {"mode": "quick"})
+    held = sinks.read_summary(spark, to)
+    assert list(held) == ["one", "two", "three"] and f"## two{sinks.PRESERVED}" in text and f"## one{sinks.PRESERVED}" not in text
+    read = {k: json.loads(v.removeprefix("```json").removesuffix("```")) for k, v in held.items()}
+    assert read == {"one": {"_run": {"mode": "quick"}, "v": 2}, "two": {"_run": {"mode": "full"}, "v": None}, "three": {"_run": {"mode": "quick"}, "v": 3}}
+    again = sinks.write_summary(spark, to, "Run", names, {}, {"mode": "late"})
+    assert again.count(sinks.PRESERVED) == 3 and sinks.read_summary(spark, f"{to}-none") == {}
+    with pytest.raises(sinks.ComplianceError):
+        sinks.write_summary(spark, to, "Run", names, {"one": {"patient_id": 1}}, {})
+    with pytest.raises(ValueError, match="unknown-section"):
+        sinks.write_summary(spark, to, "Run", names, {"four": {}}, {})
+
+
+def test_weights_must_be_finite(spark):
+    counts = spark.createDataFrame([(0, 10, 0, 0.6, 5, 5, 1, 1, float("inf"))], "site_id int, n long, tau_idx int, tau double, ans_pos long, ans_neg long, err_pos long, err_neg long, rho double")
+    for bad in (-1.0, float("nan"), float("inf")):
+        with pytest.raises(ValueError, match="bad-weight"):
+            sites.atoms(counts, 0.1, rho=bad)
+    with pytest.raises(Exception, match="bad-weight"):
+        sites.atoms(counts, 0.1, rho=F.col("rho")).collect()

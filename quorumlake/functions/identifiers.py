@@ -48,18 +48,20 @@ class SiteCollision(ValueError):
 def dense_sites(records: DataFrame, raw_col: str) -> DataFrame:
     """records with site_label and site_id, dense from 0 in the byte order of labels.
 
-    Raises SiteCollision where two labels share their collision form, or a label is missing. Only the distinct labels,
-    one row for each site, are compared and ranked.
+    Raises SiteCollision where two labels share their collision form, or a label is missing. Only the distinct raw values,
+    few for each site, are brought to their canonical form, compared and ranked.
     """
-    marked = records.withColumn("site_label", canonical_site(F.col(raw_col)))
-    labels = marked.select("site_label").distinct()
+    raw = records.select(F.col(raw_col).alias("_raw")).distinct().withColumn("site_label", canonical_site(F.col("_raw")))
+    labels = raw.select("site_label").distinct()
     if not labels.where("site_label is null or site_label = ''").isEmpty():
         raise SiteCollision("a site identifier is missing (reason=missing-site)")
     twice = labels.groupBy(collision_form(F.col("site_label")).alias("form")).agg(F.count("*").alias("n"), F.sort_array(F.collect_list("site_label")).alias("labels")).where("n > 1").orderBy("form").limit(4).collect()
     if twice:
         raise SiteCollision(f"site identifiers mean the same: {[r['labels'] for r in twice]} (reason=site-collision)")
     ids = labels.withColumn("site_id", (F.row_number().over(W.orderBy("site_label")) - 1).cast("int"))
-    return marked.join(ids, "site_label")
+    own = records.withColumn("_own", F.col(raw_col)).drop("site_label")
+    named = raw.join(ids, "site_label")
+    return own.join(named, F.col("_own").eqNullSafe(F.col("_raw"))).drop("_own", "_raw")
 
 
 class LabelError(ValueError):

@@ -163,6 +163,29 @@ def stepwise_walk(spark: SparkSession, d: str) -> DataFrame:
 
 
 
+
+_UNIT_GOAL = repr(math.log(1 / C.DELTA))
+_UNIT_RANK = "(record_id * 7919 + 13) % 1000003 * 100000000 + record_id"
+
+
+@query(f"""{COHORT}, u AS (SELECT split, tau_idx, tau, ({_UNIT_RANK}, logit, err) AS rank, CASE WHEN score >= tau THEN err::INT::DOUBLE ELSE 0.1::DOUBLE END AS z FROM cohort CROSS JOIN taus),
+o AS (SELECT tau_idx, tau, row_number() OVER (ORDER BY round(avg(z), 12), tau_idx) AS step FROM u WHERE split = 'aux' GROUP BY tau_idx, tau),
+a AS (SELECT *, row_number() OVER w AS t, sum(z) OVER w AS s, count(*) OVER (PARTITION BY tau_idx)::DOUBLE AS n FROM u WHERE split = 'cal' WINDOW w AS (PARTITION BY tau_idx ORDER BY rank)),
+b AS (SELECT *, (z - (0.5 + s) / (t + 1)) * (z - (0.5 + s) / (t + 1)) AS q FROM a),
+c AS (SELECT *, (0.25 + coalesce(sum(q) OVER (PARTITION BY tau_idx ORDER BY rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / t AS s2 FROM b),
+e AS (SELECT tau_idx, sum(ln(greatest(1 + least(sqrt(2 * {_UNIT_GOAL} / (greatest(s2, 1e-8) * n)), 0.9 / 0.9::DOUBLE) * (0.1::DOUBLE - z), 1e-300))) OVER (PARTITION BY tau_idx ORDER BY rank) AS l, n FROM c),
+t AS (SELECT tau_idx, any_value(n)::INT AS n_units, greatest(0, max(l)) AS top FROM e GROUP BY 1),
+k AS (SELECT o.step, o.tau_idx, o.tau, n_units, top, top >= {_UNIT_GOAL} AS rejected, min((top >= {_UNIT_GOAL})::INT) OVER (ORDER BY o.step) = 1 AS in_prefix FROM o JOIN t USING (tau_idx))
+SELECT step::INT AS step, tau_idx, n_units, round(top, 6) AS top_log_wealth, rejected, in_prefix, coalesce(in_prefix AND tau = min(CASE WHEN in_prefix THEN tau END) OVER (), false) AS deployed FROM k""")
+def record_unit_walk(spark: SparkSession, d: str) -> DataFrame:
+    # ids repeat in places: what still ties has the same atoms
+    records = cohort(spark, d).withColumn("rank", F.struct(F.expr(_UNIT_RANK).alias("number"), "logit", "err"))
+    order = sites.walk_order(sites.unit_atoms(records.where("split = 'aux'"), 0.1))
+    tests = betting.long_bets(sites.unit_atoms(records.where("split = 'cal'"), 0.1, keep=["rank"]), 0.1, C.DELTA)
+    got = betting.walk(order, tests).join(tests.select("tau_idx", F.col("n_sites").alias("n_units"), "top_log_wealth"), "tau_idx")
+    return got.select("step", "tau_idx", "n_units", F.round("top_log_wealth", 6).alias("top_log_wealth"), "rejected", "in_prefix", "deployed")
+
+
 @query(f"{_SHIFT_SQL} SELECT pool, round(rho_lo, 6) AS rho_lo, round(rho_hi, 6) AS rho_hi FROM (SELECT pool, least({_CORNERS}) AS rho_lo, greatest({_CORNERS}) AS rho_hi FROM a1)")
 def rho_corners(spark: SparkSession, d: str) -> DataFrame:
     ends = intervals.odds_ratio_ends(*[(F.col(f"{k}_lo"), F.col(f"{k}_hi")) for k in ("q", "c0", "c1", "pi_s")])
@@ -341,6 +364,21 @@ def replicated_leaks(spark: SparkSession, d: str) -> DataFrame:
     return rounded(got, 7, "auc", "auc_ablated", "ablation_drop")
 
 
+@query(f"""{_WALKS}, rv AS (SELECT rg.replicate, rg.alpha, y, CASE WHEN l_linenumber <> 3 THEN 1 / (1 + exp(-(l_extendedprice - 46000.0::DOUBLE) / 9000.0::DOUBLE)) END AS rival, w0 + w1 * (l_extendedprice - mu1) / sd1 + w2 * (l_quantity - mu2) / sd2 AS logit, rg.tau
+  FROM (SELECT *, (l_orderkey % {SITES})::INT AS site_id, l_extendedprice * (1 - l_discount) > 45000 AS y FROM lineitem) JOIN sp USING (site_id) JOIN hd USING (replicate) JOIN rg USING (replicate) WHERE split = 'target' AND rg.tau IS NOT NULL),
+an AS MATERIALIZED (SELECT *, (logit >= 0) <> y AS err FROM rv WHERE greatest(1 / (1 + exp(-logit)), 1 / (1 + exp(logit))) >= tau),
+rk AS (SELECT replicate, alpha, y, rank() OVER (PARTITION BY replicate, alpha ORDER BY rival) + (count(*) OVER (PARTITION BY replicate, alpha, rival) - 1) / 2.0 AS r FROM an WHERE rival IS NOT NULL),
+au AS (SELECT replicate, alpha, (sum(r) FILTER (y) - count(*) FILTER (y) * (count(*) FILTER (y) + 1) / 2.0) / nullif(count(*) FILTER (y)::DOUBLE * count(*) FILTER (NOT y), 0) AS auc FROM rk GROUP BY ALL)
+SELECT replicate, alpha, count(*) AS n, count(rival) AS n_available, round(count(rival) / count(*)::DOUBLE, 9) AS available_share, round(avg((rival - y::INT) * (rival - y::INT)), 9) AS brier,
+  round(avg(err::INT::DOUBLE) FILTER (rival IS NOT NULL), 9) AS subset_error, round(any_value(auc), 9) AS auc FROM an JOIN au USING (replicate, alpha) GROUP BY ALL""")
+def replicated_comparators(spark: SparkSession, d: str) -> DataFrame:
+    _, splits, got = _replicated(spark, d)
+    rival = F.when(F.col("l_linenumber") != 3, 1 / (1 + F.exp(-(F.col("l_extendedprice") - 46000.0) / 9000.0)))
+    li = table(spark, d, "lineitem")
+    records = li.select((F.col("l_orderkey") % SITES).cast("int").alias("site_id"), (F.col("l_extendedprice") * (1 - F.col("l_discount")) > 45000).alias("y"), F.array("l_extendedprice", "l_quantity").alias("x"), rival.alias("comparator"))
+    return rounded(replicated.comparators(records, splits, got), 9, "available_share", "brier", "subset_error", "auc")
+
+
 _CRITERIA_SQL = f"""{_WALKS}, {_LEAKS}, po AS (SELECT * FROM oc WHERE pool = 'pooled'),
 op AS (SELECT replicate, arg_min(coverage, alpha) AS coverage, arg_min(risk_exceeds, alpha) AS over FROM po WHERE certified GROUP BY 1),
 st AS (SELECT replicate, coverage, risk FROM po WHERE certified AND alpha = 0.05),

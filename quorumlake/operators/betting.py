@@ -12,6 +12,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from quorumlake import constants as C
+from quorumlake.sources.staging import cut
+
+from .order_statistics import beside, in_ranges, with_running
 
 
 def wealth(sequence: Column, alpha: float | Column, delta: float) -> Column:
@@ -50,6 +53,26 @@ def bets(atoms: DataFrame, ranks: DataFrame, alpha: float | Column, delta: float
     return got.select(*by, "tau_idx", "tau", F.size("seq").alias("n_sites"), wealth(F.col("seq"), alpha, delta).alias("top_log_wealth")).withColumn("rejected", F.col("top_log_wealth") >= goal)
 
 
+def long_bets(atoms: DataFrame, alpha: float | Column, delta: float, by: list[str] = ()) -> DataFrame:
+    """What bets gives, for sequences too long for one task: (by..., tau_idx, tau, n_sites, top_log_wealth, rejected).
+
+    atoms: (by..., tau_idx, tau, rank, z), ranks without ties within a test. The bettor's running mean and variance and
+    the log wealth are sums over what came before, so the recurrence is three running sums over ranges of the sequence.
+    """
+    a = F.lit(alpha) if isinstance(alpha, float) else alpha
+    goal, keys = math.log(1.0 / delta), [*by, "tau_idx", "tau"]
+    rows = in_ranges(atoms.select(*keys, "rank", "z"), "rank", keys)
+    sizes = rows.groupBy(*keys).agg(F.count("*").alias("n"))
+    rows = beside(with_running(with_running(rows, "t", F.lit(1), "rank", keys), "sum", F.col("z"), "rank", keys), sizes, keys)
+    off = F.col("z") - (F.lit(C.WSR_MU0) + F.col("sum")) / (F.col("t") + 1)
+    rows = cut(with_running(rows.withColumn("square", off * off), "squares", F.col("square"), "rank", keys))
+    variance = (F.lit(C.WSR_S2_0) + F.col("squares") - F.col("square")) / F.col("t")  # of what came before
+    stake = F.least(F.sqrt(2.0 * goal / (F.greatest(variance, F.lit(C.WSR_VAR_FLOOR)) * F.col("n"))), C.WSR_LAMBDA_CAP / (1.0 - a))
+    won = with_running(rows.withColumn("step", F.ln(F.greatest(1.0 + stake * (a - F.col("z")), F.lit(1e-300)))), "log", F.col("step"), "rank", keys)
+    got = won.groupBy(*keys).agg(F.count("*").cast("int").alias("n_sites"), F.greatest(F.lit(0.0), F.max("log")).alias("top_log_wealth"))
+    return got.withColumn("rejected", F.col("top_log_wealth") >= goal)
+
+
 def walk(order: DataFrame, tests: DataFrame, by: list[str] = ()) -> DataFrame:
     """(by..., step, tau_idx, tau, rejected, in_prefix, deployed): thresholds in order up to the first that fails.
 

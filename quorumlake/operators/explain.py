@@ -115,11 +115,15 @@ def confusion(records: DataFrame, y: str = "y", pred: str = "pred", by: list[str
     return got.select("*", *[F.try_divide(a, b).alias(k) for k, (a, b) in ratio.items()])
 
 
-def comparator(records: DataFrame, p: str, y: str = "y", by: list[str] = ()) -> DataFrame:
-    """(by..., n, n_available, available_share, brier, auc) of a rival's probability where it has one."""
+def comparator(records: DataFrame, p: str, y: str = "y", by: list[str] = (), err: str | None = None) -> DataFrame:
+    """(by..., n, n_available, available_share, brier, auc) of a rival's probability where it has one.
+
+    With err, whether one's own answer is wrong, also subset_error: its share among the records that have a rival.
+    """
     has = F.col(p).isNotNull()
     yes = F.col(y).cast("double")
-    base = records.groupBy(*by).agg(F.count("*").alias("n"), F.count_if(has).alias("n_available"), F.avg(F.when(has, (F.col(p) - yes) * (F.col(p) - yes))).alias("brier"))
+    own = [F.avg(F.when(has, F.col(err).cast("double"))).alias("subset_error")] if err else []
+    base = records.groupBy(*by).agg(F.count("*").alias("n"), F.count_if(has).alias("n_available"), F.avg(F.when(has, (F.col(p) - yes) * (F.col(p) - yes))).alias("brier"), *own)
     base = base.withColumn("available_share", F.try_divide(F.col("n_available").cast("double"), F.col("n")))
     auc = rank_auc(records, p, y, by).select(*by, "auc")
     if by:
@@ -143,8 +147,17 @@ def browse(records: DataFrame, *, answered: Column | None = None, contains: str
     return out if score is None else out.where((F.col("score") >= F.lit(score[0])) & (F.col("score") < F.lit(score[1])))
 
 
-def leading_features(records: DataFrame, id_col: str, phi: str, top: int = 12) -> DataFrame:
-    """(id, feature, phi, n_shown, n_total): each record's features of largest share of the logit, ties by place."""
+def leading_features(records: DataFrame, id_col: str, phi: str, top: int = 12, *, names: list[str] | None = None, search: str = "", modified: tuple[int, ...] = ()) -> DataFrame:
+    """(id, feature, phi, n_shown, n_total): each record's features of largest share of the logit, ties by place, and those modified.
+
+    search: only features whose name holds this text, in any case; n_total counts them. modified: places of features that
+    are shown in any case if they match.
+    """
     pairs = F.transform(F.col(phi), lambda v, j: F.struct((-F.abs(v)).alias("size"), j.alias("feature"), v.alias("phi")))
-    best = F.slice(F.array_sort(pairs), 1, top)
-    return records.select(id_col, F.least(F.size(phi), F.lit(top)).alias("n_shown"), F.size(phi).alias("n_total"), F.explode(best).alias("b")).select(id_col, "b.feature", "b.phi", "n_shown", "n_total")
+    if search:
+        fit = [j for j, n in enumerate(names or []) if search.lower() in n.lower()]
+        pairs = F.filter(pairs, lambda p: p["feature"].isin(fit))
+    ranked = F.array_sort(pairs)
+    best = F.concat(F.slice(ranked, 1, top), F.filter(F.slice(ranked, top + 1, 1 << 30), lambda p: p["feature"].isin(list(modified)))) if modified else F.slice(ranked, 1, top)
+    rows = records.select(id_col, F.size(pairs).alias("n_total"), best.alias("best"))
+    return rows.select(id_col, F.size("best").alias("n_shown"), "n_total", F.explode("best").alias("b")).select(id_col, "b.feature", "b.phi", "n_shown", "n_total")

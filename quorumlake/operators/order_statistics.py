@@ -40,6 +40,25 @@ def with_rows_before(counts: DataFrame, value: str, n: str = "n", by: list[str]
     return beside(own, offsets, [*by, "_range"]).withColumn("before", F.col("_own") + F.col("_offset")).drop("_range", "_own", "_offset")
 
 
+
+def in_ranges(rows: DataFrame, order: str, by: list[str] = ()) -> DataFrame:
+    """rows dealt out in ranges over (by, order), with the range of each in `_range`, for with_running; order has no ties within a group."""
+    ranges = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return cut(rows.repartitionByRange(ranges, *by, order).withColumn("_range", F.spark_partition_id()))
+
+
+def with_running(dealt: DataFrame, name: str, value: Column, order: str, by: list[str] = ()) -> DataFrame:
+    """dealt, from in_ranges, with `name`: the sum of value over the group's rows up to each row, itself included.
+
+    Sums of whole ranges come first; each range then adds up by itself from its offset.
+    """
+    keys = [*by, "_range"]
+    held = dealt.groupBy(*keys).agg(F.sum(value).alias("_held"))
+    offsets = held.withColumn("_offset", F.coalesce(F.sum("_held").over(W.partitionBy(*by).orderBy("_range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("_held")
+    own = dealt.withColumn("_own", F.sum(value).over(W.partitionBy(*keys).orderBy(order).rowsBetween(W.unboundedPreceding, W.currentRow)))
+    return beside(own, offsets, keys).withColumn(name, F.col("_own") + F.col("_offset")).drop("_own", "_offset")
+
+
 def _coarse(v: Column) -> Column:
     """A whole number that does not fall as v grows: its sign and the power of two below it; NaN comes last."""
     size = F.floor(F.log2(F.abs(v))).cast("int") + 1200

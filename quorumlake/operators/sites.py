@@ -92,6 +92,13 @@ def atoms(counts: DataFrame, alpha: float | Column, *, cap: int = C.M_INFLUENCE,
     return counts.select(*by, "site_id", "tau_idx", "tau", z.alias("z"))
 
 
+def unit_atoms(records: DataFrame, alpha: float, taus: list[float] = C.TAU_GRID, keep: list[str] = ()) -> DataFrame:
+    """(keep..., tau_idx, tau, z): atoms of records that are sites of their own: alpha where it is not answered, else alpha more or less."""
+    grid = F.array(*[F.struct(F.lit(i).alias("tau_idx"), F.lit(t).alias("tau")) for i, t in enumerate(taus)])
+    z = F.when(F.col("score") >= F.col("g.tau"), F.col("err").cast("double") - F.lit(alpha) + F.lit(alpha)).otherwise(F.lit(alpha))
+    return records.withColumn("g", F.explode(grid)).select(*keep, "g.tau_idx", "g.tau", z.alias("z"))
+
+
 def walk_order(aux_atoms: DataFrame, by: list[str] = ()) -> DataFrame:
     """(by..., tau_idx, tau, mean_z, step): thresholds by ascending mean atom over all sites, ties by index, from 1."""
     means = aux_atoms.groupBy(*by, "tau_idx", "tau").agg(F.avg("z").alias("mean_z"))

@@ -91,6 +91,15 @@ def assert_disjoint(records: DataFrame, label: str = "site_label", split: str =
         raise ValueError(f"sites in more than one split: {[r['label'] for r in both]} (reason=site-overlap)")
 
 
+def assert_covering(records: DataFrame, split: DataFrame, label: str = "site_label") -> None:
+    """Raises ValueError unless the splits together hold every site of the records and no other."""
+    own, dealt = records.select(label).distinct(), split.select(label).distinct()
+    left = own.join(dealt, label, "left_anti").orderBy(label).limit(4).collect()
+    extra = dealt.join(own, label, "left_anti").orderBy(label).limit(4).collect()
+    if left or extra:
+        raise ValueError(f"sites without a split: {[r[0] for r in left]}, splits of other sites: {[r[0] for r in extra]} (reason=split-coverage)")
+
+
 def train_means(records: DataFrame, columns: list[str], split: str = "split", fallback: float = C.IMPUTE_FALLBACK) -> dict[str, float]:
     """The mean of each column over training records; the fallback where none has a value."""
     row = records.where(F.col(split) == "train").agg(F.count("*").alias("_n"), *[F.avg(c).alias(c) for c in columns]).first()

@@ -12,7 +12,7 @@ from quorumlake.functions import cells
 from quorumlake.operators import profile, relational, sites
 from quorumlake.plans import etl
 from quorumlake.sources import staging
-from quorumlake.sources.extract import ExtractError, typed_failures
+from quorumlake.sources.extract import ROW, ExtractError, typed_failures
 from quorumlake.sources.tables import read_table
 
 STRATA = ["numbedscategory", "teachingstatus", "region"]
@@ -46,12 +46,12 @@ def preflight(spark: SparkSession, folder: str, *, expect_reference: bool = True
     """Profiles the five tables. Raises ExtractError for tables that are cut short or not UTF-8, and, if the release is
     expected, where a table has another number of rows.
 
-    Cells are profiled over whole tables. Of several rows of a stay in a linked table that of the least surrogate id is
-    held against the outcome. A ratio counts as large
+    Cells are profiled over whole tables. Of several rows of a stay in a linked table the first of the file is held
+    against the outcome; of several rows of a hospital the last gives its strata. A ratio counts as large
     where both sides have at least `least` stays.
     """
     with typed_failures():  # each file is read once
-        tables = {t: staging.staged(read_table(spark, folder, t), t) for t in C.TABLES}
+        tables = {t: staging.staged(read_table(spark, folder, t, numbered=True), t) for t in C.TABLES}
     counts = {t: df.count() for t, df in tables.items()}  # a number for each of the five tables
     people = tables["patient"].agg(F.count_distinct(cells.maybe_int(F.col("hospitalid"))).alias("sites"), F.count_distinct(F.when(cells.stripped(F.col("uniquepid")) != "", cells.stripped(F.col("uniquepid")))).alias("patients")).first()
     counts |= {"sites": people["sites"], "patients": people["patients"], "unit-stays": counts["patient"]}
@@ -69,13 +69,13 @@ def preflight(spark: SparkSession, folder: str, *, expect_reference: bool = True
     linked = {}
     contrasts = []
     long = None
-    for table, surrogate, columns, prefix in (("apacheApsVar", "apacheapsvarid", C.APS_NUMERIC, "aps_"), ("apachePredVar", "apachepredvarid", C.APV_NUMERIC, "apv_")):
+    for table, columns, prefix in (("apacheApsVar", C.APS_NUMERIC, "aps_"), ("apachePredVar", C.APV_NUMERIC, "apv_")):
         parsed = [cells.sentinel_cell(F.col(c), *([c] if c in ("fio2", "temperature") else []))["value"].alias(f"{prefix}{c}") for c in columns]
-        rows = tables[table].select(cells.maybe_int(F.col(etl.KEY)).alias("stay"), cells.maybe_int(F.col(surrogate)).alias("surrogate"), *parsed).join(cohort.select("stay", "y"), "stay")
+        rows = tables[table].select(cells.maybe_int(F.col(etl.KEY)).alias("stay"), ROW, *parsed).join(cohort.select("stay", "y"), "stay")
         pairs = F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).alias("cell")) for c in columns])
         own = tables[table].select(F.lit(table).alias("table"), cells.maybe_int(F.col(etl.KEY)).alias("stay"), F.explode(pairs).alias("c")).select("table", "stay", "c.name", "c.cell")
         long = own if long is None else long.unionByName(own)
-        contrasts.append(profile.outcome_missing(rows, "stay", "surrogate", [f"{prefix}{c}" for c in columns], F.col("y")))
+        contrasts.append(profile.outcome_missing(rows, "stay", ROW, [f"{prefix}{c}" for c in columns], F.col("y")))
         linked[prefix] = rows.select("stay").distinct()
     missing = staging.staged(contrasts[0].unionByName(contrasts[1]), "missing")
     worst = profile.worst_missing(missing, least)
@@ -87,9 +87,9 @@ def preflight(spark: SparkSession, folder: str, *, expect_reference: bool = True
     for prefix, keys in linked.items():
         flagged = relational.with_presence(flagged, keys, "stay", f"{prefix}present")
     per = sites.linkage(flagged, F.col("y"), {p.rstrip("_"): F.col(f"{p}present") == 1.0 for p in linked})
-    hospital = tables["hospital"].select(F.concat(F.lit(C.SITE_PREFIX), cells.maybe_int(F.col("hospitalid")).cast("string")).alias("site"), *STRATA)
-    # a site that comes twice is given by its last row in the order of its cells, as files have no order on a cluster
-    per_site = sites.in_label_order(sites.with_strata(per, hospital.withColumn("row", F.struct(*STRATA)), "site", "row", STRATA), "site_id")
+    hospital = tables["hospital"].select(F.concat(F.lit(C.SITE_PREFIX), cells.maybe_int(F.col("hospitalid")).cast("string")).alias("site"), ROW, *STRATA)
+    # a site that comes twice is given by its last row
+    per_site = sites.in_label_order(sites.with_strata(per, hospital, "site", ROW, STRATA), "site_id")
     profiles = staging.staged(profile.cell_profiles(long, ["table", "name"]), "cells")
     placed = long.join(cohort.select("stay", "site_id"), "stay")
     unknown = cells.maybe_float(F.col("cell"))

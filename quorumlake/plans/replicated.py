@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from quorumlake import constants as C
 from quorumlake.functions import heads, intervals
-from quorumlake.operators import betting, ranks, shift, sites
+from quorumlake.operators import betting, explain, ranks, shift, sites
 from quorumlake.operators.splits import step_ranks
 
 POOLED = "pooled"
@@ -171,6 +171,26 @@ def summary(outcomes: DataFrame, pooled: bool = True) -> DataFrame:
         share("coverage").alias("mean_coverage"), share("risk").alias("mean_risk"), share("risk_exceeds").alias("exceed_rate"), share("hard").alias("hard_rate"))
 
 
+def logit_by_replicate(of: dict[int, heads.Head], places: list[int]) -> Column:
+    """The logit of the features at these places by the head of the row's replicate; heads are a literal map in the features' own units."""
+    rows = {g: [*[c / s for c, s in zip(h.coef, h.sd, strict=True)], h.intercept - sum(c * m / s for c, m, s in zip(h.coef, h.mu, h.sd, strict=True))] for g, h in of.items()}
+    own = F.create_map(*[v for g, w in rows.items() for v in (F.lit(g), F.array(*[F.lit(float(c)) for c in w]))])[F.col("replicate")]
+    return sum((F.get("x", F.lit(j)) * F.get(own, F.lit(i)) for i, j in enumerate(places)), F.get(own, F.lit(len(places))))
+
+
+def comparators(records: DataFrame, splits: DataFrame, got: Replicated, rival: str = "comparator") -> DataFrame:
+    """(replicate, alpha, n, n_available, available_share, brier, subset_error, auc): a rival's probability on what each pooled rung answers.
+
+    records: (site_id, y, x, rival), the rival NULL where it has none. subset_error: how often the replicate's own head
+    is wrong on the answered records that have a rival.
+    """
+    rungs = got.outcomes.where(F.col("certified") & (F.col("pool") == POOLED)).select("replicate", "alpha", "tau")
+    width = len(next(iter(got.heads.values())).coef)
+    rows = records.join(splits.where("split = 'target'").select("replicate", "site_id"), "site_id").select("replicate", "y", rival, logit_by_replicate(got.heads, list(range(width))).alias("logit"))
+    answered = rows.withColumns(heads.scored(F.col("logit"))).join(rungs, "replicate").where(F.col("score") >= F.col("tau"))
+    return explain.comparator(answered.withColumn("err", F.col("pred") != F.col("y")), rival, by=["replicate", "alpha"], err="err")
+
+
 def leak_probe(records: DataFrame, splits: DataFrame, hidden: list[int], *, fitted: dict | None = None) -> DataFrame:
     """(replicate, auc, auc_ablated, ablation_drop, auc_alarm, ablation_alarm): leak_alarm of every replicate on its calibration sites.
 
@@ -181,14 +201,6 @@ def leak_probe(records: DataFrame, splits: DataFrame, hidden: list[int], *, fitt
     train, cal = splits.where("split = 'train'"), splits.where("split = 'cal'").select("replicate", "site_id")
     fitted = fitted or heads.fit_heads(records, train)
     ablated = heads.fit_heads(records.withColumn("x", F.array(*[F.get("x", F.lit(j)) for j in keep])), train)
-
-    def logit(of: dict[int, heads.Head], places: list[int]) -> Column:
-        """A head's coefficients in the features' own units, by replicate, as a literal map."""
-        rows = {g: [*[c / s for c, s in zip(h.coef, h.sd, strict=True)], h.intercept - sum(c * m / s for c, m, s in zip(h.coef, h.mu, h.sd, strict=True))] for g, h in of.items()}
-        table = F.create_map(*[v for g, w in rows.items() for v in (F.lit(g), F.array(*[F.lit(float(c)) for c in w]))])
-        own = table[F.col("replicate")]
-        return sum((F.get("x", F.lit(j)) * F.get(own, F.lit(i)) for i, j in enumerate(places)), F.get(own, F.lit(len(places))))
-
     every = list(range(len(keep) + len(hidden)))
-    scored = records.join(cal, "site_id").select("replicate", "y", logit(fitted, every).alias("full"), logit(ablated, keep).alias("without"))
+    scored = records.join(cal, "site_id").select("replicate", "y", logit_by_replicate(fitted, every).alias("full"), logit_by_replicate(ablated, keep).alias("without"))
     return ranks.leak_alarm(scored, "full", "without", "y", by=["replicate"])

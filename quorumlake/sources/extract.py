@@ -15,6 +15,7 @@ from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 NAME = "quorumlake_extract"
+ROW = "_row"
 #: The longest cell, in characters, and the rows of a batch.
 LONGEST_CELL, BATCH = 10_000_000, 4096
 
@@ -100,7 +101,8 @@ def lower_header(header: list[str], table: str) -> list[str]:
 
 
 class ExtractSource(DataSource):
-    """Options: path; table; raw: header as it stands, rows neither padded nor skipped, what a row lacks NULL; limit: rows."""
+    """Options: path; table; raw: header as it stands, rows neither padded nor skipped, what a row lacks NULL; limit: rows;
+    numbered: a last column `_row`, the row's place in the file from 0."""
 
     @classmethod
     def name(cls) -> str:
@@ -109,15 +111,17 @@ class ExtractSource(DataSource):
     def schema(self) -> T.StructType:
         raw = self.options.get("raw", "false") == "true"
         header = raw_header(self.options["path"], self.options["table"], raw)
-        return T.StructType([T.StructField(n, T.StringType()) for n in (header if raw else lower_header(header, self.options["table"]))])
+        cells = [T.StructField(n, T.StringType()) for n in (header if raw else lower_header(header, self.options["table"]))]
+        return T.StructType(cells + [T.StructField(ROW, T.LongType())] * (self.options.get("numbered", "false") == "true"))
 
     def reader(self, schema: T.StructType) -> DataSourceReader:
-        return ExtractReader(self.options["path"], self.options["table"], self.options.get("raw", "false") == "true", int(self.options.get("limit", -1)), len(schema.fields), schema.names)
+        return ExtractReader(self.options["path"], self.options["table"], self.options.get("raw", "false") == "true", int(self.options.get("limit", -1)), self.options.get("numbered", "false") == "true", schema.names)
 
 
 class ExtractReader(DataSourceReader):
-    def __init__(self, path: str, table: str, raw: bool, limit: int, width: int, names: list[str]):
-        self.path, self.table, self.raw, self.limit, self.width, self.names = path, table, raw, limit, width, names
+    def __init__(self, path: str, table: str, raw: bool, limit: int, numbered: bool, names: list[str]):
+        self.path, self.table, self.raw, self.limit, self.numbered, self.names = path, table, raw, limit, numbered, names
+        self.width = len(names) - numbered
 
     def partitions(self) -> list[InputPartition]:
         return [InputPartition(self.path)]  # a gzip file cannot be cut
@@ -125,8 +129,9 @@ class ExtractReader(DataSourceReader):
     def read(self, partition: InputPartition) -> Iterator:
         import pyarrow as pa
 
-        def batch(rows: list[list]):
-            return pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*rows, strict=True)], names=self.names)
+        def batch(rows: list[list], end: int):
+            own = [pa.array(c, pa.string()) for c in zip(*rows, strict=True)]
+            return pa.RecordBatch.from_arrays(own + [pa.array(range(end - len(rows), end), pa.int64())] * self.numbered, names=self.names)
 
         rows, n, held, fill = cells_of(self.path, self.table, self.raw), 0, [], None if self.raw else ""
         next(rows, None)  # the header
@@ -138,10 +143,10 @@ class ExtractReader(DataSourceReader):
             held.append((row + [fill] * (self.width - len(row)))[: self.width])
             n += 1
             if len(held) == BATCH:
-                yield batch(held)
+                yield batch(held, n)
                 held = []
         if held:
-            yield batch(held)
+            yield batch(held, n)
 
 
 def registered(spark: SparkSession) -> str:

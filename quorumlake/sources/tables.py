@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 
 from quorumlake import constants as C
 
-from .extract import ExtractError, lower_header, raw_header, registered, typed_failures
+from .extract import ROW, ExtractError, lower_header, raw_header, registered, typed_failures
 
 
 def listing(spark: SparkSession, folder: str) -> list[tuple[str, int]]:
@@ -44,20 +44,20 @@ def require_columns(columns: list[str], table: str, needed: tuple[str, ...]) ->
         raise ExtractError(f"{table} lacks {gone}; it has {columns}", "missing-column")
 
 
-def read_table(spark: SparkSession, folder: str, table: str, *, required: tuple[str, ...] | None = None, limit: int | None = None, raw: bool = False) -> DataFrame:
+def read_table(spark: SparkSession, folder: str, table: str, *, required: tuple[str, ...] | None = None, limit: int | None = None, raw: bool = False, numbered: bool = False) -> DataFrame:
     """All cells of a table as text, missing ones as '', under lower-case names, by the extract data source.
 
     Byte-order marks, quoted line ends (in the header as well), doubled quotes, short rows and blank rows are read; extra
-    cells are dropped. raw: the header stays as it is, blank rows stay, and what a row lacks is NULL. A gzip file is read
+    cells are dropped. numbered: a last column `_row` holds each row's place in its file. raw: the header stays as it is, blank rows stay, and what a row lacks is NULL. A gzip file is read
     by one task, so the rows are dealt out again before anything else is done with them. Failures within a job are
     ExtractErrors where the job runs under typed_failures().
     """
     path = table_path(spark, folder, table)
-    options = {"path": path, "table": table, "raw": str(raw).lower()} | ({} if limit is None else {"limit": str(limit)})
+    options = {"path": path, "table": table, "raw": str(raw).lower(), "numbered": str(numbered).lower()} | ({} if limit is None else {"limit": str(limit)})
     header = raw_header(path, table, raw)
     names = header if raw else lower_header(header, table)
     require_columns([n.lower() for n in names], table, C.REQUIRED_COLUMNS.get(table, ()) if required is None else required)
-    schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
+    schema = T.StructType([T.StructField(n, T.StringType()) for n in names] + [T.StructField(ROW, T.LongType())] * numbered)
     return spark.read.format(registered(spark)).schema(schema).options(**options).load().repartition(spark.sparkContext.defaultParallelism)
 
 

@@ -285,3 +285,21 @@ def test_rows_before_are_counted_over_ranges(spark):
     for x in got:
         assert x["before"] == sum(p["n"] for p in plain if p["g"] == x["g"] and p["v"] < x["v"])
     assert order_statistics.with_rows_before(df.limit(0), "v", by=["g"]).count() == 0
+
+
+def test_splits_cover_all_sites(spark):
+    df = spark.createDataFrame([("a",), ("b",), ("b",)], "site_label string")
+    splits.assert_covering(df, spark.createDataFrame([("a", "cal"), ("b", "aux")], "site_label string, split string"))
+    for rows in ([("a", "cal")], [("a", "cal"), ("b", "aux"), ("c", "aux")]):
+        with pytest.raises(ValueError, match="split-coverage"):
+            splits.assert_covering(df, spark.createDataFrame(rows, "site_label string, split string"))
+
+
+def test_dense_sites_keep_every_record(spark):
+    rows = [("H1", 1), ("H1 ", 2), ("H2", 3), ("H2", 4), ("H1", 5)]
+    got = identifiers.dense_sites(spark.createDataFrame(rows, "raw string, n int"), "raw").collect()
+    assert sorted((r["n"], r["site_label"], r["site_id"]) for r in got) == [(1, "H1", 0), (2, "H1", 0), (3, "H2", 1), (4, "H2", 1), (5, "H1", 0)]
+    again = identifiers.dense_sites(spark.createDataFrame(rows, "site_label string, n int"), "site_label")
+    assert again.columns.count("site_label") == 1 and {r["site_label"] for r in again.collect()} == {"H1", "H2"}
+    with pytest.raises(identifiers.SiteCollision):
+        identifiers.dense_sites(spark.createDataFrame([("a", 1), (None, 2)], "raw string, n int"), "raw")

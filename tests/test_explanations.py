@@ -149,3 +149,13 @@ def test_samples_have_exactly_k_rows_and_do_not_hang_on_partitions(spark):
     assert exact_sample(df, 5000, seed=C.SEED, key="key").count() == 1000 and exact_sample(df, 0, seed=C.SEED, key="key").count() == 0
     hot = spark.createDataFrame([(7,)] * 500 + [(i,) for i in range(20)], "key int")
     assert exact_sample(hot, 300, seed=C.SEED, key="key").count() == 300
+
+
+def test_leading_features_are_searched_and_keep_the_modified(spark):
+    df = spark.createDataFrame([(1, [0.1, -5.0, 3.0, 0.2, 0.0])], "id int, phi array<double>")
+    names = ["age", "heart rate", "Heart index", "weight", "heart"]
+    shown = lambda **how: [(r["feature"], r["n_shown"], r["n_total"]) for r in explain.leading_features(df, "id", "phi", 2, **how).collect()]
+    assert shown() == [(1, 2, 5), (2, 2, 5)]
+    assert shown(modified=(0, 1)) == [(1, 3, 5), (2, 3, 5), (0, 3, 5)]
+    assert shown(names=names, search="HEART") == [(1, 2, 3), (2, 2, 3)]
+    assert shown(names=names, search="heart", modified=(4, 0)) == [(1, 3, 3), (2, 3, 3), (4, 3, 3)] and shown(names=names, search="none") == []

@@ -33,6 +33,8 @@ def test_many_rows_and_a_read_by_name(spark, tmp_path):
     rows = [[str(i), "y" * (i % 50)] for i in range(10_000)]
     folder = put(tmp_path, tables.gzip_csv(rows, ["a", "b"]))
     df = spark.read.format(extract.registered(spark)).options(path=f"{folder}/t.csv.gz", table="t").load()
+    placed = tables.read_table(spark, folder, "t", required=(), numbered=True)
+    assert placed.where("cast(a as long) = _row").count() == 10_000 and placed.columns == ["a", "b", "_row"]
     assert df.agg(F.count("*"), F.sum(F.col("a").cast("long")), F.sum(F.length("b"))).first() == (10_000, sum(range(10_000)), sum(i % 50 for i in range(10_000)))
 
 

@@ -221,3 +221,17 @@ def test_exceedance_beside_its_reference(spark):
     got = explain.exceedance_bins(df, "n", "over", 0.1, [1.0, 30.0, 100.0, 300.0]).orderBy("bin").collect()
     assert [r["n"] for r in got] == [2, 1, 0] and got[0]["observed"] == 0.5 and got[2]["reference"] is None
     assert got[0]["reference"] == pytest.approx(intervals.binomial_exceedance(10, 0.1))
+
+
+def test_long_sequences_are_bet_on_by_running_sums(spark):
+    r = random.Random(9)
+    z = {t: [0.1 if r.random() < 0.3 else float(r.random() < 0.02 * (t + 1)) for _ in range(700)] for t in range(4)}
+    rows = [(t, 0.6 + t / 100, i * 7 - 900, v) for t, own in z.items() for i, v in enumerate(own)]
+    df = spark.createDataFrame(rows, "tau_idx int, tau double, rank long, z double").repartition(5)
+    got = {x["tau_idx"]: x for x in betting.long_bets(df, 0.1, C.DELTA).collect()}
+    assert {x["n_sites"] for x in got.values()} == {700}
+    for t, own in z.items():
+        top = wealth_of(own, 0.1, C.DELTA)
+        assert got[t]["top_log_wealth"] == pytest.approx(top, abs=1e-8) and got[t]["rejected"] == (top >= math.log(1 / C.DELTA))
+    short = betting.bets(df.withColumn("site_id", F.col("rank")).drop("rank"), df.select(F.col("rank").alias("site_id"), "rank").distinct(), 0.1, C.DELTA)
+    assert {x["tau_idx"]: x["top_log_wealth"] for x in short.collect()} == pytest.approx({t: x["top_log_wealth"] for t, x in got.items()}, abs=1e-8)

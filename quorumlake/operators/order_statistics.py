@@ -99,7 +99,6 @@ def values_at(rows: DataFrame, value: str, places: DataFrame, by: list[str], *,
         counts = counted(inside.withColumn("_b", part), *by, "_from", "_b")
         wanted = state.select(*by, "place", "_before", F.col("_lo").alias("_from"))
         state = located(counts, wanted, [*by, "_from"])
-    done = cut(done)
     single = done.where(F.col("_lo") == F.col("_hi")).select(*by, "place", F.col("_lo").alias("v"))
     open_ = done.where(F.col("_lo") < F.col("_hi"))
     ranges = open_.select(*by, F.col("_lo").alias("_from"), F.col("_hi").alias("_to"), F.col("_before").alias("_at")).distinct()
@@ -121,12 +120,12 @@ def exact_quantiles(rows: DataFrame, value: str, probabilities: dict[str, float]
     wanted = F.array(*[F.struct(F.lit(k).alias("_name"), F.lit(float(p)).alias("p")) for k, p in probabilities.items()])
     at = sizes.select(*by, "n", F.explode(wanted).alias("w")).select(*by, "n", "w._name", (F.col("w.p") * (F.col("n") - 1)).alias("at"))
     at = cut(at.withColumns({"low": F.floor("at").cast("long"), "high": F.ceil("at").cast("long")}))
-    places = at.select(*by, F.explode(F.array_distinct(F.array("low", "high"))).alias("place"))
-    found = cut(values_at(known, "_value", places, by, few=few))
-    low, high = (found.withColumnsRenamed({"place": e, "v": f"_{e}"}) for e in ("low", "high"))
-    both = beside(beside(at, low, [*by, "low"]), high, [*by, "high"])
-    share = F.col("at") - F.col("low")
-    both = both.withColumn("q", F.when(F.col("_low") == F.col("_high"), F.col("_low")).otherwise((1 - share) * F.col("_low") + share * F.col("_high")))
+    ends = at.select(*by, "n", "_name", (F.col("at") - F.col("low")).alias("share"), F.explode(F.array(*[F.struct(F.lit(e).alias("end"), F.col(e).alias("place")) for e in ("low", "high")])).alias("e"))
+    ends = ends.select(*by, "n", "_name", "share", "e.end", "e.place")
+    found = beside(ends, values_at(known, "_value", ends.select(*by, "place").distinct(), by, few=few), [*by, "place"])
+    low, high = (F.max(F.when(F.col("end") == e, F.col("v"))) for e in ("low", "high"))
+    both = found.groupBy(*by, "_name").agg(F.first("n").alias("n"), F.first("share").alias("share"), low.alias("_low"), high.alias("_high"))
+    both = both.withColumn("q", F.when(F.col("_low") == F.col("_high"), F.col("_low")).otherwise((1 - F.col("share")) * F.col("_low") + F.col("share") * F.col("_high")))
     got = both.groupBy(*by).agg(F.first("n").alias("n"), *[F.max(F.when(F.col("_name") == k, F.col("q"))).alias(k) for k in probabilities])
     if given:
         return got

@@ -8,6 +8,7 @@ from pyspark.sql import Window as W
 
 from quorumlake import constants as C
 from quorumlake.functions import cells
+from quorumlake.sources.staging import staged
 
 from .order_statistics import beside, exact_quantiles
 
@@ -102,12 +103,13 @@ def cell_profiles(cells_: DataFrame, by: list[str], cell: str = "cell") -> DataF
     numbers but the -1 that stands for missing.
     """
     text = F.coalesce(cells.stripped(F.col(cell)), F.lit(""))
-    rows = cells_.select(*by, text.alias("_t"), cells.maybe_float(text).alias("_v"))
-    t, v = F.col("_t"), F.col("_v")
+    # parsed once, as what follows reads the numbers again and again
+    rows = staged(cells_.select(*by, (text == "").alias("_blank"), cells.maybe_float(F.col(cell)).alias("_v")), "numbers")
+    blank, v = F.col("_blank"), F.col("_v")
     value = F.when(v != C.SENTINEL_MISSING, v)
     told = rows.groupBy(*by).agg(
-        F.count("*").alias("n"), F.count_if(t == "").alias("n_empty"), F.count_if(v == C.SENTINEL_MISSING).alias("n_minus_one"), F.count_if((v < 0) & (v != C.SENTINEL_MISSING)).alias("n_other_negative"),
-        F.count_if((t != "") & v.isNull()).alias("n_unparseable"), F.count_if(v == 0).alias("n_zero"), F.count(value).alias("n_value"), F.min(F.when(v > 0, v)).alias("min_positive"), F.max(value).alias("max"))
+        F.count("*").alias("n"), F.count_if(blank).alias("n_empty"), F.count_if(v == C.SENTINEL_MISSING).alias("n_minus_one"), F.count_if((v < 0) & (v != C.SENTINEL_MISSING)).alias("n_other_negative"),
+        F.count_if(~blank & v.isNull()).alias("n_unparseable"), F.count_if(v == 0).alias("n_zero"), F.count(value).alias("n_value"), F.min(F.when(v > 0, v)).alias("min_positive"), F.max(value).alias("max"))
     cuts = exact_quantiles(rows.withColumn("_v", value), "_v", {"p01": 0.01, "p50": 0.5, "p99": 0.99}, by).drop("n")
     names = [c for c in told.columns if c != "max"]
     return beside(told, cuts, by, "left").select(*names, "p01", "p50", "p99", "max")

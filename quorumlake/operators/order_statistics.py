@@ -65,10 +65,18 @@ def _coarse(v: Column) -> Column:
     return F.when(F.isnan(v), 9999).when(v == 0, 0).when(F.abs(v) == float("inf"), F.when(v > 0, 9998).otherwise(-9998)).when(v > 0, size).otherwise(-size)
 
 
-def values_at(rows: DataFrame, value: str, places: DataFrame, by: list[str], *, few: int = FEW) -> DataFrame:
+def coarse_counts(rows: DataFrame, value: str, by: list[str]) -> DataFrame:
+    """(by..., _b, _n, _lo, _hi): the histogram by powers of two of each group's values, some thousand rows a group at most."""
+    base = rows.select(*by, F.col(value).cast("double").alias("_v"))
+    counts = base.withColumn("_b", _coarse(F.col("_v"))).groupBy(*by, "_b").agg(F.count("*").alias("_n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
+    return cut(counts)
+
+
+def values_at(rows: DataFrame, value: str, places: DataFrame, by: list[str], *, few: int = FEW, coarse: DataFrame | None = None) -> DataFrame:
     """(by..., place, v): for each wanted place, counted from 0, the value there when a group's values are in order.
 
-    rows: (by..., value), values doubles that are not NULL; places: (by..., place), each below its group's row count.
+    rows: (by..., value), values doubles that are not NULL; places: (by..., place), each below its group's row count;
+    coarse: what coarse_counts gives of the rows, if it is there already.
     Histograms of all groups are made at once: first by powers of two, then every bucket that holds a wanted place is cut
     into 1,024 equal parts, and so on until a bucket has one value or at most `few` rows, which are then gathered. A pass
     is a scan with partial counts; nothing else is shuffled.
@@ -85,7 +93,7 @@ def values_at(rows: DataFrame, value: str, places: DataFrame, by: list[str], *,
         return cut(both.where(inside).select(*by, "place", (F.col("_before") + F.col("_upto") - F.col("_n")).alias("_before"), "_n", "_lo", "_hi"))
 
     counted = lambda df, *keys: df.groupBy(*keys).agg(F.count("*").alias("_n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
-    state = located(counted(base.withColumn("_b", _coarse(v)), *by, "_b"), places.select(*by, "place").distinct().withColumn("_before", F.lit(0).cast("long")), by)
+    state = located(coarse_counts(rows, value, by) if coarse is None else coarse, places.select(*by, "place").distinct().withColumn("_before", F.lit(0).cast("long")), by)
     done = None
     while True:
         ready = state.where((F.col("_lo") == F.col("_hi")) | (F.col("_n") <= few))
@@ -116,13 +124,14 @@ def exact_quantiles(rows: DataFrame, value: str, probabilities: dict[str, float]
     if not given:
         rows, by = rows.withColumn("_all", F.lit(0)), ["_all"]
     known = rows.where(F.col(value).isNotNull()).select(*by, F.col(value).cast("double").alias("_value"))
-    sizes = known.groupBy(*by).agg(F.count("*").alias("n"))
+    coarse = coarse_counts(known, "_value", by)
+    sizes = coarse.groupBy(*by).agg(F.sum("_n").alias("n"))
     wanted = F.array(*[F.struct(F.lit(k).alias("_name"), F.lit(float(p)).alias("p")) for k, p in probabilities.items()])
     at = sizes.select(*by, "n", F.explode(wanted).alias("w")).select(*by, "n", "w._name", (F.col("w.p") * (F.col("n") - 1)).alias("at"))
-    at = cut(at.withColumns({"low": F.floor("at").cast("long"), "high": F.ceil("at").cast("long")}))
+    at = at.withColumns({"low": F.floor("at").cast("long"), "high": F.ceil("at").cast("long")})
     ends = at.select(*by, "n", "_name", (F.col("at") - F.col("low")).alias("share"), F.explode(F.array(*[F.struct(F.lit(e).alias("end"), F.col(e).alias("place")) for e in ("low", "high")])).alias("e"))
     ends = ends.select(*by, "n", "_name", "share", "e.end", "e.place")
-    found = beside(ends, values_at(known, "_value", ends.select(*by, "place").distinct(), by, few=few), [*by, "place"])
+    found = beside(ends, values_at(known, "_value", ends.select(*by, "place").distinct(), by, few=few, coarse=coarse), [*by, "place"])
     low, high = (F.max(F.when(F.col("end") == e, F.col("v"))) for e in ("low", "high"))
     both = found.groupBy(*by, "_name").agg(F.first("n").alias("n"), F.first("share").alias("share"), low.alias("_low"), high.alias("_high"))
     both = both.withColumn("q", F.when(F.col("_low") == F.col("_high"), F.col("_low")).otherwise((1 - F.col("share")) * F.col("_low") + F.col("share") * F.col("_high")))

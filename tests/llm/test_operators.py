@@ -263,14 +263,15 @@ def test_texts_below_the_likeness_stay(spark):
     assert near_texts.drop_near_duplicates(docs).count() == 260
 
 
-def test_likeness_classes_of_a_crowd(spark):
+@pytest.mark.parametrize("size, edits, cuts", [(120, (1, 6), [200, 200, 170]), (120, (3, 8), [200]), (1000, (3, 8), [200])])
+def test_likeness_classes_of_a_crowd(spark, size, edits, cuts):
     base, r = prose(77, 200).split(), random.Random(6)
     texts = [prose(78, 40), ""]
-    for _ in range(120):
+    for _ in range(size):
         words = list(base)
-        for at in r.sample(range(200), r.randint(1, 6)):
+        for at in r.sample(range(200), r.randint(*edits)):
             words[at] = f"w{r.random()}"
-        texts.append(" ".join(words[: r.choice([200, 200, 170])]))
+        texts.append(" ".join(words[: r.choice(cuts)]))
     least = list(range(len(texts)))
 
     def root(i: int) -> int:
@@ -278,15 +279,19 @@ def test_likeness_classes_of_a_crowd(spark):
             i = least[i]
         return i
 
+    sets = [shingles(t) for t in texts]
     for i in range(len(texts)):
         for j in range(i):
-            if texts[i] and texts[j] and jaccard(texts[i], texts[j]) >= 0.8:
+            if sets[i] and sets[j] and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
                 x, y = root(i), root(j)
                 least[max(x, y)] = min(x, y)
     kept = {x["doc_id"] for x in near_texts.drop_near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")).collect()}
     # links in a cloud of copies around the likeness are found by chance; nothing is dropped without one
     want = {root(i) for i in range(len(texts))}
-    assert want <= kept and len(kept - want) <= 0.15 * (len(texts) - len(want))
+    print(f"{len(texts) - len(want)} should go, {len(kept) - len(want)} of them stay")
+    assert len(kept) >= len(want) and len(kept) - len(want) <= 0.1 * (len(texts) - len(want))
+    # nothing goes but a text with a smaller one in its class
+    assert all(root(i) != i for i in range(len(texts)) if i not in kept)
 
 
 def test_radius_search_is_exact(spark):

@@ -20,18 +20,32 @@ def _base32_sha1(data: bytes) -> str:
     return base64.b32encode(hashlib.sha1(data).digest()).decode()
 
 
-def _record(page: str, url: str | None, payload: bytes, refers_to: str | None, date: str) -> tuple[bytes, str]:
+def _urn(page: str | None) -> str:
+    """The record's id: of a page id every byte but letters, digits and _.-~ is escaped, so line ends come back; a null has a form of its own."""
+    from urllib.parse import quote
+
+    return "urn:nopage" if page is None else f"urn:page:{quote(page, safe='')}"
+
+
+def _page(urn: str) -> str | None:
+    from urllib.parse import unquote
+
+    inner = urn.removeprefix("<").removesuffix(">")
+    return None if inner == "urn:nopage" else unquote(inner.removeprefix("urn:page:"))
+
+
+def _record(page: str | None, url: str | None, payload: bytes, refers_to: str | None, date: str) -> tuple[bytes, str]:
     """A record, with two line ends behind it, and its payload digest; a revisit holds the HTTP head alone."""
     digest = _base32_sha1(payload)
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     block = http if refers_to is not None else http + payload
-    lines = [f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: <urn:page:{page}>", f"WARC-Date: {date}"]
+    lines = [f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: <{_urn(page)}>", f"WARC-Date: {date}"]
     if url is not None:
         safe = "".join(c if c > " " and c != "\x7f" else "".join(f"%{b:02X}" for b in c.encode()) for c in url)
         lines.append(f"WARC-Target-URI: {safe}")
     lines.append(f"WARC-Payload-Digest: sha1:{digest}")
     if refers_to is not None:
-        lines += [f"WARC-Profile: {PROFILE}", f"WARC-Refers-To: <urn:page:{refers_to}>"]
+        lines += [f"WARC-Profile: {PROFILE}", f"WARC-Refers-To: <{_urn(refers_to)}>"]
     lines += ["Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}"]
     return b"WARC/1.1\r\n" + "\r\n".join(lines).encode() + b"\r\n\r\n" + block + b"\r\n\r\n", digest
 
@@ -60,7 +74,8 @@ def write_archives(pages: DataFrame, to: str, *, id_col: str = "page_id", url_co
     payload = F.encode(F.coalesce(F.col(text_col), F.lit("")), "UTF-8")
     known = revisits(pages, id_col=id_col, text_col=text_col, least_bytes=least_bytes)
     rows = pages.select(F.col(id_col).cast("string").alias("id"), F.col(id_col).alias("page"), F.col(url_col).alias("url"), payload.alias("payload"), F.sha2(payload, 256).alias("key"))
-    rows = rows.join(known, ["page", "key"], "left").select("id", "url", "payload", F.col("refers_to").cast("string").alias("refers_to"))
+    # the narrow side becomes each task's table, so that payloads stream past it and are neither sorted nor held
+    rows = rows.join(known.hint("shuffle_hash"), ["page", "key"], "left").select("id", "url", "payload", F.col("refers_to").cast("string").alias("refers_to"))
 
     def run(batches: Iterator) -> Iterator:
         import gzip
@@ -82,7 +97,7 @@ def write_archives(pages: DataFrame, to: str, *, id_col: str = "page_id", url_co
                         first = gzip.compress(info.encode(), level, mtime=0)
                         out.write(first)
                         offset = len(first)
-                    data, digest = _record(page.as_py() or "null", url.as_py(), body.as_py(), refers.as_py(), date)
+                    data, digest = _record(page.as_py(), url.as_py(), body.as_py(), refers.as_py(), date)
                     member = gzip.compress(data, level, mtime=0)
                     out.write(member)
                     index.append((name, offset, len(member), url.as_py(), digest, "response" if refers.as_py() is None else "revisit"))
@@ -124,9 +139,8 @@ def read_records(selected: DataFrame, at: str, *, gap: int = 1 << 16, most: int
         digest, kind = fields["WARC-Payload-Digest"].removeprefix("sha1:"), fields["WARC-Type"]
         if kind == "response" and (len(payload) != size or _base32_sha1(payload) != digest):
             raise ValueError(f"the payload of {fields['WARC-Record-ID']} is not what its digest says")
-        page = fields["WARC-Record-ID"].removeprefix("<urn:page:").removesuffix(">")
-        refers = fields["WARC-Refers-To"].removeprefix("<urn:page:").removesuffix(">") if kind == "revisit" else None
-        return (None if page == "null" else page, fields.get("WARC-Target-URI"), size, digest, kind, refers, *([payload if kind == "response" else None] if with_payload else []))
+        page, refers = _page(fields["WARC-Record-ID"]), _page(fields["WARC-Refers-To"]) if kind == "revisit" else None
+        return (page, fields.get("WARC-Target-URI"), size, digest, kind, refers, *([payload if kind == "response" else None] if with_payload else []))
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa

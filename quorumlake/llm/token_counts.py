@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql import Window as W
 
-from .common import cut, with_fields
+from .common import cut, kept, with_fields
 from .pieces import PieceCache, pieces
 
 _loaded: dict = {}
@@ -73,7 +73,8 @@ def count_tokens(docs: DataFrame, *, path: str, id_col: str = "doc_id", text_col
     short = base.where(F.length("text") <= chunk) if chunked else base
     out = short.mapInArrow(_whole(path, base), with_fields(base.drop("text"), "n_bytes long, n_tokens long"))
     if chunked:
-        long = base.where(F.length("text") > chunk).select("doc", F.monotonically_increasing_id().alias("row"), "text")
+        # written once, so that a row keeps its number whichever executors are lost
+        long = kept(base.where(F.length("text") > chunk).select("doc", F.monotonically_increasing_id().alias("row"), "text"), "long")
         out = out.unionAll(_spliced(long, path, chunk, overlap))
     return out.select("doc", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
 

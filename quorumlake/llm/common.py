@@ -86,7 +86,7 @@ def components(edges: DataFrame) -> DataFrame:
     def star(pairs: DataFrame) -> DataFrame:
         """Links each neighbour and its node u to the smallest of them; pairs: (u, v)."""
         least = pairs.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        return pairs.join(least, "u")
+        return pairs.join(least.hint("merge"), "u")  # a broadcast would pass the driver, several times a round
 
     def tidy(df: DataFrame) -> DataFrame:
         return cut(df.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())

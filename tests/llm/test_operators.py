@@ -196,6 +196,17 @@ def test_crowded_buckets_lose_no_link(spark):
     assert sorted(map(tuple, found.collect())) == [(1, 0), (2, 1), (4, 0), (5, 4)]
 
 
+def test_crowds_are_linked_by_points_alone(spark, monkeypatch):
+    rng = random.Random(5)
+    # 150 fingerprints that share 32 bits: a bucket of all of them must not be opened, by pairs or in a second pass
+    prints = list({(rng.getrandbits(5) | rng.getrandbits(5) << 20) << 32 | 0x0F0F1234 for _ in range(150)})
+    signed = [p - (1 << 64) if p >> 63 else p for p in prints]
+    monkeypatch.setattr(simhash, "bucket_hits", None)
+    got = simhash.near_classes(spark.createDataFrame(list(enumerate(signed)), "doc long, f0 long"), radius=2, segments=2, bits=64).collect()
+    by = {r["f0"]: r["component"] for r in got}
+    assert [by[s] for s in signed] == brute_classes(prints, list(range(len(prints))), 2)
+
+
 def test_near_copies_by_jaccard(spark):
     rows, r = [], random.Random(3)
     for i in range(80):

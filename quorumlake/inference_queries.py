@@ -181,7 +181,7 @@ def record_unit_walk(spark: SparkSession, d: str) -> DataFrame:
     # ids repeat in places: what still ties has the same atoms
     records = cohort(spark, d).withColumn("rank", F.struct(F.expr(_UNIT_RANK).alias("number"), "logit", "err"))
     order = sites.walk_order(sites.unit_atoms(records.where("split = 'aux'"), 0.1))
-    tests = betting.long_bets(sites.unit_atoms(records.where("split = 'cal'"), 0.1, keep=["rank"]), 0.1, C.DELTA)
+    tests = betting.unit_bets(records.where("split = 'cal'"), 0.1, C.DELTA)
     got = betting.walk(order, tests).join(tests.select("tau_idx", F.col("n_sites").alias("n_units"), "top_log_wealth"), "tau_idx")
     return got.select("step", "tau_idx", "n_units", F.round("top_log_wealth", 6).alias("top_log_wealth"), "rejected", "in_prefix", "deployed")
 

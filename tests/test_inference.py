@@ -235,3 +235,16 @@ def test_long_sequences_are_bet_on_by_running_sums(spark):
         assert got[t]["top_log_wealth"] == pytest.approx(top, abs=1e-8) and got[t]["rejected"] == (top >= math.log(1 / C.DELTA))
     short = betting.bets(df.withColumn("site_id", F.col("rank")).drop("rank"), df.select(F.col("rank").alias("site_id"), "rank").distinct(), 0.1, C.DELTA)
     assert {x["tau_idx"]: x["top_log_wealth"] for x in short.collect()} == pytest.approx({t: x["top_log_wealth"] for t, x in got.items()}, abs=1e-8)
+
+
+def test_unit_bets_are_long_bets_without_a_row_for_each_threshold(spark):
+    r = random.Random(8)
+    rows = [(i, r.choice([0.5, 0.55, 0.7, 0.8, 0.9, 0.99]), r.random() < 0.04) for i in range(700)]
+    rows += [(700, None, True), (701, float("nan"), True)]
+    df = spark.createDataFrame(rows, "rank long, score double, err boolean")
+    want = {x["tau_idx"]: x for x in betting.long_bets(sites.unit_atoms(df, 0.1, keep=["rank"]), 0.1, C.DELTA).collect()}
+    got = betting.unit_bets(df, 0.1, C.DELTA).collect()
+    assert len(got) == len(want) == len(C.TAU_GRID) and any(x["rejected"] for x in got) and betting.unit_bets(df.limit(0), 0.1, C.DELTA).count() == 0
+    for x in got:
+        w = want[x["tau_idx"]]
+        assert x["n_sites"] == w["n_sites"] == 702 and x["tau"] == w["tau"] and x["rejected"] == w["rejected"] and abs(x["top_log_wealth"] - w["top_log_wealth"]) < 1e-9

@@ -178,7 +178,11 @@ def state_table(head: Head, x: Column, logit: Column, tau: float, features: list
 
 def response(head: Head, x: Column, logit: Column, feature: int, *, points: int = 161, reach: float = 4.0) -> Column:
     """Array of (step, z, p): a record's probability as one feature alone goes from -reach to reach standard deviations."""
-    base = logit - F.get(head.attribution(x), F.lit(feature))
+    return response_from(head, logit - F.get(head.attribution(x), F.lit(feature)), feature, points=points, reach=reach)
+
+
+def response_from(head: Head, base: Column, feature: int, *, points: int = 161, reach: float = 4.0) -> Column:
+    """response of a record whose logit without the feature's share is base: all that the curve depends on."""
     grid = F.sequence(F.lit(0), F.lit(points - 1))
     z = lambda i: F.lit(-reach) + F.lit(2.0 * reach) * i / (points - 1)
     return _once(base, lambda b: F.transform(grid, lambda i: F.struct(i.alias("step"), z(i).alias("z"), sigmoid(b + head.coef[feature] * z(i)).alias("p"))))
@@ -203,11 +207,31 @@ def fit_head(records: DataFrame, x_col: str = "x", y_col: str = "y") -> Head:
     return Head(tuple(model.coefficients.toArray().tolist()), float(model.intercept), mu, sd)
 
 
+def packed(rows: DataFrame) -> DataFrame:
+    """(x, y, sizes, groups): rows (x, y, groups) in blocks of a few thousand, as the bytes of numbers.
+
+    groups: the array of the groups that a record is in; sizes: how many they are. Rounds read blocks instead of turning
+    each record into Arrow anew.
+    """
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        for batch in batches:
+            if batch.num_rows:
+                x, y, groups = batch.column(0).flatten(), batch.column(1), batch.column(2)
+                parts = [(x, "f8"), (y, "f8"), (groups.value_lengths(), "i4"), (groups.flatten(), "i4")]
+                yield pa.RecordBatch.from_arrays([pa.array([v.to_numpy(zero_copy_only=False).astype(k).tobytes()], pa.binary()) for v, k in parts], names=["x", "y", "sizes", "groups"])
+
+    known = rows.select("x", F.col("y").cast("boolean").alias("y"), "groups")
+    return known.mapInArrow(run, "x binary, y binary, sizes binary, groups binary")
+
+
 def grouped_sums(rows: DataFrame, of, size: int) -> dict:
     """Sums by group of of(x, y, group), an array of `size` numbers for the records of a batch that belong to the group.
 
-    rows: (x, y, groups), groups being the array of those that a record is in. A record is read once for all its groups;
-    a task passes on one vector a group.
+    rows: blocks of records, from packed. A record is read once for all its groups; a task passes on one vector a group.
     """
     from pyspark.ml.functions import array_to_vector
     from pyspark.ml.stat import Summarizer
@@ -218,18 +242,16 @@ def grouped_sums(rows: DataFrame, of, size: int) -> dict:
 
         total: dict = {}
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            x, y = batch.column(0).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1), batch.column(1).to_numpy(zero_copy_only=False).astype(float)
-            groups = batch.column(2)
-            who, group = np.repeat(np.arange(batch.num_rows), groups.value_lengths().to_numpy()), groups.flatten().to_numpy()
-            for g in np.unique(group).tolist():
-                own = who[group == g]
-                total[g] = total.get(g, 0.0) + np.asarray(of(x[own], y[own], g), float)
+            for block in zip(*batch.columns, strict=True):
+                x, y, sizes, group = (np.frombuffer(v.as_buffer(), kind) for v, kind in zip(block, ("f8", "f8", "i4", "i4"), strict=True))
+                x, who = x.reshape(len(y), -1), np.repeat(np.arange(len(y)), sizes)
+                for g in np.unique(group).tolist():
+                    own = who[group == g]
+                    total[g] = total.get(g, 0.0) + np.asarray(of(x[own], y[own], g), float)
         keys = list(total)
         yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int32()), pa.array([total[k] for k in keys], pa.list_(pa.float64()))], names=["g", "part"])
 
-    parts = rows.select("x", F.col("y").cast("boolean").alias("y"), "groups").mapInArrow(run, "g int, part array<double>")
+    parts = rows.mapInArrow(run, "g int, part array<double>")
     found = parts.select("g", array_to_vector("part").alias("part")).groupBy("g").agg(Summarizer.sum(F.col("part")).alias("s")).collect()  # one row a group
     return {r["g"]: r["s"].toArray() for r in found}
 
@@ -243,18 +265,17 @@ def fit_heads(records: DataFrame, members: DataFrame, *, by: str = "replicate",
     records have one class, RuntimeError where a head is not fitted after most_rounds.
     """
     groups = members.groupBy(site).agg(F.collect_list(F.col(by).cast("int")).alias("groups"))  # one entry for each group
-    rows = records.select(site, "x", "y").join(groups, site).select("x", "y", "groups").persist()  # read once a round
+    rows = packed(records.select(site, F.col("x").cast("array<double>").alias("x"), "y").join(F.broadcast(groups), site)).persist()  # read once a round
     try:
-        return _fit_groups(rows, tolerance, most_rounds)
+        first = records.select("x").first()
+        return _fit_groups(rows, len(first[0]) if first else 0, tolerance, most_rounds)
     finally:
         rows.unpersist()
 
 
-def _fit_groups(rows: DataFrame, tolerance: float, most_rounds: int) -> dict[int, Head]:
+def _fit_groups(rows: DataFrame, width: int, tolerance: float, most_rounds: int) -> dict[int, Head]:
     import numpy as np
 
-    first = rows.select("x").first()
-    width = len(first[0]) if first else 0
     sums = grouped_sums(rows, lambda x, y, g: [len(y), y.sum(), *x.sum(axis=0)], width + 2)
     if not sums or any(not 0 < s[1] < s[0] for s in sums.values()):
         raise ValueError("training records have one class (reason=single-class)")

@@ -159,3 +159,19 @@ def test_leading_features_are_searched_and_keep_the_modified(spark):
     assert shown(modified=(0, 1)) == [(1, 3, 5), (2, 3, 5), (0, 3, 5)]
     assert shown(names=names, search="HEART") == [(1, 2, 3), (2, 2, 3)]
     assert shown(names=names, search="heart", modified=(4, 0)) == [(1, 3, 3), (2, 3, 3), (4, 3, 3)] and shown(names=names, search="none") == []
+
+
+def test_curves_follow_from_what_the_feature_leaves(spark):
+    head = heads.Head((0.8, -0.3), -0.2, (1.0, 2.0), (2.0, 0.5))
+    df = spark.createDataFrame([([0.5, 2.5],), ([3.0, 1.0],)], "x array<double>").withColumn("logit", head.logit(F.col("x")))
+    base = F.col("logit") - F.get(head.attribution(F.col("x")), F.lit(0))
+    for a, b in df.select(heads.response(head, F.col("x"), F.col("logit"), 0), heads.response_from(head, base, 0)).collect():
+        assert a == b and len(a) == 161
+
+
+def test_contrasts_bring_no_feature_to_one_task(spark):
+    from quorumlake.operators import ranks
+
+    df = spark.createDataFrame([(float(i % 97), float(i % 2), i % 3 == 0) for i in range(500)], "a double, b double, y boolean")
+    plan = ranks.decile_contrast(df, ["a", "b"], "y")._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and "BroadcastHashJoin" in plan

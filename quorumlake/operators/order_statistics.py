@@ -13,6 +13,9 @@ from quorumlake.sources.staging import cut
 #: Buckets that a range of values is cut into, and rows of a bucket from which its values are gathered.
 BUCKETS, FEW = 1024, 16_384
 
+#: Rows of a table up to which it is sent to all tasks, where a join by group would bring a group's values to one.
+SMALL = 100_000
+
 
 def beside(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
     """left joined with right on keys, of which NULLs meet as well."""
@@ -94,15 +97,19 @@ def values_at(rows: DataFrame, value: str, places: DataFrame, by: list[str], *,
 
     counted = lambda df, *keys: df.groupBy(*keys).agg(F.count("*").alias("_n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
     state = located(coarse_counts(rows, value, by) if coarse is None else coarse, places.select(*by, "place").distinct().withColumn("_before", F.lit(0).cast("long")), by)
-    done = None
+    done, n_done = None, 0
+    sent = lambda df, n: F.broadcast(df) if n <= SMALL else df  # noqa: E731; with more rows there are many groups to spread values by
     while True:
         ready = state.where((F.col("_lo") == F.col("_hi")) | (F.col("_n") <= few))
         done = ready if done is None else done.unionByName(ready)
+        n_all = state.count()
         state = state.where(~((F.col("_lo") == F.col("_hi")) | (F.col("_n") <= few)))
-        if state.isEmpty():
+        n_open = state.count()
+        n_done += n_all - n_open
+        if not n_open:
             break
         open_ = state.select(*by, "_lo", "_hi").distinct().withColumnsRenamed({"_lo": "_from", "_hi": "_to"})
-        inside = beside(base, open_, by).where((v >= F.col("_from")) & (v <= F.col("_to")))
+        inside = beside(base, sent(open_, n_open), by).where((v >= F.col("_from")) & (v <= F.col("_to")))
         part = F.least(F.floor((v - F.col("_from")) / (F.col("_to") - F.col("_from")) * BUCKETS).cast("int"), F.lit(BUCKETS - 1))
         counts = counted(inside.withColumn("_b", part), *by, "_from", "_b")
         wanted = state.select(*by, "place", "_before", F.col("_lo").alias("_from"))
@@ -110,7 +117,7 @@ def values_at(rows: DataFrame, value: str, places: DataFrame, by: list[str], *,
     single = done.where(F.col("_lo") == F.col("_hi")).select(*by, "place", F.col("_lo").alias("v"))
     open_ = done.where(F.col("_lo") < F.col("_hi"))
     ranges = open_.select(*by, F.col("_lo").alias("_from"), F.col("_hi").alias("_to"), F.col("_before").alias("_at")).distinct()
-    held = beside(base, ranges, by).where((v >= F.col("_from")) & (v <= F.col("_to")))  # at most `few` rows a range
+    held = beside(base, sent(ranges, n_done), by).where((v >= F.col("_from")) & (v <= F.col("_to")))  # at most `few` rows a range
     ranked = held.withColumn("place", F.col("_at") + F.row_number().over(W.partitionBy(*by, "_from").orderBy("_v")) - 1)
     return single.unionByName(beside(open_.select(*by, "place"), ranked.select(*by, "place", F.col("_v").alias("v")), [*by, "place"]))
 

@@ -40,7 +40,7 @@ def outcome_screen(df: DataFrame, features: list[str], label: str, review: float
     long = unpivoted(df, features, [label]).where("value is not null and not isnan(value)")
     cuts = exact_quantiles(long, "value", {"q1": 0.1, "q9": 0.9}, ["feature"])
     ends = long.groupBy("feature").agg(F.min("value").alias("lo"), F.max("value").alias("hi"))
-    between = long.join(ends, "feature").groupBy("feature").agg(F.count_if((F.col("value") > F.col("lo")) & (F.col("value") < F.col("hi"))).alias("inside"))
+    between = long.join(F.broadcast(ends), "feature").groupBy("feature").agg(F.count_if((F.col("value") > F.col("lo")) & (F.col("value") < F.col("hi"))).alias("inside"))
     shape = cut(cuts.join(ends, "feature").join(between, "feature"))  # a row for each feature
     shape = shape.withColumn("kind", F.when(F.col("lo") == F.col("hi"), "degenerate").when(F.col("inside") == 0, "binary").otherwise("continuous"))
     edges = shape.select("feature", "kind", "n", F.when(F.col("kind") == "binary", F.col("lo")).otherwise(F.col("q1")).alias("low_cut"), F.when(F.col("kind") == "binary", F.col("hi")).otherwise(F.col("q9")).alias("high_cut"))
@@ -62,7 +62,7 @@ def decile_contrast(df: DataFrame, features: list[str], label: str) -> DataFrame
     cuts = exact_quantiles(long, "value", {f"c{i}": i / 10 for i in range(1, 10)}, ["feature"])
     cuts = cut(cuts.select("feature", F.array(*[f"c{i}" for i in range(1, 10)]).alias("cuts")))  # a row for each feature
     own = F.size(F.filter("cuts", lambda c: c < F.col("value"))) + 1
-    return long.join(cuts, "feature").groupBy("feature", own.alias("decile")).agg(F.count("*").alias("n"), F.avg(F.col(label).cast("double")).alias("prevalence"), F.min("value").alias("least"), F.max("value").alias("most"))
+    return long.join(F.broadcast(cuts), "feature").groupBy("feature", own.alias("decile")).agg(F.count("*").alias("n"), F.avg(F.col(label).cast("double")).alias("prevalence"), F.min("value").alias("least"), F.max("value").alias("most"))
 
 
 def leak_alarm(records: DataFrame, score: str, ablated: str, label: str, auc_cap: float = C.LEAK_AUC_CAP, drop_cap: float = C.LEAK_DROP_CAP, by: list[str] = ()) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 
 from quorumlake import constants as C
 from quorumlake.functions.identifiers import collision_form
+from quorumlake.sources.staging import cut
 
 from .resampling import seeded
 from .shift import permutation, permutations
@@ -76,7 +77,8 @@ def replicate_splits(sites: DataFrame, replicates: int, *, label: str = "site_id
     every = sites.select(label).distinct().withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
     order = W.partitionBy("replicate").orderBy(seeded(seed, "split", F.col("replicate"), F.col(label)), label)
     r = F.row_number().over(order) - 1
-    return every.select("replicate", label, F.when(r < n_target, "target").when(r < n_target + train, "train").when(r < n_target + train + aux, "aux").otherwise("cal").alias("split"))
+    split = F.when(r < n_target, "target").when(r < n_target + train, "train").when(r < n_target + train + aux, "aux").otherwise("cal")
+    return cut(every.select("replicate", label, split.alias("split")))  # read in many places, each of which would scan the records again
 
 
 def with_split(records: DataFrame, split: DataFrame, label: str = "site_label") -> DataFrame:

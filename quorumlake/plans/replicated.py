@@ -37,7 +37,7 @@ def scored_bins(records: DataFrame, splits: DataFrame, fitted: dict[int, heads.H
     """
     kind = records.schema["site_id"].dataType.simpleString()
     held = splits.where("split <> 'train'").groupBy("site_id").agg(F.collect_list(F.col("replicate").cast("int")).alias("groups"))  # one entry a replicate
-    rows = records.select("x", F.col("y").cast("boolean").alias("y"), "site_id").join(held, "site_id").select("x", "y", "site_id", "groups")
+    rows = records.select("x", F.col("y").cast("boolean").alias("y"), "site_id").join(F.broadcast(held), "site_id").select("x", "y", "site_id", "groups")
 
     def run(batches):
         import numpy as np
@@ -186,8 +186,8 @@ def comparators(records: DataFrame, splits: DataFrame, got: Replicated, rival: s
     """
     rungs = got.outcomes.where(F.col("certified") & (F.col("pool") == POOLED)).select("replicate", "alpha", "tau")
     width = len(next(iter(got.heads.values())).coef)
-    rows = records.join(splits.where("split = 'target'").select("replicate", "site_id"), "site_id").select("replicate", "y", rival, logit_by_replicate(got.heads, list(range(width))).alias("logit"))
-    answered = rows.withColumns(heads.scored(F.col("logit"))).join(rungs, "replicate").where(F.col("score") >= F.col("tau"))
+    rows = records.join(F.broadcast(splits.where("split = 'target'").select("replicate", "site_id")), "site_id").select("replicate", "y", rival, logit_by_replicate(got.heads, list(range(width))).alias("logit"))
+    answered = rows.withColumns(heads.scored(F.col("logit"))).join(F.broadcast(rungs), "replicate").where(F.col("score") >= F.col("tau"))
     return explain.comparator(answered.withColumn("err", F.col("pred") != F.col("y")), rival, by=["replicate", "alpha"], err="err")
 
 
@@ -202,5 +202,5 @@ def leak_probe(records: DataFrame, splits: DataFrame, hidden: list[int], *, fitt
     fitted = fitted or heads.fit_heads(records, train)
     ablated = heads.fit_heads(records.withColumn("x", F.array(*[F.get("x", F.lit(j)) for j in keep])), train)
     every = list(range(len(keep) + len(hidden)))
-    scored = records.join(cal, "site_id").select("replicate", "y", logit_by_replicate(fitted, every).alias("full"), logit_by_replicate(ablated, keep).alias("without"))
+    scored = records.join(F.broadcast(cal), "site_id").select("replicate", "y", logit_by_replicate(fitted, every).alias("full"), logit_by_replicate(ablated, keep).alias("without"))
     return ranks.leak_alarm(scored, "full", "without", "y", by=["replicate"])

@@ -248,3 +248,24 @@ def test_unit_bets_are_long_bets_without_a_row_for_each_threshold(spark):
     for x in got:
         w = want[x["tau_idx"]]
         assert x["n_sites"] == w["n_sites"] == 702 and x["tau"] == w["tau"] and x["rejected"] == w["rejected"] and abs(x["top_log_wealth"] - w["top_log_wealth"]) < 1e-9
+
+
+def test_heads_are_fitted_on_blocks_of_records(spark):
+    rows = [([float(i), i / 7], i % 3 == 0, [0, 1] if i % 2 else [1]) for i in range(50)]
+    got = heads.packed(spark.createDataFrame(rows, "x array<double>, y boolean, groups array<int>").coalesce(1)).collect()
+    assert len(got) == 1
+    x, y, sizes, groups = (np.frombuffer(v, k) for v, k in zip(got[0], ("f8", "f8", "i4", "i4"), strict=True))
+    assert x.reshape(50, 2).tolist() == [r[0] for r in rows] and y.tolist() == [float(r[1]) for r in rows]
+    assert sizes.tolist() == [len(r[2]) for r in rows] and groups.tolist() == [g for r in rows for g in r[2]]
+
+
+def test_rivals_are_sent_their_rungs(spark):
+    head = heads.Head((1.0,), 0.0, (0.0,), (1.0,))
+    records = spark.createDataFrame([(s, s % 2 == 0, [float(s - 2)], 0.5) for s in range(5)], "site_id int, y boolean, x array<double>, comparator double")
+    splits = spark.createDataFrame([(0, s, "target") for s in range(5)], "replicate int, site_id int, split string")
+    outcomes = spark.createDataFrame([(0, 0.1, "pooled", True, 0.6)], "replicate int, alpha double, pool string, certified boolean, tau double")
+    got = replicated.comparators(records.checkpoint(), splits.checkpoint(), replicated.Replicated({0: head}, None, None, None, outcomes.checkpoint(), None))
+    assert got.first()["n"] == 4
+    # no records meet by replicate: the joins with rungs and splits are broadcasts
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "strategy=broadcast" in plan

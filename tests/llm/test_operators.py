@@ -612,3 +612,54 @@ def test_pipeline_over_a_table(spark):
 
     got = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
     assert got.count() > 50 and {"doc_id", "ids"} <= set(got.columns)
+
+
+def cloud(size: int, edits: tuple[int, int], cuts: list[int], seed: int) -> list[str]:
+    """Texts of one base whose likeness to each other lies around 0.8."""
+    base, r, texts = prose(77, 200).split(), random.Random(seed), []
+    for _ in range(size):
+        words = list(base)
+        for at in r.sample(range(200), r.randint(*edits)):
+            words[at] = f"w{r.random()}"
+        texts.append(" ".join(words[: r.choice(cuts)]))
+    return texts
+
+
+def alike(texts: list[str]) -> list[int]:
+    """The place of the first text of each text's class, from all pairs."""
+    sets, least = [shingles(t) for t in texts], list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if both and both >= 0.8 * (len(sets[i]) + len(sets[j]) - both):
+                x, y = least[i], least[j]
+                least = [min(x, y) if k in (x, y) else k for k in least] if x != y else least
+    return least
+
+
+def test_classes_of_a_crowd_lose_no_link(spark):
+    texts = cloud(1000, (3, 8), [200], 6) + [prose(78, 40), ""]
+    kept = {x["doc_id"] for x in near_texts.drop_near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")).collect()}
+    assert kept == set(alike(texts))
+
+
+@pytest.mark.parametrize("few, block", [(32, 131_072), (4, 9_000), (10_000, 131_072)])
+def test_missed_links_are_all_links(spark, monkeypatch, few, block):
+    monkeypatch.setattr(near_texts, "FEW", few)
+    monkeypatch.setattr(near_texts, "BLOCK", block)
+    passage = prose(79, 80)
+    texts = cloud(300, (1, 7), [200, 200, 170], 8) + [f"{passage} {prose(900 + i, 15)}" for i in range(60)] + [t for i in range(30) for t in edited(5000 + i, 300, 5 + i % 3)]
+    texts += ["one", "one two", "one two three four five", "one two three four five six", prose(80, 9000), prose(80, 8500)]
+    rows = spark.createDataFrame(list(enumerate(texts)), "id bigint, text string").selectExpr("id", "id as node", "text")
+    signed = near_texts.signatures(rows, near_texts.Signing(5, 6, 20, 1.5), 0.8).cache()
+    want = alike(texts)
+    # every text for itself, then a class that fills blocks of its own: the even ones of the first text's class
+    for c in (list(range(len(texts))), [want[i] if want[i] == 0 and i % 2 == 0 else i for i in range(len(texts))]):
+        classes = spark.createDataFrame(list(enumerate(c)), "node bigint, c bigint")
+        links = [tuple(x) for x in near_texts.missed_links(signed.join(classes, "node"), rows, 5, 0.8).collect()]
+        assert all(want[a] == want[b] for a, b in links)
+        joined = list(c)
+        for a, b in links:
+            x, y = joined[a], joined[b]
+            joined = [min(x, y) if k in (x, y) else k for k in joined]
+        assert joined == want

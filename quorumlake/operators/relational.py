@@ -60,16 +60,17 @@ def keys_of_many(df: DataFrame, key: str, site: str) -> DataFrame:
     return per.agg(F.count("*").alias("n_keys"), F.count_if("multi").alias("n_multi"), F.try_divide(F.count_if("multi").cast("double"), F.count("*")).alias("share"))
 
 
-def attrition(df: DataFrame, steps: list[tuple[str, Column]], site: str, positive: Column) -> DataFrame:
+def attrition(df: DataFrame, steps: list[tuple[str, Column]], site: str, positive: Column, times: Column | None = None) -> DataFrame:
     """(step_no, step, n_rows, n_sites, n_positive, prevalence): what is left after each of the successive conditions.
 
-    One pass: every row gets the number of conditions it meets in a row, the ledger counts rows by it.
+    One pass: every row gets the number of conditions it meets in a row, the ledger counts rows by it. A row counts as
+    many times as `times` says, once where that is not given.
     """
     passed = F.lit(0)
     for i in range(len(steps) - 1, -1, -1):
         passed = F.when(F.coalesce(steps[i][1], F.lit(False)), passed + 1).otherwise(F.lit(0))
-    marked = df.select(F.col(site).alias("site"), positive.alias("pos"), passed.alias("passed"))
-    compact = marked.groupBy("site", "passed").agg(F.count("*").alias("n"), F.count_if("pos").alias("p"))
+    marked = df.select(F.col(site).alias("site"), positive.alias("pos"), passed.alias("passed"), (F.lit(1) if times is None else times).cast("bigint").alias("times"))
+    compact = marked.groupBy("site", "passed").agg(F.sum("times").alias("n"), F.sum(F.when(F.col("pos"), F.col("times")).otherwise(0)).alias("p"))
     names = F.array(*[F.struct(F.lit(i + 1).alias("step_no"), F.lit(name).alias("step")) for i, (name, _) in enumerate(steps)])
     rows = compact.select("*", F.explode(names).alias("s")).where("passed >= s.step_no")
     got = rows.groupBy("s.step_no", "s.step").agg(F.sum("n").alias("n_rows"), F.count_distinct("site").alias("n_sites"), F.sum("p").alias("n_positive"))

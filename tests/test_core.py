@@ -303,3 +303,21 @@ def test_dense_sites_keep_every_record(spark):
     assert again.columns.count("site_label") == 1 and {r["site_label"] for r in again.collect()} == {"H1", "H2"}
     with pytest.raises(identifiers.SiteCollision):
         identifiers.dense_sites(spark.createDataFrame([("a", 1), (None, 2)], "raw string, n int"), "raw")
+
+
+def test_attrition_of_orders_sorts_no_lines(spark, tmp_path):
+    import duckdb
+
+    from quorumlake import queries as core
+
+    # lines by the hundred, orders that come twice, orders and lines without their match
+    lines = [(o, i, 17.0 + (o * 7 + i) % 4) for o in range(1, 60) for i in range(o % 5 + (100 if o == 7 else 1))] + [(1000, 1, 20.0)]
+    orders = [(o, o * 10, "OPF"[o % 3], 150000.0 + 1000 * (o % 90)) for o in range(1, 80)] + [(7, 70, "PFO"[0], 157000.0), (9, 90, "O", 159000.0), (13, 130, "P", 300000.0)]
+    spark.createDataFrame(lines, "l_orderkey bigint, l_linenumber bigint, l_quantity double").write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.createDataFrame(orders, "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double").write.parquet(f"{tmp_path}/orders.parquet")
+    got = core.QUERIES["cohort_predicates_attrition"](spark, str(tmp_path))
+    assert "l_linenumber" not in got._jdf.queryExecution().executedPlan().toString()
+    con = duckdb.connect()
+    for t in ("lineitem", "orders"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet/*.parquet'")
+    assert sorted(map(tuple, got.collect())) == sorted(con.execute(core.ORACLES["cohort_predicates_attrition"]).fetchall())

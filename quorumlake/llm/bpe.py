@@ -9,7 +9,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, with_fields
+from .common import fresh, held, with_fields
 from .pieces import PieceCache, pieces
 
 
@@ -112,12 +112,10 @@ class EditableText:
         return self.bpe.tokens(self.last)
 
 
-_loaded: dict = {}
-
-
 def encoder(path: str, pattern: str) -> tuple[PrefixBPE, PieceCache]:
     """The encoder of this Python worker and its cache of pieces, as little-endian 32-bit ids."""
-    if (path, pattern) not in _loaded:
+
+    def load() -> tuple[PrefixBPE, PieceCache]:
         import regex
 
         bpe, matches = PrefixBPE.load(path), regex.compile(pattern)
@@ -127,8 +125,9 @@ def encoder(path: str, pattern: str) -> tuple[PrefixBPE, PieceCache]:
                 ids = [i for m in matches.findall(piece) for i in bpe.encode(m.encode())]
                 yield b"".join(i.to_bytes(4, "little") for i in ids)
 
-        _loaded[path, pattern] = bpe, PieceCache(make)
-    return _loaded[path, pattern]
+        return bpe, PieceCache(make)
+
+    return held(("bpe", path, pattern), load)
 
 
 def encode_texts(docs: DataFrame, *, path: str, pattern: str, text_col: str = "text", with_ids: bool = True) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Hashable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,6 +14,23 @@ from pyspark.sql import types as T
 WORD = r"[^\x20\x09-\x0D]+"
 BLANK = r"[\x20\x09-\x0D]+"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+_held: dict = {}
+
+
+def let_go() -> None:
+    """Frees what tasks before left in this Python worker; for tasks that hold nothing themselves."""
+    _held.clear()
+
+
+def held(key: Hashable, make: Callable[[], object]):
+    """What `make` gives, held in this Python worker from task to task until one asks for another key or lets go.
+
+    Workers outlive tasks and stages, so what one operator has cached would come on top of what the next one needs.
+    """
+    if key not in _held:
+        let_go()
+        _held[key] = make()
+    return _held[key]
 
 
 def shared_dir(spark: SparkSession) -> str:

@@ -16,7 +16,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import ascii_lower, components, fresh, kept, words
+from .common import ascii_lower, components, fresh, kept, let_go, words
 
 #: Votes of a segment come from about so many shingles of a text, those of the largest weights; the rest together
 #: would weigh too little to turn a bit.
@@ -154,6 +154,7 @@ def signatures(texts: DataFrame, how: Signing, likeness: float) -> DataFrame:
         import numpy as np
         import pyarrow as pa
 
+        let_go()
         for batch in batches:
             for a, b in batches_of(batch.column(2)):
                 owner, h = shingle_hashes(batch.column(2).slice(a, b - a).to_pylist(), how.width)
@@ -197,6 +198,7 @@ def hash_sets(texts: DataFrame, width: int) -> DataFrame:
         import numpy as np
         import pyarrow as pa
 
+        let_go()
         for batch in batches:
             for lo, hi in batches_of(batch.column(1)):
                 owner, h = shingle_hashes(batch.column(1).slice(lo, hi - lo).to_pylist(), width)
@@ -226,6 +228,7 @@ def judged(pairs: DataFrame, sets: DataFrame, likeness: float) -> DataFrame:
         import numpy as np
         import pyarrow as pa
 
+        let_go()
         for batch in batches:
             for lo, hi in batches_of(*batch.columns[-2:]):
                 n = hi - lo
@@ -250,6 +253,7 @@ def references(crowds: DataFrame, sets: DataFrame, few: int = 15) -> DataFrame:
         import numpy as np
         import pyarrow as pa
 
+        let_go()
         for batch in batches:
             out = []
             for group in batch.column(1).to_pylist():
@@ -274,6 +278,7 @@ def placed(crowds: DataFrame, sets: DataFrame, how: Signing, level: int) -> Data
         import numpy as np
         import pyarrow as pa
 
+        let_go()
         low = np.uint64((1 << 32) - 1)
         for batch in batches:
             for lo, hi in batches_of(*batch.columns[-2:]):
@@ -319,6 +324,7 @@ def prefixes(sets: DataFrame, likeness: float) -> DataFrame:
         import numpy as np
         import pyarrow as pa
 
+        let_go()
         for batch in batches:
             for lo, hi in batches_of(batch.column(2)):
                 sizes, all_of = tagged(batch.column(2).slice(lo, hi - lo))
@@ -358,6 +364,7 @@ def links_of_blocks(crowds: DataFrame, sets: DataFrame, likeness: float) -> Data
         import numpy as np
         import pyarrow as pa
 
+        let_go()
         left = rows.column("left").to_numpy(zero_copy_only=False).astype(bool)
         node, c = (rows.column(e).to_numpy() for e in ("node", "c"))
         size, all_of = tagged(rows.column("hashes"))

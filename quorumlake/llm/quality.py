@@ -7,13 +7,25 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, fresh, kth_largest, with_fields
+from .common import cut, fresh, held, kth_largest, with_fields
 
 BYTE_BUCKETS, SHAPE_BUCKETS = 1 << 16, 1 << 14
 BUCKETS = BYTE_BUCKETS + SHAPE_BUCKETS
 #: Bytes that are looked at together; longer texts are taken window by window.
 WINDOW = 1 << 20
-_powers: list = []
+
+
+def powers() -> list:
+    """Powers of an odd number and of its inverse modulo 2**64, as many as a window has bytes."""
+    import numpy as np
+
+    base = 0x9E3779B97F4A7C15
+    out = []
+    for b in (base, pow(base, -1, 1 << 64)):
+        steps = np.full(WINDOW + 4, b, np.uint64)
+        steps[0] = 1
+        out.append(np.cumprod(steps, dtype=np.uint64))
+    return out
 
 
 def grams(text: str) -> Iterator:
@@ -24,14 +36,7 @@ def grams(text: str) -> Iterator:
     """
     import numpy as np
 
-    if not _powers:
-        base = 0x9E3779B97F4A7C15
-        inverse = pow(base, -1, 1 << 64)
-        for b in (base, inverse):
-            steps = np.full(WINDOW + 4, b, np.uint64)
-            steps[0] = 1
-            _powers.append(np.cumprod(steps, dtype=np.uint64))
-    power, inverse_power = _powers
+    power, inverse_power = held("powers", powers)
     whole = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
     for at in range(0, len(whole), WINDOW):
         data = whole[at : at + WINDOW + 3]

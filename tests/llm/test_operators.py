@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 import base64
+import gc
 import hashlib
 import random
 import re
+import weakref
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -663,3 +666,23 @@ def test_missed_links_are_all_links(spark, monkeypatch, few, block):
             x, y = joined[a], joined[b]
             joined = [min(x, y) if k in (x, y) else k for k in joined]
         assert joined == want
+
+
+def test_workers_let_go_of_other_operators_caches():
+    """A worker that has encoded texts holds its encoder for the next task of the kind, and nothing of it for near copies."""
+
+    class Here:
+        """A table of one batch whose tasks run in this process."""
+
+        def select(self, *columns):
+            return self
+
+        def mapInArrow(self, run, form):  # noqa: N802
+            return list(run(iter([pa.RecordBatch.from_pydict({"node": [1], "text": [prose(81, 50)]})])))
+
+    path, pattern = queries.vocabulary("byte_bpe_multi_50k.tiktoken"), queries.word_pattern()
+    cache = weakref.ref(bpe.encoder(path, pattern)[1])
+    assert bpe.encoder(path, pattern)[1] is cache()
+    assert near_texts.hash_sets(Here(), 5)[0].num_rows == 1
+    gc.collect()
+    assert cache() is None

@@ -23,6 +23,8 @@ from .common import ascii_lower, components, fresh, kept, let_go, words
 VOTERS = 32
 #: Bits of a segment above log2 of the table's rows: so many more keys than rows that chance meetings stay rare.
 MARGIN = 11
+#: Parts of a segment's bits, all but one of which rows are dealt by.
+PARTS = 4
 #: Shingles that are hashed and voted on at once, which bounds a worker's memory; a longer text is a batch of its own.
 BATCH = 100_000
 #: Of the shingles that like texts share, one in so many shows in the leads of both.
@@ -174,21 +176,41 @@ def signatures(texts: DataFrame, how: Signing, likeness: float) -> DataFrame:
     return texts.select("id", "node", "text").mapInArrow(sign, form)
 
 
+def _of_classes(rows: DataFrame, *by: str) -> DataFrame:
+    """The rows of groups that have several classes c. A window, so that rows go through one exchange and not through one
+    for the groups and one to be joined with them."""
+    group = W.partitionBy(*by)
+    return rows.withColumns({"least_c": F.min("c").over(group), "most_c": F.max("c").over(group)}).where("least_c < most_c").drop("least_c", "most_c")
+
+
 def meetings(rows: DataFrame, how: Signing, *among: str) -> DataFrame:
     """(a, b, s, ...): each node a with the head b of the buckets they share, once for each place s of the signature.
 
     rows: (node, c, x, own, ...); c is the node's class so far, and buckets of one class are left out. A bucket holds the
     rows that agree in a segment with one of its bits left out (and in the columns `among`), so two nodes share a bucket
     exactly if some segment of theirs differs in at most one bit. Its head has the smallest x, ties by node.
+
+    A segment's bits are in PARTS parts. All of a bucket agree in the parts that its bit is not in, so rows are dealt by
+    all parts but one, a row for each, and the bits are left out where they lie: what is dealt does not grow with the
+    bits, and rows that meet none of another class in those parts are left out before.
     """
-    places = rows.select("node", "c", "x", *among, F.posexplode("own").alias("s", "own")).where("own is not null").select("node", "c", "x", *among, "s", "own", F.explode(F.sequence(F.lit(0), F.lit(how.bits - 1))).alias("p"))
-    key = F.expr(f"shiftleft(cast(s * {how.bits} + p as bigint), {how.bits}) | (own & ~shiftleft(1L, p))")
-    if among:
-        key = F.xxhash64(*among, key)
-    # one exchange serves the heads and the join
-    index = places.select(key.alias("key"), "s", "node", "c", "x").repartition("key")
-    heads = index.groupBy("key").agg(F.min(F.struct("x", "node")).alias("one"), F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("key", F.col("one.node").alias("b"))
-    return index.join(heads, "key").where("node <> b").select(F.col("node").alias("a"), "b", "s").distinct()
+    parts = min(PARTS, how.bits)
+    starts = [k * how.bits // parts for k in range(parts + 1)]
+    places = rows.select("node", "c", "x", *among, F.posexplode("own").alias("s", "own")).where("own is not null").select("node", "c", "x", *among, "s", "own", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"))
+    low, high = (F.element_at(F.array(*map(F.lit, ends)), F.col("part") + 1) for ends in (starts[:-1], starts[1:]))
+    rest = F.expr("shiftleft(1L, high) - shiftleft(1L, low)").alias("mask")
+    places = places.withColumns({"low": low, "high": high}).select("*", rest)
+    # what is dealt is no wider than it must be: the place is read from the slot, the bits of the part are few
+    slot = F.expr(f"shiftleft(cast(s * {parts} + part as bigint), {how.bits}) | (own & ~mask)").alias("slot")
+    index = places.select("node", "c", "x", *among, slot, F.expr("shiftright(own & mask, low)").alias("rest"))
+    met = _of_classes(index, *among, "slot").select("node", "c", "x", *among, "slot", "rest")
+    part = F.pmod(F.shiftright("slot", how.bits), F.lit(parts)).cast("int")
+    width = F.element_at(F.array(*[F.lit(j - i) for i, j in zip(starts[:-1], starts[1:], strict=True)]), part + 1)
+    buckets = met.select("*", F.explode(F.sequence(F.lit(0), width - 1)).alias("p")).withColumn("rest", F.expr("rest & ~shiftleft(1L, p)"))
+    one = F.min(F.struct("x", "node")).over(W.partitionBy(*among, "slot", "p", "rest"))
+    heads = _of_classes(buckets.withColumn("one", one), *among, "slot", "p", "rest")
+    s = F.floor(F.shiftright("slot", how.bits) / parts).cast("int").alias("s")
+    return heads.select(F.col("node").alias("a"), F.col("one.node").alias("b"), s).where("a <> b").distinct()
 
 
 def hash_sets(texts: DataFrame, width: int) -> DataFrame:
@@ -305,9 +327,8 @@ def suspects(nodes: DataFrame, likeness: float) -> DataFrame:
     Of the m shingles that two like sets share, the j-th smallest has at most n - m shingles of either set before it
     that are not shared. So the smallest of them, one in LEAD of what the smaller set must share, are in both leads.
     """
-    index = nodes.select("node", "c", F.explode("lead").alias("token")).repartition("token")
-    hot = index.groupBy("token").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("token")
-    hits = index.join(hot.hint("merge"), "token").groupBy("node").agg(F.count("*").alias("hits"))
+    index = nodes.select("node", "c", F.explode("lead").alias("token"))
+    hits = _of_classes(index, "token").groupBy("node").agg(F.count("*").alias("hits"))
     least = least_common(least_common(F.col("n"), likeness), likeness)
     return nodes.select("node", "n").join(hits, "node").where(F.col("hits") >= 1 + F.floor(least / LEAD)).select("node")
 
@@ -332,9 +353,9 @@ def prefixes(sets: DataFrame, likeness: float) -> DataFrame:
                 token = pa.array(all_of.astype("<u4").view("<i4"))
                 yield pa.RecordBatch.from_arrays([token, *(c.slice(lo, hi - lo).take(pa.array(at)) for c in batch.columns[:2]), pa.array(sizes[at], pa.int32())], names=["token", "node", "c", "n"])
 
-    index = sets.select("node", "c", "hashes").mapInArrow(spread, "token int, node bigint, c bigint, n int").repartition("token")
-    met = index.groupBy("token").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.count("*").alias("m")).where("low < high").select("token", "m")
-    shared = index.join(met.hint("merge"), "token").groupBy("node", "c", "n").agg(F.sort_array(F.collect_list(F.struct("m", "token"))).alias("tokens"))
+    index = sets.select("node", "c", "hashes").mapInArrow(spread, "token int, node bigint, c bigint, n int")
+    met = _of_classes(index.withColumn("m", F.count("*").over(W.partitionBy("token"))), "token")
+    shared = met.groupBy("node", "c", "n").agg(F.sort_array(F.collect_list(F.struct("m", "token"))).alias("tokens"))
     rest = F.size("tokens") - least_common(F.col("n"), likeness) + 1
     return shared.where(rest > 0).select("node", "c", "n", F.explode(F.slice("tokens", F.lit(1), rest)).alias("t")).select("t.token", "node", "c", "n", "t.m")
 
@@ -430,10 +451,9 @@ def missed_links(nodes: DataFrame, texts: DataFrame, width: int, likeness: float
     Exact: every pair of two classes is compared that may be as like as that by shared shingles. Sets that share one with
     few others are paired; those that share one with many are crowds, which are compared in blocks.
     """
-    asked = nodes.join(suspects(nodes.where("n > 0"), likeness), "node").select("id", "node", "c")
-    found = texts.join(asked, ["id", "node"]).select("id", "node", "c", "text").dropDuplicates(["id", "node"])
-    classes = kept(asked.select("node", "c"), "suspects")
-    sets = kept(hash_sets(found, width).join(classes, "node"), "suspect_sets")
+    asked = kept(nodes.join(suspects(nodes.where("n > 0"), likeness), "node").select("id", "node", "c"), "suspects")
+    found = texts.join(asked.select("id", "node"), ["id", "node"], "left_semi").dropDuplicates(["id", "node"])
+    sets = kept(hash_sets(found, width).join(asked.select("node", "c"), "node"), "suspect_sets")
     index = kept(prefixes(sets, likeness), "prefixes")
     few = index.where(F.col("m") <= FEW)
     x, y = (few.select("token", F.col("node").alias(e), F.col("c").alias(f"{e}_c"), F.col("n").alias(f"{e}_n")) for e in "ab")

@@ -686,3 +686,35 @@ def test_workers_let_go_of_other_operators_caches():
     assert near_texts.hash_sets(Here(), 5)[0].num_rows == 1
     gc.collect()
     assert cache() is None
+
+
+@pytest.mark.parametrize("bits", [3, 9, 52])
+def test_meetings_deal_rows_once_whatever_the_bits(spark, bits):
+    rng = random.Random(bits)
+    base = [rng.getrandbits(bits) for _ in range(12)]
+    rows = []
+    for node in range(90):
+        own = [None if rng.random() < 0.1 else rng.choice(base) ^ (1 << rng.randrange(bits) if rng.random() < 0.6 else 0) for _ in range(5)]
+        rows.append((node % 3, node, node // 2 if node < 20 else node, rng.randrange(3), own))
+    table = spark.createDataFrame(rows, "head bigint, node bigint, c bigint, x bigint, own array<bigint>")
+    how = near_texts.Signing(5, 5, bits, 1.5)
+    for among in ((), ("head",)):
+        buckets: dict = {}
+        for head, node, c, x, own in rows:
+            for s, v in enumerate(own):
+                for p in range(bits) if v is not None else ():
+                    buckets.setdefault((head if among else None, s, p, v & ~(1 << p)), []).append((x, node, c))
+        want = {(node, min(b)[1], k[1]) for k, b in buckets.items() if len({c for *_, c in b}) > 1 for _, node, _ in b if node != min(b)[1]}
+        found = near_texts.meetings(table, how, *among)
+        assert sorted(map(tuple, found.collect())) == sorted(want) and want
+        # one exchange by what rows agree in, one for distinct pairs
+        assert found._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1].count("Exchange hashpartitioning") == 2
+
+
+def test_suspects_and_prefixes_deal_rows_once(spark):
+    rows = spark.createDataFrame([(0, 0, 5, [1, 2, 3]), (1, 1, 5, [1, 2, 9])], "node bigint, c bigint, n int, lead array<int>")
+    assert near_texts.suspects(rows, 0.8).count() == 2
+    sets = spark.createDataFrame([(0, 0, np.arange(5, dtype="<u4").tobytes()), (1, 1, np.arange(6, dtype="<u4").tobytes())], "node bigint, c bigint, hashes binary")
+    assert {x["node"] for x in near_texts.prefixes(sets, 0.8).collect()} == {0, 1}
+    for df in (near_texts.suspects(rows, 0.8), near_texts.prefixes(sets, 0.8)):
+        assert df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning(token#") == 1

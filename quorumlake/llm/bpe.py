@@ -84,10 +84,38 @@ class PrefixBPE:
         return out[::-1]
 
     def encode(self, data: bytes) -> list[int]:
-        """Ids of one match of the word pattern; a match that is in the vocabulary is its own token."""
-        if (whole := self.ranks.get(data)) is not None:
+        """Ids of one match of the word pattern; a match that is in the vocabulary is its own token.
+
+        What is compatible from the start on is unique, so the longest token that goes on is tried first, and a place
+        from which none goes on is not come to again. Few prefixes are looked at, where `extend` stores all of them.
+        """
+        ranks, pairs = self.ranks, self._pairs
+        if (whole := ranks.get(data)) is not None:
             return [whole]
-        return self.tokens(self.extend(data, [])) if data else []
+        size, longest = len(data), self.longest
+        out, starts, dead = [], [], set()
+        start, end = 0, min(size, longest)
+        while start < size:
+            while end > start:
+                if (token := ranks.get(data[start:end])) is not None and end not in dead:
+                    if not out:
+                        good = self.stands_alone(token)
+                    elif (good := pairs.get((out[-1], token))) is None:
+                        good = self.compatible(out[-1], token)
+                    if good:
+                        break
+                end -= 1
+            if end > start:
+                out.append(token)
+                starts.append(start)
+                start, end = end, min(size, end + longest)
+            elif out:
+                dead.add(start)
+                out.pop()
+                start, end = starts.pop(), start - 1
+            else:
+                raise ValueError("the vocabulary lacks a single byte")
+        return out
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, ids))

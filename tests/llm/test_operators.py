@@ -718,3 +718,33 @@ def test_suspects_and_prefixes_deal_rows_once(spark):
     assert {x["node"] for x in near_texts.prefixes(sets, 0.8).collect()} == {0, 1}
     for df in (near_texts.suspects(rows, 0.8), near_texts.prefixes(sets, 0.8)):
         assert df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning(token#") == 1
+
+
+def test_encode_looks_at_few_prefixes_and_gives_what_the_table_gives(monkeypatch):
+    class Counted(dict):
+        asked = 0
+
+        def get(self, key, default=None):
+            Counted.asked += 1
+            return dict.get(self, key, default)
+
+    rng = random.Random(82)
+    real = bpe.PrefixBPE.load(queries.vocabulary("byte_bpe_multi_50k.tiktoken"))
+    # a small vocabulary in which the longest token often leads nowhere
+    parts = [bytes([b]) for b in b"abc"]
+    while len(parts) < 40:
+        if (new := rng.choice(parts) + rng.choice(parts)) not in parts and len(new) < 9:
+            parts.append(new)
+    small = bpe.PrefixBPE({p: i for i, p in enumerate(parts)})
+    for coder, signs in ((real, " abcdefghijklmnopqrstuvwxyzéß日"), (small, "abc")):
+        for _ in range(400):
+            data = "".join(rng.choices(signs, k=rng.randrange(40))).encode()
+            want = [coder.ranks[data]] if data in coder.ranks else coder.tokens(coder.extend(data, []))
+            assert coder.encode(data) == want
+            assert data in coder.ranks or want == coder.merged(data)
+    with pytest.raises(ValueError):
+        small.encode(b"abdc")
+    data = b"understandingcommunicationinternational" * 3
+    assert real.encode(data) == real.tokens(real.extend(data, []))  # pairs are known from here on
+    monkeypatch.setattr(real, "ranks", Counted(real.ranks))
+    assert real.encode(data) and Counted.asked < len(data) * min(len(data), real.longest) / 4

@@ -54,9 +54,13 @@ class WordCache(dict):
     def whole(self, text: str) -> bytes:
         return array("I", self.tok.encode(text, add_special_tokens=False).ids).tobytes()
 
+    def letters(self, run: str) -> bytes:
+        # ASCII letters are named as they are
+        return array("I", [t.id for t in self.model.tokenize(run if run.isascii() else run.translate(self.names))]).tobytes()
+
     def run(self, run: str) -> bytes:
         if run.isalpha():
-            return array("I", [t.id for t in self.model.tokenize(run.translate(self.names))]).tobytes()
+            return self.letters(run)
         if run not in self.signs:
             if len(self.signs) >= self.most:
                 self.signs.clear()
@@ -64,9 +68,10 @@ class WordCache(dict):
         return self.signs[run]
 
     def __missing__(self, word: str) -> bytes:
-        core = word.rstrip(_TAIL)
-        if core.isalpha():
-            ids = self.run(core) if core == word else self[core] + self.run(word[len(core) :])
+        if word.isalpha():
+            ids = self.letters(word)
+        elif (core := word.rstrip(_TAIL)).isalpha():
+            ids = self[core] + self.run(word[len(core) :])
         else:
             ids = b"".join(map(self.run, _RUNS.findall(word)))
         if len(self) >= self.most:
@@ -77,7 +82,7 @@ class WordCache(dict):
 
     def ids(self, text: str) -> bytes:
         """The ids of a text. One of other letters than Latin ones, or that may hold special tokens, is encoded whole."""
-        if _UNPLAIN.search(text):
+        if "<|" in text or not text.isascii() and _UNPLAIN.search(text):
             return self.whole(text)
         return b"".join(map(self.__getitem__, text.lower().replace("\n", " ").split(" ")))
 

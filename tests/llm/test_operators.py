@@ -748,3 +748,25 @@ def test_encode_looks_at_few_prefixes_and_gives_what_the_table_gives(monkeypatch
     assert real.encode(data) == real.tokens(real.extend(data, []))  # pairs are known from here on
     monkeypatch.setattr(real, "ranks", Counted(real.ranks))
     assert real.encode(data) and Counted.asked < len(data) * min(len(data), real.longest) / 4
+
+
+def test_plain_texts_are_neither_searched_nor_renamed(monkeypatch):
+    from quorumlake.llm.pieces import WordCache
+    from tokenizers import Tokenizer
+
+    class Never:
+        def search(self, text):
+            assert not text.isascii()
+            return None
+
+    tok = Tokenizer.from_file(queries.vocabulary("word_bpe_49k.json"))
+    words = WordCache(tok)
+    plain = "It isn't so: words, 12 of them (un-\nknown)!! zqxvk zqxvk. WORDS"
+    latin = "Élan de l'été, cœur n'est pas là; straße zqxvké."
+    odd = "a <|endoftext|> b"
+    want = {t: words.whole(t) for t in (plain, latin, odd, "")}
+    assert all(words.ids(t) == want[t] for t in want)
+    fresh = WordCache(tok)
+    fresh.names = None
+    monkeypatch.setattr(pieces, "_UNPLAIN", Never())
+    assert fresh.ids(plain) == want[plain]
